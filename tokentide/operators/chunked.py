@@ -13,7 +13,7 @@ must grow with the order columns.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -65,11 +65,55 @@ def carry_forward(
     )
 
 
-def with_previous(
-    df: DataFrame, keys: Sequence[str], chunk: str, order: Sequence[str], fields: Sequence[str], out: str = "prev"
+def linked(
+    df: DataFrame,
+    keys: Sequence[str],
+    chunk: str,
+    order: Sequence[str],
+    fields: Sequence[str],
+    starts: Callable[[Column, Column], Column] | None = None,
 ) -> DataFrame:
-    """Adds `out`, a struct of `fields` of the preceding row of the key (null at its start)."""
-    return carry_forward(df, keys, chunk, order, before={out: F.struct(*fields)})
+    """Adds `prev`, `rn` and, given `starts`, `run`, in a single pass over chunk summaries.
+
+    prev: struct of `fields` of the preceding row of the key (null at its start)
+    rn:   1-based row number within the key
+    run:  1-based number of the run, a run beginning where `starts(prev, current)` holds
+          (and at the first row of the key)
+    """
+    over_key = Window.partitionBy(*keys).orderBy(chunk)
+    earlier = over_key.rowsBetween(Window.unboundedPreceding, -1)
+    in_chunk = Window.partitionBy(*keys, chunk).orderBy(*order)
+    upto = in_chunk.rowsBetween(Window.unboundedPreceding, 0)
+
+    def begins(prev: Column, current: Column) -> Column:
+        opened = F.lit(False) if starts is None else F.coalesce(starts(prev, current), F.lit(False))
+        return F.when(prev.isNull(), True).otherwise(opened)
+
+    base = df.withColumn("_cur", F.struct(*fields)).withColumn("_lag", F.lag("_cur").over(in_chunk))
+    inner = F.when(F.col("_lag").isNotNull() & begins(F.col("_lag"), F.col("_cur")), 1).otherwise(0)
+    rank = _order_key(order)
+    chunks = base.groupBy(*keys, chunk).agg(
+        F.min_by("_cur", rank).alias("_head"),
+        F.max_by("_cur", rank).alias("_tail"),
+        F.sum(inner.cast("long")).alias("_inner"),
+        F.count("*").alias("_n"),
+    )
+    joined_chunks = chunks.withColumn("_before", F.lag("_tail").over(over_key)).withColumn(
+        "_opens", F.col("_inner") + begins(F.col("_before"), F.col("_head")).cast("long")
+    )
+    carried = joined_chunks.select(
+        *keys,
+        chunk,
+        "_before",
+        F.coalesce(F.sum("_opens").over(earlier), F.lit(0)).alias("_runs"),
+        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_rows"),
+    )
+    rows = base.join(carried, [*keys, chunk]).withColumn("prev", F.coalesce("_lag", "_before"))
+    rows = rows.withColumn("rn", F.col("_rows") + F.row_number().over(in_chunk))
+    if starts is not None:
+        opens = begins(F.col("prev"), F.col("_cur")).cast("long")
+        rows = rows.withColumn("_opens", opens).withColumn("run", F.col("_runs") + F.sum("_opens").over(upto))
+    return rows.drop("_cur", "_lag", "_before", "_runs", "_rows", "_opens")
 
 
 def running_sum(
@@ -87,43 +131,3 @@ def running_sum(
         .withColumn(out, F.col("_run") + F.col("_off"))
         .drop("_f", "_run", "_off")
     )
-
-
-def running_count(
-    df: DataFrame, keys: Sequence[str], chunk: str, order: Sequence[str], flag: Column, out: str
-) -> DataFrame:
-    """Running number of rows with `flag`, the current row included."""
-    return running_sum(df, keys, chunk, order, F.coalesce(flag, F.lit(False)).cast("long"), out)
-
-
-def row_numbers(df: DataFrame, keys: Sequence[str], chunk: str, order: Sequence[str], out: str = "rn") -> DataFrame:
-    """Dense 1-based row number within the key."""
-    return running_count(df, keys, chunk, order, F.lit(True), out)
-
-
-def segment_prefix_max(
-    df: DataFrame, keys: Sequence[str], chunk: str, order: Sequence[str], starts: str, value: str, out: str
-) -> DataFrame:
-    """Largest `value` among earlier rows of the current segment (a segment begins where `starts`)."""
-    in_chunk = Window.partitionBy(*keys, chunk).orderBy(*order)
-    base = df.withColumn(
-        "_seg", F.sum(F.col(starts).cast("long")).over(in_chunk.rowsBetween(Window.unboundedPreceding, 0))
-    )
-    by_seg = base.groupBy(*keys, chunk, "_seg").agg(F.max(value).alias("_m"))
-    tails = by_seg.groupBy(*keys, chunk).agg(F.max("_seg").alias("_n"), F.max_by("_m", "_seg").alias("_tail"))
-    over_key = Window.partitionBy(*keys).orderBy(chunk)
-    grouped = tails.withColumn("_g", F.sum((F.col("_n") > 0).cast("long")).over(over_key))
-    in_group = Window.partitionBy(*keys, "_g").orderBy(chunk)
-    carried = grouped.withColumn("_upto", F.max("_tail").over(in_group)).select(
-        *keys, chunk, F.lag("_upto").over(over_key).alias("_in")
-    )
-    local = Window.partitionBy(*keys, chunk, "_seg").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        base.withColumn("_local", F.max(value).over(local))
-        .join(carried, [*keys, chunk])
-        .withColumn(
-            out,
-            F.when(F.col("_seg") > 0, F.col("_local")).otherwise(F.greatest("_local", "_in")),
-        )
-        .drop("_seg", "_local", "_in")
-    )
