@@ -131,3 +131,8 @@ def running_sum(
         .withColumn(out, F.col("_run") + F.col("_off"))
         .drop("_f", "_run", "_off")
     )
+
+
+def row_numbers(df: DataFrame, keys: Sequence[str], chunk: str, order: Sequence[str], out: str = "rn") -> DataFrame:
+    """Dense 1-based row number within the key."""
+    return running_sum(df, keys, chunk, order, F.lit(1), out)

@@ -5,24 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokentide.functions import variants as V
 from tokentide.session import broadcast_if_small
 
 MAX_NAME = 255
 
 
-def lineage(lines: DataFrame) -> DataFrame:
+def lineage(events: DataFrame) -> DataFrame:
     """Per file, the ids of a leading `session_meta` line and of the one right after it.
 
-    Two leading ids make a fork: its own id, then its parent's. Only lines 1 and 2 are parsed.
+    Two leading ids make a fork: its own id, then its parent's.
     """
-    v = F.try_parse_json("value")
-    is_meta = F.coalesce(V.string(V.at(F.col("v"), "$.type")) == "session_meta", F.lit(False))
-    ident = F.when(is_meta, V.string(V.at(F.col("v"), "$.payload.id")))
-    heads = lines.where(F.col("line_no") <= 2).withColumn("v", v).withColumn("id", ident)
+    heads = events.where((F.col("line_no") <= 2) & (F.col("event_type") == "session_meta"))
     return heads.groupBy("file_path").agg(
-        F.max(F.when(F.col("line_no") == 1, F.col("id"))).alias("first_id"),
-        F.max(F.when(F.col("line_no") == 2, F.col("id"))).alias("second_id"),
+        F.max(F.when(F.col("line_no") == 1, F.col("meta_id"))).alias("first_id"),
+        F.max(F.when(F.col("line_no") == 2, F.col("meta_id"))).alias("second_id"),
     )
 
 
@@ -136,5 +132,3 @@ def fork_counters(forks: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.greatest(F.col("replay_prefix_lines") - 1, F.lit(0))), F.lit(0)).alias("fork_replay_lines"),
     )
 
-
-FORK_SCHEMA = "file_path string, pinned_id string, parent_session_id string, parent_path string, replay_prefix_lines bigint"

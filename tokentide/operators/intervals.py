@@ -120,9 +120,13 @@ def lone_groups(cand: DataFrame, carry: list[str], *fields: str) -> DataFrame:
     )
 
 
+def _target() -> Column:
+    return F.struct("account_id", "plan_type", "limit_id", "window_minutes", "island", "id")
+
+
 def window_targets(windows: DataFrame) -> DataFrame:
     return windows.select(
-        F.struct("account_id", "plan_type", "limit_id", "window_minutes", "island").alias("target"),
+        _target().alias("target"),
         F.col("estimated_start").alias("start"),
         F.col("reset_at").alias("end"),
         "account_id",
@@ -157,10 +161,9 @@ def attach_usage(windows: DataFrame, priced: DataFrame, credits_per_usd: Decimal
     sums = attach_matches(windows, priced).groupBy("target").agg(
         F.sum("total_tokens").alias("total_tokens"), F.sum("credits").alias("credits")
     )
-    target = F.struct("account_id", "plan_type", "limit_id", "window_minutes", "island")
     zero = F.lit(Decimal(0)).cast("decimal(38,12)")
     return (
-        windows.withColumn("target", target)
+        windows.withColumn("target", _target())
         .join(sums, "target", "left")
         .withColumn("total_tokens", F.coalesce("total_tokens", F.lit(0)))
         .withColumn("usd", usd(F.coalesce("credits", zero), credits_per_usd))

@@ -46,13 +46,7 @@ class LogScan:
 
     @cached_property
     def forks(self) -> DataFrame:
-        # Line numbers are only known after the join, but the first two lines of a file
-        # are the first two rows of its first split.
-        heads = self._lines.join(
-            self.splits.where(F.col("block") == 0).select("file_path", "block", "first_row"), ["file_path", "block"]
-        )
-        heads = heads.withColumn("line_no", F.col("row") - F.col("first_row") + 1).where(F.col("line_no") <= 2)
-        found = stage(fork.parents(fork.lineage(heads), self._all_names()), "forks")
+        found = stage(fork.parents(fork.lineage(self.events), self._all_names()), "forks")
         if found.where(F.col("parent_path").isNotNull()).isEmpty():
             return found.withColumn("replay_prefix_lines", F.lit(0).cast("long"))
         scanned = self.splits.select(F.col("file_path").alias("parent_path")).distinct()
