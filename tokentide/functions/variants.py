@@ -12,17 +12,36 @@ DECIMAL_TEXT = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 INTEGER_TEXT = r"^[+-]?\d+$"
 
 
+# A value no log line holds; it closes the array a line is parsed in.
+SENTINEL = "~end of line~"
+
+
+def line(value: Column) -> Column:
+    """A whole line as one-element VARIANT array, or null when it is not exactly one JSON value.
+
+    The parser ignores what follows a complete value, so the line is parsed as the
+    first of two array elements and the second must come back untouched.
+    """
+    parsed = F.try_parse_json(F.concat(F.lit("["), value, F.lit(f',"{SENTINEL}"]')))
+    closed = F.try_variant_get(parsed, "$[1]", "string") == SENTINEL
+    return F.when(closed & at(parsed, "$[2]").isNull(), parsed)
+
+
+def fields(value: Column, *names: str, path: str = "$") -> Column:
+    """Named fields of a JSON object as a struct of VARIANTs; null when it is no object."""
+    return F.try_variant_get(value, path, f"struct<{', '.join(f'`{n}`: variant' for n in names)}>")
+
+
+def each(read, *values: Column) -> Column:
+    """`read` applied to several values, as an array; the expression is built and planned once."""
+    return F.transform(F.array(*values), read)
+
+
 def at(value: Column, path: str) -> Column:
     """The value at a path, as VARIANT; null when absent."""
     return F.try_variant_get(value, path, "variant")
 
 
-def first_at(value: Column, *paths: str) -> Column:
-    """The first present value among alternative spellings of one field."""
-    found = [at(value, p) for p in paths]
-    return found[0] if len(found) == 1 else F.coalesce(*found)
-
-
 def kind(value: Column) -> Column:
     return F.schema_of_variant(value)
 

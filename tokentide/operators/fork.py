@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tokentide.functions import variants as V
 from tokentide.session import broadcast_if_small
 
 MAX_NAME = 255
@@ -81,13 +82,13 @@ def parents(heads: DataFrame, all_files: DataFrame | None = None) -> DataFrame:
 def fingerprint(value: Column) -> Column:
     """Hash of an event without its top-level timestamp, keys in sorted order; an invalid line
     is told apart only by its length, line end included."""
-    v = F.try_parse_json(value)
-    fields = F.try_variant_get(v, "$", "map<string,variant>")
+    v = V.line(value)
+    fields = F.try_variant_get(v, "$[0]", "map<string,variant>")
     rest = F.to_json(F.map_filter(fields, lambda k, _: k != "timestamp"))
     text = (
         F.when(v.isNull(), F.concat(F.lit("invalid-json:"), (F.octet_length(value) + 1).cast("string")))
         .when(fields.isNotNull(), rest)
-        .otherwise(F.to_json(v))
+        .otherwise(F.to_json(V.at(v, "$[0]")))
     )
     return F.sha2(text, 256)
 

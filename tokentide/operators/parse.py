@@ -14,6 +14,13 @@ USAGE_MARKS = ('"token_count"', '"session_meta"', '"turn_context"')
 LIMIT_MARKS = ('"rate_limits"', '"session_meta"', '"turn_context"')
 
 
+PAYLOAD = (
+    "type", "id", "model", "cwd", "reasoning_effort", "model_reasoning_effort", "model_config", "reasoning",
+    "collaboration_mode", "info", "rate_limits",
+)
+EFFORT = ("effort", "reasoning_effort")
+
+
 def _camel(name: str) -> str:
     head, *tail = name.split("_")
     return head + "".join(t.title() for t in tail)
@@ -27,24 +34,22 @@ def marked(*marks: str) -> Column:
     return test
 
 
-def _effort(payload: Column) -> Column:
-    """First non-blank of the places an effort may stand in."""
-    direct = [("reasoning_effort", "reasoningEffort"), ("model_reasoning_effort", "modelReasoningEffort")]
-    nested = [("model_config", "modelConfig"), ("reasoning",), ("collaboration_mode", "collaborationMode")]
-    found = [V.string(V.first_at(payload, *[f"$.{n}" for n in names])) for names in direct]
-    for names in nested:
-        inside = V.first_at(payload, *[f"$.{n}" for n in names])
-        if names[0] == "collaboration_mode":
-            inside = V.at(inside, "$.settings")
-        found.append(V.string(V.at(inside, "$.effort")))
-        found.append(V.string(V.first_at(inside, "$.reasoning_effort", "$.reasoningEffort")))
-    return F.coalesce(*found)
+def _spellings(name: str) -> list[str]:
+    return list(dict.fromkeys([name, _camel(name)]))
+
+
+def _either(struct: str, name: str) -> Column:
+    """A field in either spelling."""
+    return F.coalesce(*[F.col(f"{struct}.{n}") for n in _spellings(name)])
+
+
+def _counters(name: str) -> Column:
+    return V.each(V.counter, *[_either(name, f) for f in TOKEN_FIELDS])
 
 
-def _usage(info: Column, name: str) -> Column:
+def _usage(name: str) -> Column:
     """Five counters; null when input, output and total are all missing."""
-    node = V.first_at(info, f"$.{name}", f"$.{_camel(name)}")
-    got = {f: V.counter(V.first_at(node, f"$.{f}", f"$.{_camel(f)}")) for f in TOKEN_FIELDS}
+    got = {f: F.get(name, F.lit(i)) for i, f in enumerate(TOKEN_FIELDS)}
     some = F.coalesce(got["input_tokens"], got["output_tokens"], got["total_tokens"]).isNotNull()
     zero = lambda c: F.coalesce(c, F.lit(0))
     total = F.coalesce(got["total_tokens"], zero(got["input_tokens"]) + zero(got["output_tokens"]))
@@ -85,56 +90,85 @@ def parse_lines(lines: DataFrame) -> DataFrame:
                the line is no limit event
     windows:   its windows in order (primary, secondary, then by name)
     """
-    v = F.col("v")
-    payload, info = V.at(v, "$.payload"), V.at(v, "$.payload.info")
-    limits = V.at(v, "$.payload.rate_limits")
-    event_type = V.string(V.at(v, "$.type"))
-    base = lines.where(marked(*USAGE_MARKS, LIMIT_MARKS[0])).withColumn("v", F.try_parse_json("value"))
-    flags = {
-        "has_token": F.col("value").contains(USAGE_MARKS[0]),
-        "has_meta": F.col("value").contains(USAGE_MARKS[1]),
-        "has_turn": F.col("value").contains(USAGE_MARKS[2]),
-        "has_limits": F.col("value").contains(LIMIT_MARKS[0]),
-    }
-    is_limit_event = F.col("has_limits") & (V.trimmed_string(V.at(v, "$.type")) == "event_msg")
-    entries = F.filter(
-        F.map_entries(F.try_variant_get(limits, "$", "map<string,variant>")),
-        lambda e: ~e["key"].isin("plan_type", "limit_id")
-        & (e["key"].isin("primary", "secondary") | V.is_object(e["value"])),
+    names = [n for f in PAYLOAD for n in _spellings(f)]
+    effort = [n for f in EFFORT for n in _spellings(f)]
+    usage = [n for f in TOKEN_FIELDS for n in _spellings(f)]
+    has = lambda mark: F.col("value").contains(mark)
+    # One step per nesting level, so that every object is opened once.
+    rows = lines.where(marked(*USAGE_MARKS, LIMIT_MARKS[0])).withColumn("v", V.line(F.col("value")))
+    rows = rows.withColumn("e", V.fields(F.col("v"), "type", "timestamp", "payload", path="$[0]"))
+    rows = rows.withColumn("p", V.fields(F.col("e.payload"), *names))
+    rows = rows.withColumns(
+        {
+            "config": V.fields(_either("p", "model_config"), *effort),
+            "reasoning": V.fields(F.col("p.reasoning"), *effort),
+            "mode": V.fields(V.at(_either("p", "collaboration_mode"), "$.settings"), *effort),
+            "info": V.fields(F.col("p.info"), *[n for f in ("total_token_usage", "last_token_usage") for n in _spellings(f)]),
+            "limit_map": F.try_variant_get(F.col("p.rate_limits"), "$", "map<string,variant>"),
+        }
     )
+    rows = rows.withColumns(
+        {
+            "total": V.fields(_either("info", "total_token_usage"), *usage),
+            "last": V.fields(_either("info", "last_token_usage"), *usage),
+            "entries": F.filter(
+                F.map_entries("limit_map"),
+                lambda e: ~e["key"].isin("plan_type", "limit_id")
+                & (e["key"].isin("primary", "secondary") | V.is_object(e["value"])),
+            ),
+            "text": V.each(
+                V.string,
+                F.col("e.type"),
+                *[F.col(f"p.{f}") for f in ("type", "id", "model", "cwd")],
+                _either("p", "reasoning_effort"),
+                _either("p", "model_reasoning_effort"),
+                *[c for place in ("config", "reasoning", "mode") for c in (F.col(f"{place}.effort"), _either(place, "reasoning_effort"))],
+            ),
+            "trimmed": V.each(V.trimmed_string, F.col("e.type"), F.try_element_at("limit_map", F.lit("plan_type")), F.try_element_at("limit_map", F.lit("limit_id"))),
+        }
+    )
+    is_limit_event = has(LIMIT_MARKS[0]) & F.coalesce(F.get("trimmed", F.lit(0)) == "event_msg", F.lit(False))
     state = (
-        F.when(~V.is_object(payload) | payload.isNull() | limits.isNull(), "missing")
-        .when(F.is_variant_null(limits), "null")
-        .when(V.is_object(limits), "object")
+        F.when(F.col("p.rate_limits").isNull(), "missing")
+        .when(F.is_variant_null("p.rate_limits"), "null")
+        .when(F.col("limit_map").isNotNull(), "object")
         .otherwise("other")
     )
-    columns = {
-        **flags,
-        "valid": v.isNotNull(),
-        "event_type": event_type,
-        "timestamp": V.event_time(V.at(v, "$.timestamp")),
-        "payload_type": V.string(V.at(payload, "$.type")),
-        "meta_id": V.string(V.at(payload, "$.id")),
-        "meta_model": V.string(V.at(payload, "$.model")),
-        "meta_cwd": V.string(V.at(payload, "$.cwd")),
-        "meta_effort": _effort(payload),
-        "has_info": F.coalesce(V.is_object(info), F.lit(False)),
-        "total_usage": _usage(info, "total_token_usage"),
-        "last_usage": _usage(info, "last_token_usage"),
-        "limits": F.when(F.coalesce(is_limit_event, F.lit(False)), state),
-        "sample_time": F.when(is_limit_event, V.sample_time(V.at(v, "$.timestamp"))),
-        # The account of a sample is looked up at the time of its line.
-        "plan_type": V.trimmed_string(V.at(limits, "$.plan_type")),
-        "limit_id": V.trimmed_string(V.at(limits, "$.limit_id")),
-        "windows": F.when(
-            is_limit_event & (state == "object"), F.array_sort(F.transform(entries, _limit_window))
-        ),
-    }
-    typed = base
-    for name, expr in columns.items():
-        typed = typed.withColumn(name, expr)
+    rows = rows.withColumns(
+        {
+            "total": _counters("total"),
+            "last": _counters("last"),
+            "limits": F.when(is_limit_event, state),
+            "windows": F.when(is_limit_event, F.array_sort(F.transform("entries", _limit_window))),
+            "sample_time": F.when(is_limit_event, V.sample_time(F.col("e.timestamp"))),
+            "timestamp": V.event_time(F.col("e.timestamp")),
+        }
+    )
     keep = [c for c in lines.columns if c != "value"]
-    return typed.select(*keep, *columns)
+    text = lambda i: F.get("text", F.lit(i))
+    return rows.select(
+        *keep,
+        has(USAGE_MARKS[0]).alias("has_token"),
+        has(USAGE_MARKS[1]).alias("has_meta"),
+        has(USAGE_MARKS[2]).alias("has_turn"),
+        has(LIMIT_MARKS[0]).alias("has_limits"),
+        F.col("v").isNotNull().alias("valid"),
+        text(0).alias("event_type"),
+        "timestamp",
+        text(1).alias("payload_type"),
+        text(2).alias("meta_id"),
+        text(3).alias("meta_model"),
+        text(4).alias("meta_cwd"),
+        F.coalesce(*[text(i) for i in range(5, 13)]).alias("meta_effort"),
+        F.col("info").isNotNull().alias("has_info"),
+        _usage("total").alias("total_usage"),
+        _usage("last").alias("last_usage"),
+        "limits",
+        "sample_time",
+        F.get("trimmed", F.lit(1)).alias("plan_type"),
+        F.get("trimmed", F.lit(2)).alias("limit_id"),
+        "windows",
+    )
 
 
 def rate_limits_of(windows: Column, plan: Column, limit: Column) -> Column:

@@ -173,8 +173,8 @@ query("session_compact")(lambda t: sessions.session_compact(t.session_events, 3)
 
 @query("session_compact_busy")
 def _(t):
-    """The timeline over long sessions, where runs compete for rows."""
-    return sessions.session_compact(sessions.session_events(adapters.busy_session(t.priced)), 200)
+    """The timeline over long sessions of few runs, which then compete for rows."""
+    return sessions.session_compact(sessions.session_events(adapters.few_runs(t.priced)), 20)
 
 
 # --- ordered scans ----------------------------------------------------------

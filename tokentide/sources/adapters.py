@@ -266,6 +266,14 @@ def busy_session(df: DataFrame) -> DataFrame:
     return df.withColumn("session_id", F.concat(F.coalesce("account_id", F.lit("none")), F.lit("-"), F.substring("session_id", -5, 5)))
 
 
+def few_runs(records: DataFrame) -> DataFrame:
+    """Coarser sessions that change their model every six hours."""
+    part = F.floor(F.unix_micros("timestamp") / F.lit(21_600_000_000.0)).cast("long") % 4
+    return busy_session(records).withColumns(
+        {"model": F.concat(F.lit("m"), part), "reasoning_effort": F.lit(None).cast("string")}
+    )
+
+
 def rising_samples(ev: DataFrame) -> DataFrame:
     """Five-hour samples of one limit whose percentage rises through each window."""
     rows = samples(ev, 300).withColumn("limit_id", F.lit("main"))
