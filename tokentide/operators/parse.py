@@ -57,30 +57,48 @@ def _usage(name: str) -> Column:
     return F.when(some, F.struct(*values))
 
 
-def _limit_window(entry: Column) -> Column:
-    """One named window of a rate-limit object, with the reason it is refused, if any."""
-    name, value = entry["key"], entry["value"]
-    minutes = V.integer(V.at(value, "$.window_minutes"))
-    used = V.finite_number(V.at(value, "$.used_percent"))
-    resets = V.seconds_time(V.at(value, "$.resets_at"))
-    named = name.isin("primary", "secondary")
-    reject = (
-        F.when(~V.is_object(value) | minutes.isNull() | (minutes <= 0), "window_minutes")
-        .when(used.isNull(), "used_percent")
-        .when(resets.isNull(), "resets_at")
+def _limit_windows(entries: Column) -> Column:
+    """Named windows of a rate-limit object in order, each with the reason it is refused, if any.
+
+    Three passes, so that a value is read once however often it is tested.
+    """
+    opened = F.transform(
+        entries,
+        lambda e: F.struct(
+            e["key"].alias("name"), V.fields(e["value"], "window_minutes", "used_percent", "resets_at").alias("f")
+        ),
     )
-    return F.struct(
-        F.when(name == "primary", 0).when(name == "secondary", 1).otherwise(2).alias("rank"),
-        name.alias("name"),
-        minutes.alias("window_minutes"),
-        used.alias("used_percent"),
-        resets.alias("resets_at"),
-        window_label(name, minutes).alias("window"),
-        (~named).alias("unknown"),
-        reject.alias("reject"),
-        (reject.isNull() & ~used.between(0.0, 100.0)).alias("out_of_range"),
+    typed = F.transform(
+        opened,
+        lambda x: F.struct(
+            x["name"].alias("name"),
+            V.integer(x["f"]["window_minutes"]).alias("minutes"),
+            V.finite_number(x["f"]["used_percent"]).alias("used"),
+            V.seconds_time(x["f"]["resets_at"]).alias("resets"),
+        ),
     )
 
+    def judged(x: Column) -> Column:
+        name, minutes, used, resets = x["name"], x["minutes"], x["used"], x["resets"]
+        reject = (
+            F.when(minutes.isNull() | (minutes <= 0), "window_minutes")
+            .when(used.isNull(), "used_percent")
+            .when(resets.isNull(), "resets_at")
+        )
+        return F.struct(
+            F.when(name == "primary", 0).when(name == "secondary", 1).otherwise(2).alias("rank"),
+            name.alias("name"),
+            minutes.alias("window_minutes"),
+            used.alias("used_percent"),
+            resets.alias("resets_at"),
+            window_label(name, minutes).alias("window"),
+            (~name.isin("primary", "secondary")).alias("unknown"),
+            reject.alias("reject"),
+            (reject.isNull() & ~used.between(0.0, 100.0)).alias("out_of_range"),
+        )
+
+    return F.array_sort(F.transform(typed, judged))
+
 
 def parse_lines(lines: DataFrame) -> DataFrame:
     """Typed events of all lines that carry a marker; parsing happens once for every report.
@@ -139,7 +157,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
             "total": _counters("total"),
             "last": _counters("last"),
             "limits": F.when(is_limit_event, state),
-            "windows": F.when(is_limit_event, F.array_sort(F.transform("entries", _limit_window))),
+            "windows": F.when(is_limit_event, _limit_windows(F.col("entries"))),
             "sample_time": F.when(is_limit_event, V.sample_time(F.col("e.timestamp"))),
             "timestamp": V.event_time(F.col("e.timestamp")),
         }
