@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tokentide.functions.scalars import FIVE_HOURS, PERCENT_EPSILON, off_time, round6, round_metric
 from tokentide.operators.chunked import linked, time_chunk
-from tokentide.operators.intervals import RECORD, candidates, lone_groups
+from tokentide.operators.intervals import RECORD, candidates, lone_groups, number_targets
 from tokentide.session import stage
 
 MIN_CALLS = 3
@@ -71,52 +71,52 @@ def sample_pairs(observed: DataFrame) -> DataFrame:
 
 
 def usable_pairs(pairs: DataFrame) -> DataFrame:
-    return pairs.where(F.col("usable")).withColumn("target", F.struct(*STREAM, "resets_at", "interval_start"))
+    """Pairs that can take usage, numbered."""
+    return number_targets(pairs.where(F.col("usable")), "interval_start", "interval_end", "usable")
 
 
-def usage_matches(pairs: DataFrame, priced: DataFrame) -> DataFrame:
+def usage_matches(usable: DataFrame, priced: DataFrame) -> DataFrame:
     """(record, pair) matches, plus one row per record that found only ambiguous pairs (`kind` ambiguous).
 
     With rate limits only exact pairs count. Without, a record needs a pair that is
     alone within (account, plan).
     """
-    targets = usable_pairs(pairs).select(
-        "target",
+    targets = usable.select(
+        "target_no",
         F.col("interval_start").alias("start"),
         F.col("interval_end").alias("end"),
         *STREAM,
         F.lit(FIVE_HOURS).cast("long").alias("window_minutes"),
         F.col("resets_at").alias("reset_at"),
-        F.lit(None).cast("string").alias("target_id"),
     )
-    carry = ["session_id", "model", "total_tokens", "normal_credits", "fast_credits"]
-    cand = candidates(priced, targets, carry, closed="right")
-    columns = [*RECORD, "target", *carry]
-    exact = cand.where(F.col("limited") & F.col("exact")).select(*columns, F.lit("exact").alias("kind"))
-    groups = lone_groups(cand.where(~F.col("limited")), carry, "t_account", "t_plan")
+    cand = candidates(priced, targets, [], closed="right")
+    exact = cand.where(F.col("limited") & F.col("exact")).select(*RECORD, "target_no", F.lit("exact").alias("kind"))
+    groups = lone_groups(cand.where(~F.col("limited")), [], "t_account", "t_plan")
     per_record = Window.partitionBy(*RECORD)
     groups = groups.withColumn("any_alone", F.min("n").over(per_record) == 1).withColumn(
-        "first", F.row_number().over(per_record.orderBy("t_account", "t_plan")) == 1
+        "first", F.row_number().over(per_record.orderBy("target_no")) == 1
     )
     kind = F.when(F.col("n") == 1, "legacy").when(~F.col("any_alone") & F.col("first"), "ambiguous")
-    legacy = groups.withColumn("kind", kind).where(F.col("kind").isNotNull()).select(*columns, "kind")
-    return exact.unionByName(legacy)
+    legacy = groups.withColumn("kind", kind).where(F.col("kind").isNotNull()).select(*RECORD, "target_no", "kind")
+    found = exact.unionByName(legacy)
+    carry = ["session_id", "model", "total_tokens", "normal_credits", "fast_credits"]
+    return found.join(priced.select(*RECORD, *carry), list(RECORD))
 
 
-def intervals(pairs: DataFrame, matches: DataFrame) -> DataFrame:
+def intervals(usable: DataFrame, matches: DataFrame) -> DataFrame:
     """Each pair's growth split over its sessions by credits, or by calls when nothing was priced."""
     per_session = (
         matches.where(F.col("kind") != "ambiguous")
-        .groupBy("target", "session_id")
+        .groupBy("target_no", "session_id")
         .agg(F.sum("normal_credits").alias("w"), F.count("*").alias("calls"))
     )
-    totals = per_session.groupBy("target").agg(F.sum("w").alias("all_w"), F.sum("calls").alias("all_calls"))
+    totals = per_session.groupBy("target_no").agg(F.sum("w").alias("all_w"), F.sum("calls").alias("all_calls"))
     share = F.when(
         F.col("all_w") <= Decimal("0.000001"), F.col("calls").cast("double") / F.col("all_calls").cast("double")
     ).otherwise(F.col("w").cast("double") / F.col("all_w").cast("double"))
     return (
-        per_session.join(totals, "target")
-        .join(usable_pairs(pairs), "target")
+        per_session.join(totals, "target_no")
+        .join(usable, "target_no")
         .select(
             *STREAM,
             "session_id",
@@ -130,7 +130,7 @@ def intervals(pairs: DataFrame, matches: DataFrame) -> DataFrame:
     )
 
 
-def segments(split: DataFrame, matches: DataFrame) -> DataFrame:
+def segments(split: DataFrame, matches: DataFrame, usable: DataFrame) -> DataFrame:
     """Intervals summed per (stream, session, reset), with a summary of their usage."""
     spans = split.groupBy(*SEGMENT).agg(
         F.min("interval_start").alias("segment_start"),
@@ -141,9 +141,8 @@ def segments(split: DataFrame, matches: DataFrame) -> DataFrame:
     expected = F.when(F.col("normal_credits") > Decimal("0.000001"), F.col("fast_credits")).otherwise(F.col("normal_credits"))
     per_model = (
         matches.where(F.col("kind") != "ambiguous")
-        .select(F.col("target.account_id").alias("account_id"), F.col("target.plan_type").alias("plan_type"),
-                F.col("target.limit_id").alias("limit_id"), F.col("target.resets_at").alias("resets_at"),
-                "session_id", "model", "file_path", "total_tokens", "normal_credits", expected.alias("expected"))
+        .join(usable.select("target_no", *STREAM, "resets_at"), "target_no")
+        .withColumn("expected", expected)
         .groupBy(*SEGMENT, "model")
         .agg(
             F.count("*").alias("calls"),
@@ -256,9 +255,10 @@ class Detection:
     def __init__(self, samples: DataFrame, priced: DataFrame):
         self.observed = stage(observations(samples), "observations")
         self.pairs = stage(sample_pairs(self.observed), "pairs")
-        self.matches = stage(usage_matches(self.pairs, priced), "matches")
-        self.intervals = intervals(self.pairs, self.matches)
-        self.segments = segments(self.intervals, self.matches)
+        self.usable = usable_pairs(self.pairs)
+        self.matches = stage(usage_matches(self.usable, priced), "matches")
+        self.intervals = intervals(self.usable, self.matches)
+        self.segments = segments(self.intervals, self.matches, self.usable)
         self.scored = score(self.segments)
 
     def candidates(self) -> DataFrame:
@@ -266,8 +266,8 @@ class Detection:
 
     def reasons(self) -> DataFrame:
         """How often each reason occurred, pairs that rose without any usage included."""
-        used = self.matches.where(F.col("kind") != "ambiguous").select("target").distinct()
-        idle = usable_pairs(self.pairs).where(F.col("rising")).join(used, "target", "left_anti")
+        used = self.matches.where(F.col("kind") != "ambiguous").select("target_no").distinct()
+        idle = self.usable.where(F.col("rising")).join(used, "target_no", "left_anti")
         empty = self.observed.agg(F.count("*").alias("n")).where("n = 0").select(F.lit(NO_SAMPLES).alias("reason"))
         return (
             self.scored.select("reason")

@@ -28,65 +28,70 @@ def _size(kls: Column | int) -> Column:
     return F.when(kls == 0, 300_000_000).when(kls == 1, 3_600_000_000).otherwise(86_400_000_000).cast("long")
 
 
-def _exploded(targets: DataFrame, closed: str) -> DataFrame:
-    """One row per bucket an interval touches; short intervals use short buckets, so a
-    5-minute one takes about two rows and a 7-day one about eight."""
-    start, end = F.unix_micros("start"), F.unix_micros("end")
-    first, last = (start, end - 1) if closed == "left" else (start + 1, end)
-    span = end - start
-    kls = F.when(span <= 3_600_000_000, 0).when(span <= 86_400_000_000, 1).otherwise(2)
-    rows = targets.where(span > 0).withColumn("kls", kls).withColumn("size", _size(F.col("kls")))
-    return rows.withColumn(
-        "bucket", F.explode(F.sequence(F.floor(first / F.col("size")), F.floor(last / F.col("size"))))
-    ).drop("size")
+def number_targets(targets: DataFrame, start: str, end: str, name: str) -> DataFrame:
+    """The targets as a staged table with `target_no`, increasing by (start, end, id).
+
+    A number keeps the per-record aggregates on plain longs, and its order serves the
+    latest-window rule.
+    """
+    numbered = targets.orderBy(start, end, *(["id"] if "id" in targets.columns else []))
+    return stage(numbered.withColumn("target_no", F.monotonically_increasing_id()), name)
 
 
-def candidates(
-    records: DataFrame, targets: DataFrame, carry: list[str], closed: str = "left", outer: bool = False
-) -> DataFrame:
+def candidates(records: DataFrame, targets: DataFrame, carry: list[str], closed: str = "left") -> DataFrame:
     """All (record, target) pairs that agree in time and account.
 
     records: file_path, line_no, timestamp, account_id, rate_limits and `carry`
-    targets: target (non-null id struct), start, end, account_id, plan_type, limit_id,
-             window_minutes, reset_at, target_id
+    targets: target_no, start, end, account_id, plan_type, limit_id, window_minutes, reset_at
     A target without an account takes every record; one with an account only its own.
     A record probes one bucket per size class, for its account and for targets without
     one - only the combinations that occur. `exact` tells whether one of the record's
-    own rate limits names the target. With `outer`, records without any candidate stay,
-    with null targets.
+    own rate limits names the target. Short intervals use short buckets, so a 5-minute
+    one takes about two and a 7-day one about eight.
     """
-    exploded = stage(_exploded(targets, closed), "targets")
+    start, end = F.unix_micros("start"), F.unix_micros("end")
+    first, last = (start, end - 1) if closed == "left" else (start + 1, end)
+    span = end - start
+    kls = F.when(span <= 3_600_000_000, 0).when(span <= 86_400_000_000, 1).otherwise(2)
+    rows = targets.where(span > 0).withColumn("kls", kls).withColumns(
+        {"first": F.floor(first / _size(F.col("kls"))), "last": F.floor(last / _size(F.col("kls")))}
+    )
     # At most three size classes times two account kinds.
-    present = exploded.groupBy("kls", F.col("account_id").isNull().alias("open")).count().collect()
-    owner = lambda c: F.struct(F.col(c).alias("account"))
-    side = exploded.select(
-        "target",
-        F.struct("kls", "bucket", owner("account_id").alias("owner")).alias("meet"),
-        F.unix_micros("start").alias("t_start"),
-        F.unix_micros("end").alias("t_end"),
+    present = (
+        rows.groupBy("kls", F.col("account_id").isNull().alias("open"))
+        .agg(F.sum(F.col("last") - F.col("first") + 1).alias("n"))
+        .orderBy("kls", "open")
+        .collect()
+    )
+    owner = lambda c: F.struct(c.alias("account"))
+    side = rows.withColumn("bucket", F.explode(F.sequence("first", "last"))).select(
+        "target_no",
+        F.struct("kls", "bucket", owner(F.col("account_id")).alias("owner")).alias("meet"),
+        start.alias("t_start"),
+        end.alias("t_end"),
         F.col("account_id").alias("t_account"),
         F.col("plan_type").alias("t_plan"),
         F.col("limit_id").alias("t_limit"),
         F.col("window_minutes").alias("t_minutes"),
         F.col("reset_at").alias("t_reset"),
-        F.col("target_id").alias("t_id"),
     )
-    if sum(row["count"] for row in present) <= MAX_BROADCAST_ROWS:
+    if sum(row["n"] for row in present) <= MAX_BROADCAST_ROWS:
         side = F.broadcast(side)
     us = F.unix_micros("timestamp")
+    nobody = F.lit(None).cast("string")
     probes = [
         F.struct(
             F.lit(row["kls"]).alias("kls"),
             F.floor(us / _size(row["kls"])).alias("bucket"),
-            F.struct(F.lit(None).cast("string").alias("account") if row["open"] else F.col("account_id").alias("account")).alias("owner"),
+            owner(nobody if row["open"] else F.col("account_id")).alias("owner"),
         )
-        # A record without an account meets no owned target.
-        for row in sorted(present, key=lambda r: (r["kls"], r["open"]))
+        for row in present
     ]
     none = F.array().cast("array<struct<kls:int,bucket:bigint,owner:struct<account:string>>>")
+    # A record without an account would probe the open targets twice.
     wanted = F.array_distinct(F.array(*probes)) if probes else none
-    keep = list(dict.fromkeys([*RECORD, "timestamp", "account_id", "rate_limits", *carry]))
-    probe = records.select(*keep).withColumn("us", us).withColumn("probe", F.explode_outer(wanted))
+    keep = list(dict.fromkeys([*RECORD, "rate_limits", *carry]))
+    probe = records.withColumn("us", us).withColumn("probe", F.explode(wanted)).select(*keep, "us", "probe")
     if closed == "left":
         inside = (F.col("us") >= F.col("t_start")) & (F.col("us") < F.col("t_end"))
     else:
@@ -98,35 +103,34 @@ def candidates(
         & limit["plan_type"].eqNullSafe(F.col("t_plan"))
         & limit["limit_id"].eqNullSafe(F.col("t_limit")),
     )
-    return (
-        probe.join(side, (F.col("probe") == F.col("meet")) & inside, "left" if outer else "inner")
-        .withColumn("exact", F.col("target").isNotNull() & exact)
-        .withColumn("limited", F.size("rate_limits") > 0)
-        .drop("us", "probe", "meet", "rate_limits")
+    return probe.join(side, (F.col("probe") == F.col("meet")) & inside).select(
+        *[c for c in keep if c != "rate_limits"],
+        "target_no",
+        "t_account",
+        "t_plan",
+        "t_minutes",
+        exact.alias("exact"),
+        (F.size("rate_limits") > 0).alias("limited"),
     )
 
 
 def lone_groups(cand: DataFrame, carry: list[str], *fields: str) -> DataFrame:
     """Candidates of a record grouped by `fields`: `n` of them, one target, and whether any was exact.
 
-    A hash aggregate: after a broadcast join all candidates of a record sit in one
-    task, so they collapse before the shuffle.
+    A hash aggregate over plain values: after a broadcast join all candidates of a
+    record sit in one task, so they collapse before the shuffle.
     """
     return cand.groupBy(*RECORD, *fields).agg(
         F.count("*").alias("n"),
         F.max("exact").alias("any_exact"),
-        F.min("target").alias("target"),
+        F.min("target_no").alias("target_no"),
         *[F.first(c).alias(c) for c in carry],
     )
 
 
-def _target() -> Column:
-    return F.struct("account_id", "plan_type", "limit_id", "window_minutes", "island", "id")
-
-
-def window_targets(windows: DataFrame) -> DataFrame:
-    return windows.select(
-        _target().alias("target"),
+def _window_targets(numbered: DataFrame) -> DataFrame:
+    return numbered.select(
+        "target_no",
         F.col("estimated_start").alias("start"),
         F.col("reset_at").alias("end"),
         "account_id",
@@ -134,41 +138,43 @@ def window_targets(windows: DataFrame) -> DataFrame:
         "limit_id",
         "window_minutes",
         "reset_at",
-        F.col("id").alias("target_id"),
     )
 
 
+def _number_windows(windows: DataFrame) -> DataFrame:
+    return number_targets(windows, "estimated_start", "reset_at", "windows")
+
+
 # --- usage attached to every matching window --------------------------------
 
 
-def attach_matches(windows: DataFrame, priced: DataFrame) -> DataFrame:
-    """(record, window) pairs: all exact matches of a record if it has any, else the windows
+def attach_matches(numbered: DataFrame, priced: DataFrame) -> DataFrame:
+    """(record, target_no) pairs: all exact matches of a record if it has any, else the windows
     that are its only candidate within (length, account, plan)."""
     carry = ["total_tokens", "credits"]
-    cand = candidates(priced, window_targets(windows), carry)
-    columns = [*RECORD, "target", *carry]
+    cand = candidates(priced, _window_targets(numbered), carry)
+    columns = [*RECORD, "target_no", *carry]
     # An exact match stands whatever else the record meets.
     exact = cand.where(F.col("exact")).select(columns)
-    groups = lone_groups(cand, carry, "t_minutes", "t_account", "t_plan")
+    groups = lone_groups(cand, carry, "t_minutes", "t_account", "t_plan").where(F.col("any_exact") | (F.col("n") == 1))
     matched = F.max("any_exact").over(Window.partitionBy(*RECORD))
-    legacy = groups.withColumn("matched", matched).where(~F.col("matched") & (F.col("n") == 1)).select(columns)
+    legacy = groups.withColumn("matched", matched).where(~F.col("matched")).select(columns)
     return exact.unionByName(legacy)
 
 
 def attach_usage(windows: DataFrame, priced: DataFrame, credits_per_usd: Decimal = Decimal(25)) -> DataFrame:
     """`windows` with total_tokens, credits and usd of the usage they cover."""
-    windows = stage(windows, "windows")
-    sums = attach_matches(windows, priced).groupBy("target").agg(
+    numbered = _number_windows(windows)
+    sums = attach_matches(numbered, priced).groupBy("target_no").agg(
         F.sum("total_tokens").alias("total_tokens"), F.sum("credits").alias("credits")
     )
     zero = F.lit(Decimal(0)).cast("decimal(38,12)")
     return (
-        windows.withColumn("target", _target())
-        .join(sums, "target", "left")
+        numbered.join(sums, "target_no", "left")
         .withColumn("total_tokens", F.coalesce("total_tokens", F.lit(0)))
         .withColumn("usd", usd(F.coalesce("credits", zero), credits_per_usd))
         .withColumn("credits", round6(F.coalesce("credits", zero)))
-        .drop("target")
+        .drop("target_no")
     )
 
 
@@ -185,25 +191,26 @@ def overlapping(windows: DataFrame, start, end) -> DataFrame:
 # --- usage assigned to at most one window -----------------------------------
 
 
-def assign_windows(priced: DataFrame, windows: DataFrame) -> DataFrame:
+def assign_windows(priced: DataFrame, numbered: DataFrame) -> DataFrame:
     """Adds `window_id`: the one window a record belongs to, or null.
 
     With rate limits only an exact match counts, the latest by (start, reset, id);
-    without, the record must have a single candidate. Records and candidates travel
-    in one outer join and one aggregation by record.
+    without, the record must have a single candidate.
     """
-    carry = [c for c in priced.columns if c not in (*RECORD, "rate_limits")]
-    cand = candidates(priced, window_targets(windows), carry, outer=True)
-    latest = F.struct("t_start", "t_reset", "t_id")
-    picked = cand.groupBy(*RECORD).agg(
-        F.max(F.when(F.col("exact"), latest)).alias("best"),
-        F.min("t_id").alias("only"),
-        F.count("target").alias("n"),
-        F.first("limited").alias("limited"),
-        *[F.first(c).alias(c) for c in carry],
+    picked = (
+        candidates(priced, _window_targets(numbered), [])
+        .groupBy(*RECORD)
+        .agg(
+            F.max(F.when(F.col("exact"), F.col("target_no"))).alias("best"),
+            F.min("target_no").alias("only"),
+            F.count("*").alias("n"),
+            F.max("limited").alias("limited"),
+        )
     )
-    chosen = F.when(F.col("limited"), F.col("best.t_id")).when(F.col("n") == 1, F.col("only"))
-    return picked.withColumn("window_id", chosen).drop("best", "only", "n", "limited")
+    chosen = F.when(F.col("limited"), F.col("best")).when(F.col("n") == 1, F.col("only"))
+    hits = picked.select(*RECORD, chosen.alias("target_no")).where(F.col("target_no").isNotNull())
+    ids = broadcast_if_small(numbered.select("target_no", F.col("id").alias("window_id")))
+    return priced.join(hits.join(ids, "target_no").drop("target_no"), list(RECORD), "left")
 
 
 def usage_by_window(
@@ -225,7 +232,7 @@ def usage_by_window(
     one_of(selector, tuple(SELECTORS), "selector")
     one_of(group, ("window", "model", "cwd", "account"), "group")
     one_of(sort, SORTS, "sort")
-    windows = stage(windows.where(F.col("window_minutes") == SELECTORS[selector]), "windows")
+    windows = _number_windows(windows.where(F.col("window_minutes") == SELECTORS[selector]))
     assigned = assign_windows(priced, windows)
     missing = f"unobserved:{selector}"
     key = F.coalesce("window_id", F.lit("unobserved")) if group == "window" else group_key(group, effort, tz)
@@ -284,7 +291,7 @@ def order_window_usage(rows: DataFrame, sort: str | None = None) -> DataFrame:
 
 def unobserved_usage(priced: DataFrame, windows: DataFrame) -> DataFrame:
     """Observed windows, and usage events outside all of them."""
-    windows = stage(windows, "windows")
+    windows = _number_windows(windows)
     events = assign_windows(priced, windows).agg(F.count_if(F.col("window_id").isNull()).alias("unobserved_usage_events"))
     seen = windows.agg(F.count("*").alias("observed_windows"))
     one = F.lit(1)
