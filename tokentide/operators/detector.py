@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tokentide.functions.scalars import FIVE_HOURS, PERCENT_EPSILON, off_time, round6, round_metric
 from tokentide.operators.chunked import linked, time_chunk
-from tokentide.operators.intervals import RECORD, candidates, lone_groups, number_targets
+from tokentide.operators.intervals import RECORD, candidates, exact_matches, lone_groups, number_targets
 from tokentide.session import stage
 
 MIN_CALLS = 3
@@ -89,9 +89,9 @@ def usage_matches(usable: DataFrame, priced: DataFrame) -> DataFrame:
         F.lit(FIVE_HOURS).cast("long").alias("window_minutes"),
         F.col("resets_at").alias("reset_at"),
     )
-    cand = candidates(priced, targets, [], closed="right")
-    exact = cand.where(F.col("limited") & F.col("exact")).select(*RECORD, "target_no", F.lit("exact").alias("kind"))
-    groups = lone_groups(cand.where(~F.col("limited")), [], "t_account", "t_plan")
+    exact = exact_matches(priced, targets, [], "right").withColumn("kind", F.lit("exact"))
+    unlimited = priced.where(F.size("rate_limits") == 0)
+    groups = lone_groups(candidates(unlimited, targets, [], "right"), [], "t_account", "t_plan")
     per_record = Window.partitionBy(*RECORD)
     groups = groups.withColumn("any_alone", F.min("n").over(per_record) == 1).withColumn(
         "first", F.row_number().over(per_record.orderBy("target_no")) == 1

@@ -10,10 +10,10 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokentide.functions.scalars import round6, usd, within_jitter
+from tokentide.functions.scalars import JITTER_MICROS, round6, usd, within_jitter
 from tokentide.operators.usage import SORTS, group_key, measures, one_of, positive, roll_up
 from tokentide.schemas import TOKEN_FIELDS
 from tokentide.session import MAX_BROADCAST_ROWS, broadcast_if_small, stage
@@ -38,16 +38,74 @@ def number_targets(targets: DataFrame, start: str, end: str, name: str) -> DataF
     return stage(numbered.withColumn("target_no", F.monotonically_increasing_id()), name)
 
 
+def _inside(closed: str) -> Column:
+    """The record's time lies in the target, which is open at its other end."""
+    if closed == "left":
+        return (F.col("us") >= F.col("t_start")) & (F.col("us") < F.col("t_end"))
+    return (F.col("us") > F.col("t_start")) & (F.col("us") <= F.col("t_end"))
+
+
+def _limited() -> Column:
+    return F.size("rate_limits") > 0
+
+
+def exact_matches(records: DataFrame, targets: DataFrame, carry: list[str], closed: str = "left") -> DataFrame:
+    """(record, target) pairs where one of the record's own rate limits names the target.
+
+    An equi-join on (length, plan, limit, reset bucket): with a bucket as wide as the
+    jitter, a reset meets its own and the two neighbouring buckets.
+    """
+    fits = lambda limit, minutes, plan, name, reset: (
+        (limit["window_minutes"] == minutes)
+        & within_jitter(limit["resets_at"], reset)
+        & limit["plan_type"].eqNullSafe(plan)
+        & limit["limit_id"].eqNullSafe(name)
+    )
+    bucket = lambda reset: F.floor(F.unix_micros(reset) / JITTER_MICROS)
+    key = lambda minutes, plan, name, n: F.struct(
+        minutes.alias("minutes"), plan.alias("plan"), name.alias("name"), n.alias("n")
+    )
+    side = targets.select(
+        "target_no",
+        key(F.col("window_minutes"), F.col("plan_type"), F.col("limit_id"), bucket(F.col("reset_at"))).alias("meet"),
+        F.unix_micros("start").alias("t_start"),
+        F.unix_micros("end").alias("t_end"),
+        F.col("account_id").alias("t_account"),
+        F.col("window_minutes").alias("t_minutes"),
+        F.col("plan_type").alias("t_plan"),
+        F.col("limit_id").alias("t_limit"),
+        F.col("reset_at").alias("t_reset"),
+    )
+    keep = list(dict.fromkeys([*RECORD, *carry]))
+    limits = records.where(_limited()).select(
+        *keep,
+        F.unix_micros("timestamp").alias("us"),
+        F.col("account_id").alias("r_account"),
+        "rate_limits",
+        F.posexplode("rate_limits").alias("pos", "limit"),
+    )
+    around = [
+        key(F.col("limit.window_minutes"), F.col("limit.plan_type"), F.col("limit.limit_id"), bucket(F.col("limit.resets_at")) + d)
+        for d in (-1, 0, 1)
+    ]
+    probe = limits.withColumn("probe", F.explode(F.array(*around)))
+    target = [F.col(c) for c in ("t_minutes", "t_plan", "t_limit", "t_reset")]
+    mine = F.col("t_account").isNull() | (F.col("t_account") == F.col("r_account"))
+    found = probe.join(broadcast_if_small(side), (F.col("probe") == F.col("meet")) & _inside(closed) & mine)
+    # Of several limits that name one target the first counts.
+    again = F.exists(F.slice("rate_limits", 1, F.col("pos")), lambda limit: fits(limit, *target))
+    return found.where(fits(F.col("limit"), *target) & ~again).select(*keep, "target_no")
+
+
 def candidates(records: DataFrame, targets: DataFrame, carry: list[str], closed: str = "left") -> DataFrame:
     """All (record, target) pairs that agree in time and account.
 
-    records: file_path, line_no, timestamp, account_id, rate_limits and `carry`
+    records: file_path, line_no, timestamp, account_id and `carry`
     targets: target_no, start, end, account_id, plan_type, limit_id, window_minutes, reset_at
     A target without an account takes every record; one with an account only its own.
     A record probes one bucket per size class, for its account and for targets without
-    one - only the combinations that occur. `exact` tells whether one of the record's
-    own rate limits names the target. Short intervals use short buckets, so a 5-minute
-    one takes about two and a 7-day one about eight.
+    one - only the combinations that occur. Short intervals use short buckets, so a
+    5-minute one takes about two and a 7-day one about eight.
     """
     start, end = F.unix_micros("start"), F.unix_micros("end")
     first, last = (start, end - 1) if closed == "left" else (start + 1, end)
@@ -71,9 +129,7 @@ def candidates(records: DataFrame, targets: DataFrame, carry: list[str], closed:
         end.alias("t_end"),
         F.col("account_id").alias("t_account"),
         F.col("plan_type").alias("t_plan"),
-        F.col("limit_id").alias("t_limit"),
         F.col("window_minutes").alias("t_minutes"),
-        F.col("reset_at").alias("t_reset"),
     )
     if sum(row["n"] for row in present) <= MAX_BROADCAST_ROWS:
         side = F.broadcast(side)
@@ -90,41 +146,21 @@ def candidates(records: DataFrame, targets: DataFrame, carry: list[str], closed:
     none = F.array().cast("array<struct<kls:int,bucket:bigint,owner:struct<account:string>>>")
     # A record without an account would probe the open targets twice.
     wanted = F.array_distinct(F.array(*probes)) if probes else none
-    keep = list(dict.fromkeys([*RECORD, "rate_limits", *carry]))
-    probe = records.withColumn("us", us).withColumn("probe", F.explode(wanted)).select(*keep, "us", "probe")
-    if closed == "left":
-        inside = (F.col("us") >= F.col("t_start")) & (F.col("us") < F.col("t_end"))
-    else:
-        inside = (F.col("us") > F.col("t_start")) & (F.col("us") <= F.col("t_end"))
-    exact = F.exists(
-        "rate_limits",
-        lambda limit: (limit["window_minutes"] == F.col("t_minutes"))
-        & within_jitter(limit["resets_at"], F.col("t_reset"))
-        & limit["plan_type"].eqNullSafe(F.col("t_plan"))
-        & limit["limit_id"].eqNullSafe(F.col("t_limit")),
-    )
-    return probe.join(side, (F.col("probe") == F.col("meet")) & inside).select(
-        *[c for c in keep if c != "rate_limits"],
-        "target_no",
-        "t_account",
-        "t_plan",
-        "t_minutes",
-        exact.alias("exact"),
-        (F.size("rate_limits") > 0).alias("limited"),
+    keep = list(dict.fromkeys([*RECORD, *carry]))
+    probe = records.select(*keep, us.alias("us"), F.explode(wanted).alias("probe"))
+    return probe.join(side, (F.col("probe") == F.col("meet")) & _inside(closed)).select(
+        *keep, "target_no", "t_account", "t_plan", "t_minutes"
     )
 
 
 def lone_groups(cand: DataFrame, carry: list[str], *fields: str) -> DataFrame:
-    """Candidates of a record grouped by `fields`: `n` of them, one target, and whether any was exact.
+    """Candidates of a record grouped by `fields`: their number `n` and one target.
 
     A hash aggregate over plain values: after a broadcast join all candidates of a
     record sit in one task, so they collapse before the shuffle.
     """
     return cand.groupBy(*RECORD, *fields).agg(
-        F.count("*").alias("n"),
-        F.max("exact").alias("any_exact"),
-        F.min("target_no").alias("target_no"),
-        *[F.first(c).alias(c) for c in carry],
+        F.count("*").alias("n"), F.min("target_no").alias("target_no"), *[F.first(c).alias(c) for c in carry]
     )
 
 
@@ -152,14 +188,15 @@ def attach_matches(numbered: DataFrame, priced: DataFrame) -> DataFrame:
     """(record, target_no) pairs: all exact matches of a record if it has any, else the windows
     that are its only candidate within (length, account, plan)."""
     carry = ["total_tokens", "credits"]
-    cand = candidates(priced, _window_targets(numbered), carry)
+    targets = _window_targets(numbered)
+    exact = exact_matches(priced, targets, carry)
+    # Records with limits that match nothing fall back to the rule for records without.
+    slim = priced.select(*RECORD, "timestamp", "account_id", "rate_limits", *carry)
+    unmatched = slim.where(_limited()).join(exact.select(*RECORD), list(RECORD), "left_anti")
+    rest = slim.where(~_limited()).unionByName(unmatched)
+    lone = lone_groups(candidates(rest, targets, carry), carry, "t_minutes", "t_account", "t_plan")
     columns = [*RECORD, "target_no", *carry]
-    # An exact match stands whatever else the record meets.
-    exact = cand.where(F.col("exact")).select(columns)
-    groups = lone_groups(cand, carry, "t_minutes", "t_account", "t_plan").where(F.col("any_exact") | (F.col("n") == 1))
-    matched = F.max("any_exact").over(Window.partitionBy(*RECORD))
-    legacy = groups.withColumn("matched", matched).where(~F.col("matched")).select(columns)
-    return exact.unionByName(legacy)
+    return exact.select(columns).unionByName(lone.where(F.col("n") == 1).select(columns))
 
 
 def attach_usage(windows: DataFrame, priced: DataFrame, credits_per_usd: Decimal = Decimal(25)) -> DataFrame:
@@ -197,18 +234,10 @@ def assign_windows(priced: DataFrame, numbered: DataFrame) -> DataFrame:
     With rate limits only an exact match counts, the latest by (start, reset, id);
     without, the record must have a single candidate.
     """
-    picked = (
-        candidates(priced, _window_targets(numbered), [])
-        .groupBy(*RECORD)
-        .agg(
-            F.max(F.when(F.col("exact"), F.col("target_no"))).alias("best"),
-            F.min("target_no").alias("only"),
-            F.count("*").alias("n"),
-            F.max("limited").alias("limited"),
-        )
-    )
-    chosen = F.when(F.col("limited"), F.col("best")).when(F.col("n") == 1, F.col("only"))
-    hits = picked.select(*RECORD, chosen.alias("target_no")).where(F.col("target_no").isNotNull())
+    targets = _window_targets(numbered)
+    best = exact_matches(priced, targets, []).groupBy(*RECORD).agg(F.max("target_no").alias("target_no"))
+    lone = lone_groups(candidates(priced.where(~_limited()), targets, []), []).where(F.col("n") == 1)
+    hits = best.unionByName(lone.select(*RECORD, "target_no"))
     ids = broadcast_if_small(numbered.select("target_no", F.col("id").alias("window_id")))
     return priced.join(hits.join(ids, "target_no").drop("target_no"), list(RECORD), "left")
 
