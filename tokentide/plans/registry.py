@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import UTC, datetime
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +34,7 @@ from tokentide.operators import (
 from tokentide.schemas import TOKEN_FIELDS
 from tokentide.session import configure, stage
 from tokentide.sources import adapters, histories, logs
+from tokentide.sources.ratecard import built_in
 
 NOW = datetime(2024, 1, 20, tzinfo=UTC)
 RANGE_START = datetime(2024, 1, 15, tzinfo=UTC)
@@ -69,43 +71,48 @@ class Tables:
         self.spark = spark
         self.ev = adapters.events(spark, sf_dir)
 
-    @property
+    @cached_property
     def usage(self) -> DataFrame:
         return adapters.usage(self.ev)
 
-    @property
+    @cached_property
     def with_mode(self) -> DataFrame:
         return asof.as_of(self.usage, "timestamp", adapters.mode_switches(self.ev), "fast")
 
-    @property
+    @cached_property
     def priced(self) -> DataFrame:
         return pricing.price(self.with_mode)
 
-    @property
+    @cached_property
     def samples(self) -> DataFrame:
         return adapters.samples(self.ev)
 
-    @property
+    @cached_property
     def session_events(self) -> DataFrame:
         return sessions.session_events(self.priced)
 
-    @property
+    @cached_property
     def windows(self) -> DataFrame:
         return quota.quota_windows(self.samples)
 
-    @property
+    @cached_property
     def detection(self) -> detector.Detection:
         return detector.Detection(adapters.rising_samples(self.ev), adapters.busy_usage(self.priced))
 
-    @property
+    @cached_property
     def events(self) -> DataFrame:
         return stage(parse.parse_lines(adapters.log_lines(self.ev)), "events")
 
-    @property
+    @cached_property
+    def forks(self) -> DataFrame:
+        lines = stage(adapters.fork_lines(self.ev), "forklines")
+        return fork.replay_prefix(fork.parents(fork.lineage(parse.parse_lines(lines))), lines)
+
+    @cached_property
     def accounts(self):
         return adapters.account_switches(self.ev), "a0"
 
-    @property
+    @cached_property
     def token_events(self) -> DataFrame:
         modes = (adapters.mode_switches(self.ev), None)
         return ingest.token_events(self.events, None, self.accounts, modes, RANGE_START, RANGE_END, ACCOUNT)
@@ -395,20 +402,8 @@ def _(t):
     return ingest.stale_files(records, files, RANGE_START, F.lit(True))
 
 
-@query("fork_replay")
-def _(t):
-    lines = stage(adapters.fork_lines(t.ev), "forklines")
-    found = fork.parents(fork.lineage(parse.parse_lines(lines)))
-    return fork.replay_prefix(found, lines)
-
-
-query("fork_counters")(
-    lambda t: fork.fork_counters(
-        fork.replay_prefix(
-            fork.parents(fork.lineage(parse.parse_lines(adapters.fork_lines(t.ev)))), adapters.fork_lines(t.ev)
-        )
-    )
-)
+query("fork_replay")(lambda t: t.forks)
+query("fork_counters")(lambda t: fork.fork_counters(t.forks))
 
 
 # --- histories and health ---------------------------------------------------
@@ -441,8 +436,6 @@ query("health_quota")(lambda t: health.health_quota(t.samples, NOW))
 @query("rate_card_use")
 def _(t):
     """Priced models of the card with the calls that used them."""
-    from tokentide.sources.ratecard import built_in
-
     card = pricing.inventory(built_in(t.spark)).where(F.col("status") == "priced")
     calls = t.priced.where(F.col("priced")).groupBy(F.col("pricing_label").alias("label")).agg(F.count("*").alias("calls"))
     return card.join(calls, "label", "left").select("card_key", "label", "in_rate", "fast_mult", F.coalesce("calls", F.lit(0)).alias("calls"))

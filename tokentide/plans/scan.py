@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tokentide.operators import diagnostics, fork, ingest
 from tokentide.operators.parse import LIMIT_MARKS, USAGE_MARKS, marked, parse_lines
-from tokentide.session import stage
+from tokentide.session import configure, stage
 from tokentide.sources import logs
 
 
@@ -21,7 +21,8 @@ class LogScan:
     """
 
     def __init__(self, spark: SparkSession, sessions_dir: str, start=None, end=None, full: bool = False, tz: str = "UTC"):
-        self.spark, self.sessions_dir, self.tz = spark, sessions_dir, tz
+        # Wall-clock parts are turned into instants under UTC; `tz` says whose clock they show.
+        self.spark, self.sessions_dir, self.tz = configure(spark), sessions_dir, tz
         self.start, self.end, self.full = start, end, full
         self.range = None if start is None or end is None else logs.ScanRange(start, end, full)
 

@@ -153,6 +153,9 @@ def read_lines(spark: SparkSession, sessions_dir: str, scan: ScanRange | None =
     roots = _existing(spark, roots_of(sessions_dir))
     if not roots:
         return spark.createDataFrame([], "file_path string, file_name string, block bigint, row bigint, value string")
+    # Splits must not depend on how many executors happen to be up at a scan.
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
     text = _reader(spark, "text").option("lineSep", "\n").load(roots)
     if scan is not None:
         located = _located(text, roots, F.col("_metadata.file_path"))
@@ -189,4 +192,7 @@ def number_lines(lines: DataFrame, keep: Column | None = None, split_info: DataF
     info = (splits(lines) if split_info is None else split_info).select("file_path", "block", "first_row", "offset")
     wanted = lines if keep is None else lines.where(keep)
     number = F.col("row") - F.col("first_row") + F.col("offset") + 1
-    return wanted.join(info, ["file_path", "block"]).withColumn("line_no", number).drop("row", "first_row", "offset")
+    # A line without its split would mean the two scans were cut differently: fail, never lose it.
+    lost = F.raise_error(F.lit("file splits changed between scans")).cast("bigint")
+    number = F.when(F.col("first_row").isNull(), lost).otherwise(number)
+    return wanted.join(info, ["file_path", "block"], "left").withColumn("line_no", number).drop("row", "first_row", "offset")
