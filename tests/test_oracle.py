@@ -38,4 +38,4 @@ def test_matches_sql(spark, name):
 
 
 def test_every_query_has_sql():
-    assert set(entry_module.queries()) == set(entry_module.oracle_sql())
+    assert set(QUERIES) == set(SQL)
