@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tokentide.llm import bpe, quality, shards, substrings
+from tokentide.llm import bpe, jaccard, quality, shards, substrings
 from tokentide.llm.tables import table
 
 
@@ -32,6 +32,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removed_windows(table(spark, sf_dir, "documents"))
 
@@ -40,5 +44,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_level_bpe": op2_byte_level_bpe,
     "op5_sharding": op5_sharding,
     "op8_quality_rules": op8_quality_rules,
+    "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_substring_dedup": op10_substring_dedup,
 }
