@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tokentide.llm import bpe, decontaminate, jaccard, quality, shards, substrings
+from tokentide.llm import bpe, decontaminate, jaccard, pseudonyms, quality, shards, substrings
 from tokentide.llm.tables import table
 
 
+# The key of the registered queries; a deployment passes its own.
+PII_KEY = "pseudonym key of the test tables"
+
+
 def vocabulary() -> tuple[bytes, str]:
     """Ranks and pattern of the public byte-level vocabulary."""
     with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as file:
@@ -30,6 +34,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shards(table(spark, sf_dir, "documents"), 16)
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.replaced(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.verdicts(table(spark, sf_dir, "documents"))
     return found.select(
@@ -49,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_level_bpe": op2_byte_level_bpe,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op5_sharding": op5_sharding,
+    "op6_pii": op6_pii,
     "op8_quality_rules": op8_quality_rules,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_substring_dedup": op10_substring_dedup,
