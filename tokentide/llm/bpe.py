@@ -1,8 +1,8 @@
 """Byte-level BPE by a lazily determinised finite-state transducer, and streaming decoding.
 
 A token sequence is the encoding of its bytes exactly if every neighbouring pair encodes to itself, so the last token
-of each prefix is unique and follows from the last tokens of shorter prefixes. The transducer's state is the last token put out
-and the bytes read since. Reading a byte finds the last token of the longer prefix; a token is put out as soon as all
+of each prefix is unique and follows from the last tokens of shorter prefixes. The transducer's state is the bytes read since
+the last output and their hypotheses; the token put out last is a register that moves may test. Reading a byte finds the last token of the longer prefix; a token is put out as soon as all
 hypotheses that can still grow share it, which takes at most a token's length of lookahead. States and moves are made when
 first met and kept; past `MOST_STATES` the table is dropped and made anew, which changes no result.
 
@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
@@ -29,72 +28,102 @@ from pyspark.sql import functions as F
 
 from tokentide.llm.words import pieces
 
-MOST_STATES = 1 << 17
+MOST_STATES = 1 << 18
 MOST_WORDS = 1 << 18
-# Bytes that may be pending before tokens are put out.
-LOOKAHEAD = 16
 BLOCK = 1 << 14
 
 
 class State:
-    """Hypotheses after some bytes: `ends[k]` is the last token of the pending prefix of length k."""
+    """Hypotheses after some bytes that are pending, whatever token was put out before them.
 
-    __slots__ = ("ends", "last", "moves", "pending")
+    `ends[k]` is the last token of the pending prefix of length k + 1; `live` has the places at which a token may have begun
+    that is still growing, each with its node in the tree of tokens. A move by a byte has the token that the pending bytes
+    would complete (or -1) and two targets with their output: for that token being a neighbour of the one put out before, and not.
+    """
+
+    __slots__ = ("ends", "live", "moves", "pending")
 
-    def __init__(self, last: int | None, pending: bytes, ends: tuple[int, ...]):
-        self.last, self.pending, self.ends = last, pending, ends
-        self.moves: dict[int, tuple[State, tuple[int, ...]]] = {}
+    def __init__(self, pending: bytes, ends: tuple[int, ...], live: tuple[tuple[int, int], ...]):
+        self.pending, self.ends, self.live = pending, ends, live
+        self.moves: dict[int, list] = {}
 
 
 class Transducer:
-    """Encoder of single pieces for one table of ranks."""
+    """Encoder of single pieces for one table of ranks, in which a token's parts rank before the token."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
-        self.longest = max(map(len, ranks))
-        self.stems = {t[:k] for t in ranks for k in range(1, len(t))}
-        self.apart: dict[tuple[int, int], bool] = {}
+        # The tree of tokens: children by node * 256 + byte, and each node's token.
+        self.child: dict[int, int] = {}
+        self.token_at = [-1]
+        self.grows = [True]
+        for token, i in ranks.items():
+            node = 0
+            for byte in token:
+                self.grows[node] = True
+                key = node << 8 | byte
+                node = self.child.get(key, 0)
+                if not node:
+                    node = self.child[key] = len(self.token_at)
+                    self.token_at.append(-1)
+                    self.grows.append(False)
+            self.token_at[node] = i
+        self.edges: dict[int, tuple[list[int], list[int]]] = {}
+        self.apart: dict[int, bool] = {}
         self._reset()
 
     def _reset(self) -> None:
-        self.states: dict[tuple[int | None, bytes], State] = {}
-        self.start = self._state(None, b"", ())
-
-    def _state(self, last: int | None, pending: bytes, ends: tuple[int, ...]) -> State:
-        found = self.states.get((last, pending))
+        self.states: dict[tuple[bytes, tuple[int, ...]], State] = {}
+        self.start = self.states[b"", ()] = State(b"", (), ())
+
+    def _parts(self, token: int) -> tuple[int, int] | None:
+        """The two tokens whose merge makes `token`: what its bytes come to without it, lowest rank first."""
+        parts = [self.ranks[bytes([b])] for b in self.tokens[token]]
+        while len(parts) > 2:
+            made = [self.ranks.get(self.tokens[x] + self.tokens[y], token) for x, y in zip(parts, parts[1:], strict=False)]
+            least = min(made)
+            if least >= token:
+                return None
+            k = made.index(least)
+            parts[k : k + 2] = [least]
+        return (parts[0], parts[1]) if len(parts) == 2 else None
+
+    def _edges(self, token: int) -> tuple[list[int], list[int]]:
+        """The tokens that stand at the left and at the right edge of `token` as it grows from single bytes."""
+        found = self.edges.get(token)
         if found is None:
-            found = self.states[last, pending] = State(last, pending, ends)
+            parts = self._parts(token)
+            left, right = (self._edges(parts[0])[0], self._edges(parts[1])[1]) if parts else ([], [])
+            found = self.edges[token] = ([*left, token], [*right, token])
         return found
 
-    def merged(self, text: bytes) -> list[int]:
-        """Encoding of a short text by its definition, lowest rank first; used to judge pairs of tokens."""
-        parts: list[bytes | None] = [text[k : k + 1] for k in range(len(text))]
-        after = list(range(1, len(parts) + 1))
-        before = list(range(-1, len(parts) - 1))
-        heap = [(self.ranks[a + b], k, a + b) for k, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in self.ranks]
-        heapq.heapify(heap)
-        while heap:
-            _, k, whole = heapq.heappop(heap)
-            nxt = after[k] if parts[k] is not None else len(parts)
-            if nxt >= len(parts) or parts[k] + parts[nxt] != whole:
-                continue
-            parts[k], parts[nxt], after[k] = whole, None, after[nxt]
-            if after[k] < len(parts):
-                before[after[k]] = k
-            for left, right in ((before[k], k), (k, after[k])):
-                if left >= 0 and right < len(parts) and (pair := parts[left] + parts[right]) in self.ranks:
-                    heapq.heappush(heap, (self.ranks[pair], left, pair))
-        return [self.ranks[p] for p in parts if p is not None]
-
     def stays_apart(self, a: int, b: int) -> bool:
-        found = self.apart.get((a, b))
+        """Whether the encoding of both tokens' bytes is these two tokens: no merge across comes before one inside."""
+        key = a << 32 | b
+        found = self.apart.get(key)
         if found is None:
             if len(self.apart) > MOST_STATES:
                 self.apart.clear()
-            found = self.apart[a, b] = self.merged(self.tokens[a] + self.tokens[b]) == [a, b]
+            found = self.apart[key] = self._stays_apart(self._edges(a)[1], self._edges(b)[0])
         return found
 
+    def _stays_apart(self, left: list[int], right: list[int]) -> bool:
+        never = len(self.tokens) + 1
+        i = j = 0
+        while True:
+            inside = left[i + 1] if i + 1 < len(left) else never
+            after = right[j + 1] if j + 1 < len(right) else never
+            across = self.ranks.get(self.tokens[left[i]] + self.tokens[right[j]], never)
+            if across < inside and across <= after and across != never:
+                return False
+            if inside == after == never:
+                return True
+            if inside <= after:
+                i += 1
+            else:
+                j += 1
+
     def _path(self, ends: tuple[int, ...], at: int) -> list[int]:
         """Prefix lengths from `at` back to zero along last tokens."""
         path = [at]
@@ -103,26 +132,37 @@ class Transducer:
             path.append(at)
         return path
 
-    def _move(self, s: State, byte: int) -> tuple[State, tuple[int, ...]]:
-        pending = s.pending + bytes([byte])
-        n = len(pending)
-        for at in range(max(0, n - self.longest), n):
-            token = self.ranks.get(pending[at:])
-            if token is not None:
-                previous = s.ends[at - 1] if at else s.last
-                if previous is None or self.stays_apart(previous, token):
-                    break
+    def _whole(self, s: State, byte: int) -> list:
+        """A new move of `s`, its targets still open: the token that all pending bytes and this one make, if any."""
+        at, node = s.live[0] if s.live else (0, 0)
+        node = self.child.get(node << 8 | byte) if not at else None
+        move = s.moves[byte] = [self.token_at[node] if node is not None else -1, None, None]
+        return move
+
+    def _move(self, s: State, byte: int, whole: bool) -> tuple[State, tuple[int, ...]]:
+        """Where a byte leads if a token of all pending bytes may stand (`whole`) or may not."""
+        n = len(s.ends)
+        token, live = -1, []
+        for at, node in (*s.live, (n, 0)):
+            node = self.child.get(node << 8 | byte)
+            if node is None:
+                continue
+            if token < 0 <= self.token_at[node] and (self.stays_apart(s.ends[at - 1], self.token_at[node]) if at else whole):
+                token = self.token_at[node]
+            if self.grows[node]:
+                live.append((at, node))
         ends = (*s.ends, token)
-        if n <= LOOKAHEAD:
-            return self._state(s.last, pending, ends), ()
-        common = self._path(ends, n)
-        for k in range(max(0, n - self.longest), n):
-            if pending[k:] in self.stems:
-                others = set(self._path(ends, k))
-                common = [x for x in common if x in others]
-        out = tuple(ends[k - 1] for k in reversed(common) if k)
+        common = self._path(ends, n + 1)
+        for at, _ in live:
+            others = self._path(ends, at)
+            common = [x for x in common if x in others]
         cut = common[0]
-        return self._state(out[-1] if out else s.last, pending[cut:], ends[cut:]), out
+        out = tuple([ends[k - 1] for k in reversed(common) if k])
+        key = ((s.pending + bytes([byte]))[cut:], ends[cut:])
+        found = self.states.get(key)
+        if found is None:
+            found = self.states[key] = State(*key, tuple([(at - cut, node) for at, node in live]))
+        return found, out
 
     def encode(self, piece: bytes) -> list[int]:
         """Token ids of one piece. A piece that is a token itself is that token."""
@@ -132,13 +172,17 @@ class Transducer:
         if len(self.states) > MOST_STATES:
             self._reset()
         out: list[int] = []
-        s = self.start
+        s, last = self.start, -1
         for byte in piece:
-            move = s.moves.get(byte)
-            if move is None:
-                move = s.moves[byte] = self._move(s, byte)
-            s, tokens = move
-            out += tokens
+            move = s.moves.get(byte) or self._whole(s, byte)
+            way = 1 if move[0] < 0 or last < 0 or self.stays_apart(last, move[0]) else 2
+            step = move[way]
+            if step is None:
+                step = move[way] = self._move(s, byte, way == 1)
+            s = step[0]
+            if step[1]:
+                out += step[1]
+                last = out[-1]
         out += [s.ends[k - 1] for k in reversed(self._path(s.ends, len(s.ends))) if k]
         return out
 
