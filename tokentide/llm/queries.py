@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tokentide.llm import bpe, decontaminate, html, jaccard, pseudonyms, quality, shards, substrings
+from tokentide.llm import bpe, decontaminate, html, jaccard, lm, pseudonyms, quality, shards, substrings
 from tokentide.llm.tables import table
 
 
@@ -43,6 +43,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.replaced(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.verdicts(table(spark, sf_dir, "documents"))
     return found.select(
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_html_extraction": op4_html_extraction,
     "op5_sharding": op5_sharding,
     "op6_pii": op6_pii,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_quality_rules": op8_quality_rules,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_substring_dedup": op10_substring_dedup,
