@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tokentide.llm import bpe, decontaminate, html, jaccard, lm, pseudonyms, quality, shards, substrings
+from tokentide.llm import bpe, decontaminate, html, jaccard, lm, pseudonyms, quality, repeats, shards, substrings
 from tokentide.llm.tables import table
 
 
@@ -21,6 +21,10 @@ def vocabulary() -> tuple[bytes, str]:
         return file.read(), public_tokenizers.PATTERN
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op2_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), *vocabulary())
 
@@ -63,6 +67,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_byte_level_bpe": op2_byte_level_bpe,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_html_extraction": op4_html_extraction,

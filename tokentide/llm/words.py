@@ -62,6 +62,16 @@ def window_hash(values: np.ndarray, width: int) -> np.ndarray:
     return mix(h)
 
 
+def window_sums(values: np.ndarray, width: int) -> np.ndarray:
+    """Like `window_hash`, from prefix sums: faster for wide windows."""
+    n = len(values) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * powers(_BASE, len(values)), out=total[1:])
+    return mix((total[width:] - total[:n]) * powers(_BASE_INVERSE, n))
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string or binary column (null: empty) and the n+1 offsets of its rows."""
     if column.null_count:
