@@ -68,9 +68,10 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 hashlib.blake2b(s.values[a:b].tobytes(), digest_size=16).digest() for a, b in zip(s.first[:-1], s.first[1:], strict=True)
             ]
             yield pa.RecordBatch.from_arrays(
-                [piece.column("doc_id"), pa.array(s.count.astype(np.int64)), pa.array(digests, pa.binary()), piece.column("text")],
-                names=["doc_id", "n_shingles", "digest", "text"],
-            )
+                [piece.column("doc_id"), piece.column("text_hash"), pa.array(s.count.astype(np.int64)), pa.array(digests, pa.binary()),
+                 piece.column("text")],
+                names=["doc_id", "text_hash", "n_shingles", "digest", "text"],
+            )
 
 
 def _all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,8 +245,9 @@ def _across_components(pairs: DataFrame, comps: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Every row with its class digest, and one row per class: (cid, doc_id, digest, text), both staged."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = rows.mapInArrow(_digest, "doc_id long, n_shingles long, digest binary, text string")
+    text = F.col(text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"))
+    found = rows.mapInArrow(_digest, "doc_id long, text_hash long, n_shingles long, digest binary, text string")
     one = found.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("text").alias("text"))
     one = stage(one.withColumn("cid", F.monotonically_increasing_id()), "classes")
     return stage(found.drop("text"), "members"), one
@@ -292,7 +294,7 @@ def class_links(texts: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def linked_documents(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row, and `class_size`: rows with the same set."""
+    """(doc_id, text_hash, n_shingles, component_id) of every row, and `class_size`: rows with the same set."""
     members, one = classes(docs, id_col, text_col)
     comps = components(class_links(one.select("cid", "text"), percent)).select(F.col("node").alias("cid"), "component")
     placed = stage(
@@ -306,8 +308,27 @@ def linked_documents(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc
         members.join(named.withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & (F.col("n_shingles") > 0), "left")
         .select(
             "doc_id",
+            "text_hash",
             "n_shingles",
             F.when(F.col("n_shingles") > 0, F.col("name")).otherwise(F.col("doc_id")).alias("component_id"),
             F.coalesce("class_size", F.lit(1)).alias("class_size"),
         )
     )
+
+
+def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Documents with one of each component: that with the least id (then hash of its text). All columns stay.
+
+    Documents without words stay. Rows that repeat an id and a text are one document and stay together.
+    """
+    linked = linked_documents(docs, percent)
+    alone = linked.where("n_shingles = 0").select("doc_id", "text_hash")
+    first = (
+        linked.where((F.col("n_shingles") > 0) & F.col("doc_id").eqNullSafe(F.col("component_id")))
+        .groupBy("component_id")
+        .agg(F.min("text_hash").alias("text_hash"))
+        .select(F.col("component_id").alias("doc_id"), "text_hash")
+    )
+    stay = alone.unionByName(first).select(F.col("doc_id").alias("stay_id"), F.col("text_hash").alias("stay_hash"))
+    own = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    return docs.join(stay, docs["doc_id"].cast("long").eqNullSafe(stay["stay_id"]) & (own == stay["stay_hash"]), "left_semi")

@@ -169,20 +169,25 @@ def verdicts(
     )
 
 
-def clean(docs: DataFrame, spark_columns: tuple[str, ...] = ("doc_id", "text", "lang", "source", "n_chars")) -> DataFrame:
-    """Documents that pass, without their boilerplate lines; `n_chars` follows the text."""
-    verdict = verdicts(docs).where("kept").select(
-        F.col("doc_id").alias("v_id"), F.col("text_hash").alias("v_hash"), F.col("host").alias("v_host"), "removed_lines"
-    ).distinct()
-    keyed = docs.select(*spark_columns).withColumn("v_text", F.xxhash64(F.coalesce("text", F.lit(""))))
+def clean(docs: DataFrame) -> DataFrame:
+    """Documents that pass, without their boilerplate lines; `n_chars` follows the text, all other columns stay."""
+    verdict = (
+        verdicts(docs)
+        .where("kept")
+        .select(F.col("doc_id").alias("v_id"), F.col("text_hash").alias("v_hash"), F.col("host").alias("v_host"), "removed_lines")
+        .distinct()
+    )
+    keyed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.col("doc_id").cast("long").alias("id"),
+        F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"),
+        F.coalesce("source", F.lit("")).alias("host"),
+    )
     joined = keyed.join(
         verdict,
-        F.col("doc_id").cast("long").eqNullSafe(F.col("v_id"))
-        & (F.col("v_text") == F.col("v_hash"))
-        & (F.coalesce("source", F.lit("")) == F.col("v_host")),
-    )
-    cut = F.array_join(
-        F.filter(F.split("text", "\n", -1), lambda _, no: ~F.array_contains("removed_lines", no)), "\n"
+        F.col("id").eqNullSafe(F.col("v_id")) & (F.col("hash") == F.col("v_hash")) & (F.col("host") == F.col("v_host")),
     )
-    text = F.when(F.size("removed_lines") > 0, cut).otherwise(F.col("text"))
-    return joined.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*spark_columns)
+    left = F.filter(F.split("row.text", "\n", -1), lambda _, no: ~F.array_contains("removed_lines", no))
+    text = F.when(F.size("removed_lines") > 0, F.array_join(left, "\n")).otherwise(F.col("row.text"))
+    new = {"text": text, "n_chars": F.length(text).cast("long")}
+    return joined.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

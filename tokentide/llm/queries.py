@@ -59,7 +59,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.linked_documents(table(spark, sf_dir, "documents"))
+    return jaccard.linked_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_size")
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
