@@ -8,9 +8,9 @@ block with its transpose and adds up the overlaps of each pair of rows, without
 all blocks discard what cannot reach the overlap that the two sizes demand. Remaining pairs are verified on
 their texts, each class's best partner first; later only pairs between different components count.
 
-A column with more than `WIDE` rows is multiplied with its first `PIVOTS` rows at first. Once components are known,
-it is multiplied in full between rows of different components. So a group of copies costs a
-multiple of its size, and no link between components is lost.
+A column with more than `WIDE` rows isn't multiplied in full at first. In each of `TURNS` turns it is multiplied with `PIVOTS`
+of its rows, and each row's best partner is verified. Once components are known, it is multiplied in full between rows of different
+components. So a group of copies costs a multiple of its size, and no link between components is lost.
 
 Defined cases: a null or wordless text has no shingles and is alone; fewer than five words are one shingle; a
 null id links like any other but is not named as a component unless all ids of it are null; repeated rows are equal sets; an empty
@@ -28,16 +28,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokentide.llm.components import components
-from tokentide.llm.words import Words, pieces, span_hash
+from tokentide.llm.words import Words, mix, pieces, span_hash
 from tokentide.session import stage
 
 SHINGLE = 5
 PERCENT = 75
 # Documents in the sample that orders the columns, and the count in it from which a column is common.
-ORDER_SAMPLE = 4096
+ORDER_SAMPLE = 16384
 COMMON = 4
 WIDE = 64
 PIVOTS = 4
+TURNS = 3
 
 
 class Sets:
@@ -114,13 +115,15 @@ def _entries(common: np.ndarray, percent: int):
     return run
 
 
-def _sorted_block(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, ...] | None:
+def _sorted_block(batches: Iterator[pa.RecordBatch], turn: int | None = None) -> tuple[np.ndarray, ...] | None:
+    """Entries of a block by column; inside a column by row, or in an order of its own for each turn."""
     table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
     if table is None or not table.num_rows:
         return None
     shingle = table.column("shingle").to_numpy()
     cid = table.column("cid").to_numpy()
-    order = np.lexsort((cid, shingle))
+    rank = cid if turn is None else mix(cid.view(np.uint64) + np.uint64(turn) * np.uint64(0x9E3779B97F4A7C15))
+    order = np.lexsort((rank, shingle))
     comp = table.column("comp").to_numpy()[order] if "comp" in table.schema.names else cid[order]
     shingle = shingle[order]
     begin = np.flatnonzero(np.append(True, shingle[1:] != shingle[:-1]))
@@ -137,7 +140,9 @@ def _products(cid, n, comp, spans, percent: int, most: int | None):
             fits = (100 * np.minimum(s[i], s[i + 1 :]) >= percent * np.maximum(s[i], s[i + 1 :])) & (k[i] != k[i + 1 :])
             j = np.flatnonzero(fits) + i + 1
             if len(j):
-                yield np.full(len(j), c[i]), c[j], np.full(len(j), s[i]), s[j]
+                one, two = np.full(len(j), c[i]), np.full(len(j), s[i])
+                turned = c[j] < c[i]
+                yield np.where(turned, c[j], one), np.where(turned, one, c[j]), np.where(turned, s[j], two), np.where(turned, two, s[j])
 
 
 def _summed(parts, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
@@ -170,18 +175,33 @@ _PAIR = "a long, b long, n int, m int, overlap int"
 
 
 def _narrow(percent: int):
-    """Product of a block: narrow columns in full, wide ones with their first rows."""
+    """Product of a block's narrow columns; entries of wide columns are passed on as (shingle, cid, n, 0, -1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = _sorted_block(batches)
+        if block is not None:
+            shingle, cid, n, comp, begin, end = block
+            size = end - begin
+            narrow = (size > 1) & (size <= WIDE)
+            yield from _summed(_products(cid, n, comp, list(zip(begin[narrow], end[narrow], strict=True)), percent, None))
+            at = np.flatnonzero(np.repeat(size > WIDE, size))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(shingle[at]), pa.array(cid[at]), pa.array(n[at].astype(np.int32)), pa.array(np.zeros(len(at), np.int32)),
+                 pa.array(np.full(len(at), -1, np.int32))],
+                names=["a", "b", "n", "m", "overlap"],
+            )
+
+    return run
+
+
+def _tops(percent: int, turn: int):
+    """Product of a block of wide columns with `PIVOTS` rows of each, others in each turn, between components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = _sorted_block(batches, turn)
         if block is not None:
             _, cid, n, comp, begin, end = block
-            many = end - begin > 1
-            wide = end - begin > WIDE
-            spans = list(zip(begin[many & ~wide], end[many & ~wide], strict=True))
-            tops = list(zip(begin[wide], end[wide], strict=True))
-            yield from _summed(_products(cid, n, comp, spans, percent, None))
-            yield from _summed(_products(cid, n, comp, tops, percent, PIVOTS))
+            yield from _summed(_products(cid, n, comp, list(zip(begin, end, strict=True)), percent, PIVOTS))
 
     return run
 
@@ -218,12 +238,29 @@ def _verify(percent: int):
     return run
 
 
-def _possible(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose summed overlap and unseen entries can still reach what their sizes demand."""
+def _possible(pairs: DataFrame, percent: int, unseen: DataFrame | None = None) -> DataFrame:
+    """Pairs whose summed overlap and uncounted entries can still reach what their sizes demand.
+
+    `unseen` (cid, wide) has the number of a row's entries in columns that weren't multiplied.
+    """
     summed = pairs.groupBy("a", "b").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.sum("overlap").alias("overlap"))
+    more = F.lit(0)
+    if unseen is not None:
+        for side in ("a", "b"):
+            summed = summed.join(unseen.select(F.col("cid").alias(side), F.col("wide").alias(f"wide_{side}")), side, "left")
+        more = F.least(F.coalesce("wide_a", F.lit(0)), F.coalesce("wide_b", F.lit(0)))
     need = F.ceil(F.lit(percent) * (F.col("n") + F.col("m")) / F.lit(100.0 + percent) - 1e-9)
     rest = F.greatest(*[F.floor(F.col(c) * percent / 100.0) + 1 for c in ("n", "m")])
-    return summed.where(F.col("overlap") + rest >= need).select("a", "b", "overlap")
+    return summed.where(F.col("overlap") + more + rest >= need).select("a", "b", "overlap")
+
+
+def _best(pairs: DataFrame) -> DataFrame:
+    """Each row's pair of the greatest overlap."""
+    each = pairs.select("a", F.col("b").alias("other"), "overlap").unionByName(
+        pairs.select(F.col("b").alias("a"), F.col("a").alias("other"), "overlap")
+    )
+    best = each.groupBy("a").agg(F.max_by("other", F.struct("overlap", -F.col("other"))).alias("other"))
+    return best.select(F.least("a", "other").alias("a"), F.greatest("a", "other").alias("b")).distinct()
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -265,32 +302,45 @@ def class_links(texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     common = np.sort(common.to_numpy(np.int64).view(np.uint64))
     entries = texts.select("cid", "text").mapInArrow(_entries(common, percent), "shingle long, cid long, n int")
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = entries.repartition(blocks, "shingle")
-    pairs = stage(_possible(dealt.mapInArrow(_narrow(percent), _PAIR), percent), "pairs")
+    products = stage(entries.repartition(blocks, "shingle").mapInArrow(_narrow(percent), _PAIR), "products")
+    wide = products.where("overlap < 0").select(F.col("a").alias("shingle"), F.col("b").alias("cid"), "n")
+    unseen = wide.groupBy("cid").agg(F.count(F.lit(1)).alias("wide"))
+    pairs = stage(_possible(products.where("overlap > 0"), percent, unseen), "pairs")
 
-    best = F.max_by("other", F.struct("overlap", -F.col("other")))
-    each = pairs.select("a", F.col("b").alias("other"), "overlap").unionByName(
-        pairs.select(F.col("b").alias("a"), F.col("a").alias("other"), "overlap")
-    )
-    first = each.groupBy("a").agg(best.alias("other")).select(F.least("a", "other").alias("a"), F.greatest("a", "other").alias("b")).distinct()
+    first = _best(pairs)
     links = _linked(first, texts, percent)
     comps = stage(components(links), "components")
     later = stage(_across_components(pairs, comps).join(first, ["a", "b"], "left_anti"), "later")
     links = links.unionByName(_linked(later, texts, percent))
-    comps = stage(components(links), "components")
 
-    # Wide columns between components: those of one component only are dropped before they are dealt.
-    wide = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > WIDE).select("shingle")
-    named = stage(
-        entries.join(wide, "shingle", "left_semi")
-        .join(comps.withColumnRenamed("node", "cid"), "cid", "left")
-        .select("shingle", "cid", "n", F.coalesce("component", "cid").alias("comp")),
-        "wide",
-    )
-    mixed = named.groupBy("shingle").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("shingle")
-    dealt = named.join(mixed, "shingle", "left_semi").repartition(blocks, "shingle")
-    more = _possible(dealt.mapInArrow(_across(percent), _PAIR), percent)
-    return links.unionByName(_linked(more, texts, percent))
+    if wide.isEmpty():
+        return links
+
+    def between() -> DataFrame | None:
+        """Wide columns with rows of several components, dealt to blocks; None if there are none."""
+        named = stage(
+            wide.join(comps.withColumnRenamed("node", "cid"), "cid", "left").select(
+                "shingle", "cid", "n", F.coalesce("component", "cid").alias("comp")
+            ),
+            "wide",
+        )
+        mixed = named.groupBy("shingle").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("shingle")
+        mixed = stage(mixed, "mixed")
+        return None if mixed.isEmpty() else named.join(mixed, "shingle", "left_semi").repartition(blocks, "shingle")
+
+    for turn in range(TURNS):
+        comps = stage(components(links), "components")
+        columns = between()
+        if columns is None:
+            return links
+        tops = columns.mapInArrow(_tops(percent, turn), _PAIR).groupBy("a", "b").agg(F.sum("overlap").alias("overlap"))
+        links = links.unionByName(_linked(_best(stage(tops, "tops")), texts, percent))
+    comps = stage(components(links), "components")
+    columns = between()
+    if columns is None:
+        return links
+    rest = stage(_possible(columns.mapInArrow(_across(percent), _PAIR), percent), "rest")
+    return links.unionByName(_linked(rest, texts, percent))
 
 
 def linked_documents(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
