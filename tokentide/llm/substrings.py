@@ -103,7 +103,8 @@ def repeated_spans(reps: DataFrame, width: int) -> DataFrame:
     state = reps
     for length in lengths(width):
         parts = state.mapInArrow(_emit(width, length), _PART)
-        again = parts.groupBy("key", "proof").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "proof")
+        # Written, so that both sides of the semi-join are plain shuffles and hot parts can be split.
+        again = stage(parts.groupBy("key", "proof").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "proof"), "again")
         spans = (
             parts.join(again, ["key", "proof"], "left_semi")
             .groupBy("rep")
