@@ -21,9 +21,10 @@ from pyspark.sql import functions as F
 
 from tokentide.session import stage
 
-# Expected sample keys per range; the driver holds SAMPLE_PER_RANGE * ranges keys, whatever the input's size.
+# Expected sample keys per range. A range is sorted by one task; the driver holds SAMPLE_PER_RANGE keys of each.
 SAMPLE_PER_RANGE = 24
 RANGES_PER_SHARD = 8
+ROWS_PER_RANGE = 2_000_000
 OVERFULL = 2.0
 
 
@@ -99,7 +100,7 @@ def shards(
         ),
         "sizes",
     )
-    total = rows.agg(F.sum("size")).first()[0] or 0
+    total, n_rows = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
     # At most n_shards / whole_share groups are above this size, so their keys may be broadcast.
     large = (
         rows.groupBy("key")
@@ -112,7 +113,7 @@ def shards(
     keyed = rows.join(F.broadcast(large), "key", "left").withColumn(
         "sub", F.when(F.col("large"), F.coalesce("doc_id", F.lit(least))).otherwise(F.lit(least))
     )
-    ranges = n_shards * RANGES_PER_SHARD
+    ranges = max(n_shards * RANGES_PER_SHARD, n_rows // ROWS_PER_RANGE)
     dealt, sums = _ranges(keyed, total, ranges)
     sums = sums.sort_values("part")
     spark = docs.sparkSession
