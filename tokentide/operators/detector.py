@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokentide.functions.scalars import FIVE_HOURS, PERCENT_EPSILON, off_time, round6, round_metric
 from tokentide.operators.chunked import linked, time_chunk
-from tokentide.operators.intervals import RECORD, candidates, exact_matches, lone_groups, number_targets
+from tokentide.operators.intervals import RECORD, covering, exact_matches
 from tokentide.session import stage
 
 MIN_CALLS = 3
@@ -71,12 +71,12 @@ def sample_pairs(observed: DataFrame) -> DataFrame:
 
 
 def usable_pairs(pairs: DataFrame) -> DataFrame:
-    """Pairs that can take usage, numbered."""
-    return number_targets(pairs.where(F.col("usable")), "interval_start", "interval_end", "usable")
+    """Pairs that can take usage, numbered in no order."""
+    return stage(pairs.where(F.col("usable")).withColumn("target_no", F.monotonically_increasing_id()), "usable")
 
 
 def usage_matches(usable: DataFrame, priced: DataFrame) -> DataFrame:
-    """(record, pair) matches, plus one row per record that found only ambiguous pairs (`kind` ambiguous).
+    """(record, pair) matches, plus one row per record that found only ambiguous pairs (`kind` ambiguous, no pair).
 
     With rate limits only exact pairs count. Without, a record needs a pair that is
     alone within (account, plan).
@@ -89,18 +89,18 @@ def usage_matches(usable: DataFrame, priced: DataFrame) -> DataFrame:
         F.lit(FIVE_HOURS).cast("long").alias("window_minutes"),
         F.col("resets_at").alias("reset_at"),
     )
-    exact = exact_matches(priced, targets, [], "right").withColumn("kind", F.lit("exact"))
-    unlimited = priced.where(F.size("rate_limits") == 0)
-    groups = lone_groups(candidates(unlimited, targets, [], "right"), [], "t_account", "t_plan")
-    per_record = Window.partitionBy(*RECORD)
-    groups = groups.withColumn("any_alone", F.min("n").over(per_record) == 1).withColumn(
-        "first", F.row_number().over(per_record.orderBy("target_no")) == 1
-    )
-    kind = F.when(F.col("n") == 1, "legacy").when(~F.col("any_alone") & F.col("first"), "ambiguous")
-    legacy = groups.withColumn("kind", kind).where(F.col("kind").isNotNull()).select(*RECORD, "target_no", "kind")
-    found = exact.unionByName(legacy)
     carry = ["session_id", "model", "total_tokens", "normal_credits", "fast_credits"]
-    return found.join(priced.select(*RECORD, *carry), list(RECORD))
+    columns = [*RECORD, "target_no", "kind", *carry]
+    exact = exact_matches(priced, targets, carry, "right").withColumn("kind", F.lit("exact"))
+    groups = covering(priced.where(F.size("rate_limits") == 0), targets, carry, ["t_plan"], "right")
+    alone = groups.where("n = 1").withColumn("kind", F.lit("legacy"))
+    several = (
+        groups.groupBy(*RECORD)
+        .agg(F.min("n").alias("least"), *[F.first(c).alias(c) for c in carry])
+        .where("least > 1")
+        .withColumns({"kind": F.lit("ambiguous"), "target_no": F.lit(None).cast("long")})
+    )
+    return exact.select(columns).unionByName(alone.select(columns)).unionByName(several.select(columns))
 
 
 def intervals(usable: DataFrame, matches: DataFrame) -> DataFrame:

@@ -1,19 +1,20 @@
 """Joins of usage records to time intervals (quota windows, sample pairs).
 
 Every interval is exploded into time buckets and met by an equi-join on bucket and
-account, so no theta join ever runs. The exploded side is staged
-and counted: it is broadcast only when proven small, and otherwise shuffled, where
-AQE may split a hot bucket on the record side.
+account, so no theta join ever runs. Where only the number of overlapping intervals counts,
+a sweep turns them into disjoint spans first. The exploded side is counted: it is broadcast only
+when proven small, and otherwise shuffled, where AQE may split a hot bucket on the record side.
 """
 
 from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tokentide.functions.scalars import JITTER_MICROS, round6, usd, within_jitter
+from tokentide.operators.chunked import linked, running_sum
 from tokentide.operators.usage import SORTS, group_key, measures, one_of, positive, roll_up
 from tokentide.schemas import TOKEN_FIELDS
 from tokentide.session import MAX_BROADCAST_ROWS, broadcast_if_small, stage
@@ -38,11 +39,62 @@ def number_targets(targets: DataFrame, start: str, end: str, name: str) -> DataF
     return stage(numbered.withColumn("target_no", F.monotonically_increasing_id()), name)
 
 
-def _inside(closed: str) -> Column:
-    """The record's time lies in the target, which is open at its other end."""
-    if closed == "left":
-        return (F.col("us") >= F.col("t_start")) & (F.col("us") < F.col("t_end"))
-    return (F.col("us") > F.col("t_start")) & (F.col("us") <= F.col("t_end"))
+def _timed(targets: DataFrame, closed: str) -> DataFrame:
+    """Targets as (target_no, t_*): half-open times in microseconds, without empty ones."""
+    shift = 0 if closed == "left" else 1
+    return targets.select(
+        "target_no",
+        (F.unix_micros("start") + shift).alias("t_start"),
+        (F.unix_micros("end") + shift).alias("t_end"),
+        F.col("account_id").alias("t_account"),
+        F.col("window_minutes").alias("t_minutes"),
+        F.col("plan_type").alias("t_plan"),
+        F.col("limit_id").alias("t_limit"),
+        F.col("reset_at").alias("t_reset"),
+    ).where("t_end > t_start")
+
+
+def _spread(rows: DataFrame) -> tuple[DataFrame, list[Row]]:
+    """Rows with [t_start, t_end) once per time bucket they touch (`meet`), and the kinds of buckets that occur.
+
+    Short spans use short buckets, so one of 5 minutes takes about two and one of 7 days about eight. A
+    row without an account is open to all records, another one to its account's.
+    """
+    span = F.col("t_end") - F.col("t_start")
+    kls = F.when(span <= 3_600_000_000, 0).when(span <= 86_400_000_000, 1).otherwise(2)
+    sized = rows.withColumn("kls", kls).withColumns(
+        {"first": F.floor(F.col("t_start") / _size(F.col("kls"))), "last": F.floor((F.col("t_end") - 1) / _size(F.col("kls")))}
+    )
+    # At most three size classes times two account kinds.
+    present = (
+        sized.groupBy("kls", F.col("t_account").isNull().alias("open"))
+        .agg(F.sum(F.col("last") - F.col("first") + 1).alias("n"))
+        .orderBy("kls", "open")
+        .collect()
+    )
+    spread = sized.withColumn("bucket", F.explode(F.sequence("first", "last")))
+    return spread.withColumn("meet", _meeting(F.col("kls"), F.col("bucket"), F.col("t_account"))).drop(
+        "kls", "first", "last", "bucket"
+    ), present
+
+
+def _meeting(kls: Column, bucket: Column, account: Column) -> Column:
+    return F.named_struct(F.lit("kls"), kls.cast("int"), F.lit("bucket"), bucket.cast("long"), F.lit("account"), account)
+
+
+def _meetings(present: list[Row], us: Column, account: Column) -> Column:
+    """The buckets in which a record can meet a target: one per kind, once if it has no account."""
+    nobody = F.lit(None).cast("string")
+    wanted = [_meeting(F.lit(r["kls"]), F.floor(us / _size(r["kls"])), nobody if r["open"] else account) for r in present]
+    none = F.array().cast("array<struct<kls:int,bucket:bigint,account:string>>")
+    return F.array_distinct(F.array(*wanted)) if wanted else none
+
+
+_INSIDE = "us >= t_start and us < t_end"
+
+
+def _checked(side: DataFrame, present: list[Row]) -> DataFrame:
+    return F.broadcast(side) if sum(r["n"] for r in present) <= MAX_BROADCAST_ROWS else side
 
 
 def _limited() -> Column:
@@ -52,7 +104,7 @@ def _limited() -> Column:
 def exact_matches(records: DataFrame, targets: DataFrame, carry: list[str], closed: str = "left") -> DataFrame:
     """(record, target) pairs where one of the record's own rate limits names the target.
 
-    An equi-join on (length, plan, limit, reset bucket): with a bucket as wide as the
+    An equi-join on (length, plan, limit, reset bucket, account, time bucket): with a reset bucket as wide as the
     jitter, a reset meets its own and the two neighbouring buckets.
     """
     fits = lambda limit, minutes, plan, name, reset: (
@@ -62,106 +114,71 @@ def exact_matches(records: DataFrame, targets: DataFrame, carry: list[str], clos
         & limit["limit_id"].eqNullSafe(name)
     )
     bucket = lambda reset: F.floor(F.unix_micros(reset) / JITTER_MICROS)
-    key = lambda minutes, plan, name, n: F.struct(
-        minutes.alias("minutes"), plan.alias("plan"), name.alias("name"), n.alias("n")
-    )
-    side = targets.select(
-        "target_no",
-        key(F.col("window_minutes"), F.col("plan_type"), F.col("limit_id"), bucket(F.col("reset_at"))).alias("meet"),
-        F.unix_micros("start").alias("t_start"),
-        F.unix_micros("end").alias("t_end"),
-        F.col("account_id").alias("t_account"),
-        F.col("window_minutes").alias("t_minutes"),
-        F.col("plan_type").alias("t_plan"),
-        F.col("limit_id").alias("t_limit"),
-        F.col("reset_at").alias("t_reset"),
+    named = lambda minutes, plan, name, n: F.named_struct(
+        F.lit("minutes"), minutes, F.lit("plan"), plan, F.lit("name"), name, F.lit("n"), n
     )
+    spread, present = _spread(_timed(targets, closed))
+    side = spread.withColumn("name", named(F.col("t_minutes"), F.col("t_plan"), F.col("t_limit"), bucket(F.col("t_reset"))))
     keep = list(dict.fromkeys([*RECORD, *carry]))
+    us = F.unix_micros("timestamp")
     limits = records.where(_limited()).select(
         *keep,
-        F.unix_micros("timestamp").alias("us"),
-        F.col("account_id").alias("r_account"),
+        us.alias("us"),
+        _meetings(present, us, F.col("account_id")).alias("meetings"),
         "rate_limits",
         F.posexplode("rate_limits").alias("pos", "limit"),
     )
     around = [
-        key(F.col("limit.window_minutes"), F.col("limit.plan_type"), F.col("limit.limit_id"), bucket(F.col("limit.resets_at")) + d)
+        named(F.col("limit.window_minutes"), F.col("limit.plan_type"), F.col("limit.limit_id"), bucket(F.col("limit.resets_at")) + d)
         for d in (-1, 0, 1)
     ]
-    probe = limits.withColumn("probe", F.explode(F.array(*around)))
+    probe = limits.withColumn("r_name", F.explode(F.array(*around))).withColumn("r_meet", F.explode("meetings"))
     target = [F.col(c) for c in ("t_minutes", "t_plan", "t_limit", "t_reset")]
-    mine = F.col("t_account").isNull() | (F.col("t_account") == F.col("r_account"))
-    found = probe.join(broadcast_if_small(side), (F.col("probe") == F.col("meet")) & _inside(closed) & mine)
+    on = (F.col("r_name") == F.col("name")) & (F.col("r_meet") == F.col("meet")) & F.expr(_INSIDE)
+    found = probe.join(_checked(side, present), on)
     # Of several limits that name one target the first counts.
     again = F.exists(F.slice("rate_limits", 1, F.col("pos")), lambda limit: fits(limit, *target))
     return found.where(fits(F.col("limit"), *target) & ~again).select(*keep, "target_no")
 
 
-def candidates(records: DataFrame, targets: DataFrame, carry: list[str], closed: str = "left") -> DataFrame:
-    """All (record, target) pairs that agree in time and account.
+def coverage(targets: DataFrame, by: list[str], closed: str = "left") -> DataFrame:
+    """Disjoint spans of time per account and `by` (of t_minutes, t_plan) with the number of targets that cover them.
 
-    records: file_path, line_no, timestamp, account_id and `carry`
-    targets: target_no, start, end, account_id, plan_type, limit_id, window_minutes, reset_at
-    A target without an account takes every record; one with an account only its own.
-    A record probes one bucket per size class, for its account and for targets without
-    one - only the combinations that occur. Short intervals use short buckets, so a
-    5-minute one takes about two and a 7-day one about eight.
+    A sweep over the targets' ends: running sums of +1 and -1, and of the targets' numbers, so a
+    span that one target covers names it.
     """
-    start, end = F.unix_micros("start"), F.unix_micros("end")
-    first, last = (start, end - 1) if closed == "left" else (start + 1, end)
-    span = end - start
-    kls = F.when(span <= 3_600_000_000, 0).when(span <= 86_400_000_000, 1).otherwise(2)
-    rows = targets.where(span > 0).withColumn("kls", kls).withColumns(
-        {"first": F.floor(first / _size(F.col("kls"))), "last": F.floor(last / _size(F.col("kls")))}
-    )
-    # At most three size classes times two account kinds.
-    present = (
-        rows.groupBy("kls", F.col("account_id").isNull().alias("open"))
-        .agg(F.sum(F.col("last") - F.col("first") + 1).alias("n"))
-        .orderBy("kls", "open")
-        .collect()
+    rows = _timed(targets, closed).withColumn("key", F.struct("t_account", *by))
+    ends = rows.select("key", F.col("t_start").alias("at"), F.lit(1).alias("d"), F.col("target_no").alias("no")).unionByName(
+        rows.select("key", F.col("t_end").alias("at"), F.lit(-1).alias("d"), (-F.col("target_no")).alias("no"))
     )
-    owner = lambda c: F.struct(c.alias("account"))
-    side = rows.withColumn("bucket", F.explode(F.sequence("first", "last"))).select(
-        "target_no",
-        F.struct("kls", "bucket", owner(F.col("account_id")).alias("owner")).alias("meet"),
-        start.alias("t_start"),
-        end.alias("t_end"),
-        F.col("account_id").alias("t_account"),
-        F.col("plan_type").alias("t_plan"),
-        F.col("window_minutes").alias("t_minutes"),
+    turns = (
+        ends.groupBy("key", "at")
+        .agg(F.sum("d").cast("long").alias("d"), F.sum("no").alias("no"))
+        .withColumn("chunk", F.floor(F.col("at") / 3_600_000_000))
     )
-    if sum(row["n"] for row in present) <= MAX_BROADCAST_ROWS:
-        side = F.broadcast(side)
-    us = F.unix_micros("timestamp")
-    nobody = F.lit(None).cast("string")
-    probes = [
-        F.struct(
-            F.lit(row["kls"]).alias("kls"),
-            F.floor(us / _size(row["kls"])).alias("bucket"),
-            owner(nobody if row["open"] else F.col("account_id")).alias("owner"),
-        )
-        for row in present
-    ]
-    none = F.array().cast("array<struct<kls:int,bucket:bigint,owner:struct<account:string>>>")
-    # A record without an account would probe the open targets twice.
-    wanted = F.array_distinct(F.array(*probes)) if probes else none
-    keep = list(dict.fromkeys([*RECORD, *carry]))
-    probe = records.select(*keep, us.alias("us"), F.explode(wanted).alias("probe"))
-    return probe.join(side, (F.col("probe") == F.col("meet")) & _inside(closed)).select(
-        *keep, "target_no", "t_account", "t_plan", "t_minutes"
+    order = ["at"]
+    spans = linked(turns, ["key"], "chunk", order, ["at"]).withColumn("t_start", F.col("prev.at")).drop("prev", "rn")
+    spans = running_sum(spans, ["key"], "chunk", order, F.col("d"), "upto")
+    spans = running_sum(spans, ["key"], "chunk", order, F.col("no"), "upto_no")
+    return spans.where("t_start IS NOT NULL AND upto > d").select(
+        "key.*", "t_start", F.col("at").alias("t_end"), (F.col("upto") - F.col("d")).alias("n"), (F.col("upto_no") - F.col("no")).alias("target_no")
     )
 
 
-def lone_groups(cand: DataFrame, carry: list[str], *fields: str) -> DataFrame:
-    """Candidates of a record grouped by `fields`: their number `n` and one target.
+def covering(records: DataFrame, targets: DataFrame, carry: list[str], by: list[str], closed: str = "left") -> DataFrame:
+    """For each record and group of targets that agree with it in time and account: their number `n`, and the target if it is alone.
 
-    A hash aggregate over plain values: after a broadcast join all candidates of a
-    record sit in one task, so they collapse before the shuffle.
+    records: file_path, line_no, timestamp, account_id and `carry`
+    targets: target_no, start, end, account_id, plan_type, limit_id, window_minutes, reset_at
+    A target without an account takes every record; one with an account only its own. Groups are split by
+    t_account and `by`. Each record meets one span per group, however many targets overlap.
     """
-    return cand.groupBy(*RECORD, *fields).agg(
-        F.count("*").alias("n"), F.min("target_no").alias("target_no"), *[F.first(c).alias(c) for c in carry]
-    )
+    spread, present = _spread(stage(coverage(targets, by, closed), "coverage"))
+    keep = list(dict.fromkeys([*RECORD, *carry]))
+    us = F.unix_micros("timestamp")
+    probe = records.select(*keep, us.alias("us"), F.explode(_meetings(present, us, F.col("account_id"))).alias("r_meet"))
+    found = probe.join(_checked(spread, present), (F.col("r_meet") == F.col("meet")) & F.expr(_INSIDE))
+    return found.select(*keep, "t_account", *by, "n", "target_no")
 
 
 def _window_targets(numbered: DataFrame) -> DataFrame:
@@ -194,7 +211,7 @@ def attach_matches(numbered: DataFrame, priced: DataFrame) -> DataFrame:
     slim = priced.select(*RECORD, "timestamp", "account_id", "rate_limits", *carry)
     unmatched = slim.where(_limited()).join(exact.select(*RECORD), list(RECORD), "left_anti")
     rest = slim.where(~_limited()).unionByName(unmatched)
-    lone = lone_groups(candidates(rest, targets, carry), carry, "t_minutes", "t_account", "t_plan")
+    lone = covering(rest, targets, carry, ["t_minutes", "t_plan"])
     columns = [*RECORD, "target_no", *carry]
     return exact.select(columns).unionByName(lone.where(F.col("n") == 1).select(columns))
 
@@ -236,7 +253,8 @@ def assign_windows(priced: DataFrame, numbered: DataFrame) -> DataFrame:
     """
     targets = _window_targets(numbered)
     best = exact_matches(priced, targets, []).groupBy(*RECORD).agg(F.max("target_no").alias("target_no"))
-    lone = lone_groups(candidates(priced.where(~_limited()), targets, []), []).where(F.col("n") == 1)
+    groups = covering(priced.where(~_limited()), targets, [], [])
+    lone = groups.groupBy(*RECORD).agg(F.sum("n").alias("n"), F.sum("target_no").alias("target_no")).where(F.col("n") == 1)
     hits = best.unionByName(lone.select(*RECORD, "target_no"))
     ids = broadcast_if_small(numbered.select("target_no", F.col("id").alias("window_id")))
     return priced.join(hits.join(ids, "target_no").drop("target_no"), list(RECORD), "left")

@@ -97,7 +97,7 @@ class Tables:
 
     @cached_property
     def detection(self) -> detector.Detection:
-        return detector.Detection(adapters.rising_samples(self.ev), adapters.busy_usage(self.priced))
+        return detector.Detection(adapters.rising_samples(self.ev), stage(adapters.busy_usage(self.priced), "busy"))
 
     @cached_property
     def events(self) -> DataFrame:
