@@ -89,12 +89,24 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = f"{staging_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    staged.staged_at = path
+    return staged
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Delete tables that `stage` has returned and nothing reads any more."""
+    for table in tables:
+        _delete(table.sparkSession, table.staged_at)
 
 
 def release(spark: SparkSession) -> None:
     """Delete all tables this application has staged; call it once their results are written or collected."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staging_folder(spark))
+    _delete(spark, staging_folder(spark))
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
