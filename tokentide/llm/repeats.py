@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from tokentide.llm.anchors import anchors
 from tokentide.llm.rindex import RunIndex
-from tokentide.llm.words import _VALUES, buffers, covered, pieces, window_sums
-from tokentide.session import stage
+from tokentide.llm.words import _VALUES, buffers, covered, pieces, repeated, window_sums
+from tokentide.session import stage, unstage
 
 WIDTH = 50
 GRAM = 16
@@ -126,20 +126,34 @@ _CONTEXT = "key long, context binary, cid long, doc long, lo int"
 
 def earlier(data: np.ndarray, offsets: np.ndarray, doc: np.ndarray, width: int) -> np.ndarray:
     """For each string a bit per window start: whether a string of a smaller document holds that window."""
-    index = RunIndex(data, offsets)
+    bits = np.zeros(len(doc), np.int64)
+    some = np.flatnonzero(_with_company(data, offsets, width))
+    if not len(some):
+        return bits
+    size = np.diff(offsets)[some]
+    at = np.concatenate([[0], np.cumsum(size)])
+    data = data[np.arange(at[-1]) - np.repeat(at[:-1] - offsets[some], size)]
+    index = RunIndex(data, at)
     group = index.groups(width)
     first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-    least = np.minimum.reduceat(doc[index.string[index.order]], first)
-    bits = np.zeros(len(doc), np.int64)
-    size = np.diff(offsets)
-    for step, strings, rows, length in index.stream(data, offsets):
+    least = np.minimum.reduceat(doc[some][index.string[index.order]], first)
+    for step, strings, rows, length in index.stream(data, at):
         long = length >= width
         s = strings[long]
-        found = least[group[rows[long]]] < doc[s]
-        bits[s[found]] |= np.int64(1) << (size[s[found]] - 1 - step)
+        found = least[group[rows[long]]] < doc[some[s]]
+        bits[some[s[found]]] |= np.int64(1) << (size[s[found]] - 1 - step)
     return bits
 
 
+def _with_company(data: np.ndarray, offsets: np.ndarray, width: int) -> np.ndarray:
+    """Strings that hold a window whose hash occurs twice; the others can't match and needn't be indexed."""
+    h = window_sums(_VALUES[data], width)
+    string = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    whole = np.flatnonzero(string[: len(h)] == string[width - 1 :][: len(h)])
+    again = repeated(h[whole])
+    return np.bincount(string[whole[again]], minlength=len(offsets) - 1) > 0
+
+
 def _indexed(width: int):
     """Map of (key, context, doc), sorted by key, to (key, proof, doc, bits)."""
 
@@ -189,8 +203,8 @@ def _forget(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def repeated_starts(reps: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(cid, spans) over classes (cid, least, text): (start, bits) of the windows that a smaller document holds."""
+def candidates(reps: DataFrame, width: int = WIDTH) -> DataFrame:
+    """Classes (cid, least, text) with the numbers of their anchors that documents of other ids hold too; staged."""
     spark = reps.sparkSession
     shared = (
         reps.select("least", "text")
@@ -210,54 +224,74 @@ def repeated_starts(reps: DataFrame, width: int = WIDTH) -> DataFrame:
         .agg(F.sort_array(F.collect_list("number")).alias("numbers"))
     )
     numbered = stage(numbered, "numbers")
+    unstage(shared)
     _forget(spark)
     chosen = stage(reps.select("cid", "least", "text").join(numbered, "cid"), "chosen")
+    unstage(numbered)
     _forget(spark)
+    return chosen
+
+
+def repeated_starts(chosen: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(cid, spans) of candidates: (start, bits) of the windows that a smaller document holds; staged."""
+    spark = chosen.sparkSession
     held = chosen.mapInArrow(_contexts(width), _CONTEXT)
-    distinct = stage(held.groupBy("key", "context").agg(F.min("doc").alias("doc")).withColumn("proof", F.xxhash64("context")), "contexts")
+    distinct = stage(
+        held.groupBy("key", "context")
+        .agg(F.min("doc").alias("doc"), (F.min("doc") < F.max("doc")).alias("several"))
+        .withColumn("proof", F.xxhash64("context")),
+        "contexts",
+    )
     _forget(spark)
     sizes = stage(distinct.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
     many = sizes.where(F.col("n") > FULL).select("key")
+    overfull = not many.isEmpty()
 
     # A context that is alone with its anchor has nothing to match but itself.
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     matched = (
-        distinct.join(sizes.where(F.col("n") <= FULL).select("key"), "key", "left_semi")
+        distinct.select("key", "context", "doc", "proof")
+        .join(sizes.where(F.col("n") <= FULL).select("key"), "key", "left_semi")
         .repartition(blocks, "key")
         .sortWithinPartitions("key")
-        .select("key", "context", "doc", "proof")
         .mapInArrow(_indexed(width), "key long, proof long, first long, bits long")
     )
     known = stage(matched.where("bits <> 0"), "matched")
-    firsts = distinct.select("key", "proof", F.col("doc").alias("first")).join(
-        known.select("key", "proof", "bits"), ["key", "proof"], "left"
+    # Only these contexts remove anything: several documents hold them, or a smaller one holds a window of theirs.
+    firsts = (
+        distinct.select("key", "proof", F.col("doc").alias("first"), "several")
+        .join(known.select("key", "proof", "bits"), ["key", "proof"], "left")
+        .where("several OR bits IS NOT NULL")
+        .select("key", "proof", "first", F.coalesce("bits", F.lit(0)).alias("bits"))
     )
-    firsts = stage(firsts.join(many, "key", "left_anti"), "firsts")
+    firsts = stage(firsts.join(many, "key", "left_anti") if overfull else firsts, "firsts")
+    unstage(distinct, known)
+    _forget(spark)
     light = held.select(
         "key", F.xxhash64("context").alias("proof"), "cid", "doc", "lo", (F.octet_length("context") - width + 1).alias("starts")
     )
     every = F.expr("shiftleft(1L, starts) - 1")
     marks = (
         light.join(firsts, ["key", "proof"])
-        .select("cid", "lo", F.when(F.col("doc") > F.col("first"), every).otherwise(F.coalesce("bits", F.lit(0))).cast("long").alias("bits"))
+        .select("cid", "lo", F.when(F.col("doc") > F.col("first"), every).otherwise(F.col("bits")).cast("long").alias("bits"))
         .where("bits <> 0")
     )
+    if overfull:
+        marks = marks.unionByName(_single_windows(held.join(many, "key", "left_semi"), width))
+    return stage(marks.groupBy("cid").agg(F.collect_list(F.struct("lo", "bits")).alias("spans")), "marks")
 
-    cut = held.join(many, "key", "left_semi").select(
-        "cid",
-        "doc",
-        F.col("lo"),
-        F.posexplode(
-            F.transform(F.sequence(F.lit(1), F.octet_length("context") - width + 1), lambda k: F.substring("context", k, F.lit(width)))
-        ).alias("k", "window"),
-    )
+
+def _single_windows(held: DataFrame, width: int) -> DataFrame:
+    """(cid, lo, bits) of the windows of contexts that a smaller document holds, each window counted over all documents."""
+    starts = F.sequence(F.lit(1), F.octet_length("context") - width + 1)
+    windows = F.transform(starts, lambda k: F.substring("context", k, F.lit(width)))
+    cut = held.select("cid", "doc", "lo", F.posexplode(windows).alias("k", "window"))
     least = cut.groupBy("window").agg(F.min("doc").alias("first"))
-    singles = (
+    return (
         cut.join(least, "window")
         .where(F.col("doc") > F.col("first"))
         .select("cid", (F.col("lo") + F.col("k")).alias("lo"), F.lit(1).cast("long").alias("bits"))
     )
-    return stage(marks.unionByName(singles).groupBy("cid").agg(F.collect_list(F.struct("lo", "bits")).alias("spans")), "marks")
 
 
 def _kept(width: int):
@@ -296,13 +330,18 @@ def without_repeats(
     reps = named.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("text").alias("text"))
     reps = stage(reps.withColumn("cid", F.monotonically_increasing_id()), "classes")
     _forget(spark)
-    marks = repeated_starts(reps.select("cid", "least", "text"), width)
-    kept = reps.select("cid", "text").join(marks, "cid").mapInArrow(
+    named = stage(reps.select("digest", "least", "cid"), "named")
+    chosen = candidates(reps.select("cid", "least", "text"), width)
+    unstage(reps)
+    marks = repeated_starts(chosen, width)
+    _forget(spark)
+    kept = chosen.select("cid", "text").join(marks, "cid").mapInArrow(
         _kept(width), "cid long, removed long, spans long, sha string, kept binary"
     )
     kept = stage(kept if with_bytes else kept.drop("kept"), "kept")
     _forget(spark)
-    changed = reps.select("digest", "least", "cid").join(kept, "cid", "left").drop("cid")
+    unstage(chosen)
+    changed = named.join(kept, "cid", "left").drop("cid")
     members = found if with_bytes else found.drop("text")
     copy = F.col("doc_id") > F.col("least")
     first = F.col("doc_id") == F.col("least")
