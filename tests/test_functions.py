@@ -120,11 +120,16 @@ def test_unpriced_stub_and_limits(spark, usage):
 def test_sinks(spark, tmp_path, usage):
     priced = pricing.price(usage((at(), 10), (at(), 20, {"cwd": 'a,"b"'})))
     rows, totals = usage_by(priced, "cwd"), usage_totals(priced, "cwd")
-    sinks.write_csv(rows.coalesce(1), str(tmp_path / "csv"), totals)
+    sinks.write_csv(rows, str(tmp_path / "csv"), totals)
     text = [line for f in sorted((tmp_path / "csv").glob("part*")) for line in f.read_text().splitlines()]
     assert text[0].startswith("key,sessions,calls") and any(line.startswith('"a,""b""",') for line in text)
-    assert any(line.startswith("Total,1,2,30") for line in text)
+    assert text[-1].startswith("Total,1,2,30") and len(text) == 4 and sum(line.startswith("key,") for line in text) == 1
     sinks.write_json(rows, str(tmp_path / "json"))
     assert spark.read.json(str(tmp_path / "json")).count() == 2
-    report = json.loads(sinks.report_json(rows, totals, groupBy="cwd").first()[0])
+    report = json.loads("".join(r.text for r in sinks.report_json(rows, totals, groupBy="cwd").collect()))
     assert [r["key"] for r in report["rows"]] == ["/w", 'a,"b"'] and report["totals"]["calls"] == 2
+    many = spark.range(120_000).select("id")
+    sinks.write_report(many, str(tmp_path / "many"), title="x")
+    whole = "".join(f.read_text() for f in sorted((tmp_path / "many").glob("part*")))
+    assert json.loads(whole) == {"title": "x", "rows": [{"id": k} for k in range(120_000)]}
+    assert json.loads("".join(r.text for r in sinks.report_json(many.limit(0)).collect())) == {"rows": []}

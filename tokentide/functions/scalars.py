@@ -159,9 +159,8 @@ def round_metric(col: Column | str) -> Column:
 
 
 def usd(credits: Column | str, credits_per_usd: Decimal = Decimal(25)) -> Column:
-    """Credits (decimal) in dollars, rounded like credits."""
-    rate = (Decimal(1) / credits_per_usd).quantize(Decimal("1e-8")).normalize()
-    return F.round(_c(credits).cast("decimal(28,12)") * F.lit(rate), 6).cast("double")
+    """Credits (decimal) in dollars: divided at 15 decimals or more, then rounded like credits."""
+    return F.round(_c(credits).cast("decimal(28,12)") / F.lit(credits_per_usd), 6).cast("double")
 
 
 def grouped_int(col: Column | str) -> Column:

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from tokentide.operators.chunked import time_chunk
 from tokentide.session import MAX_BROADCAST_ROWS
 
-MIN_BUCKET_SECONDS = 60
-MAX_BUCKET_SECONDS = 86_400
+DAY_SECONDS = 86_400
 
 
 def intervals(switches: DataFrame, value: str) -> DataFrame:
@@ -22,7 +21,7 @@ def intervals(switches: DataFrame, value: str) -> DataFrame:
         switches.groupBy("ts")
         .agg(F.max_by(F.struct(F.col(value)), "pos").alias("v"))
         .select(F.col("ts").alias("start"), F.col(f"v.{value}").alias("value"))
-        .withColumn("chunk", time_chunk("start", MAX_BUCKET_SECONDS))
+        .withColumn("chunk", time_chunk("start", DAY_SECONDS))
     )
     heads = last.groupBy("chunk").agg(F.min("start").alias("head"))
     following = heads.select("chunk", F.lead("head").over(Window.partitionBy(F.lit(0)).orderBy("chunk")).alias("after"))
@@ -37,10 +36,10 @@ def intervals(switches: DataFrame, value: str) -> DataFrame:
 def as_of(df: DataFrame, ts: str, switches: DataFrame, value: str, default=None, out: str | None = None) -> DataFrame:
     """Adds `out`: the value of the latest switch at or before `ts`, else `default`, else null.
 
-    Rows before the first or after the last switch need no join. The rest meet the
-    history in time buckets sized so that the exploded history has about as many
-    rows as switches plus days; it is broadcast when that many rows are proven
-    small, and otherwise joined on the bucket (a plain equi-join, so AQE can
+    Rows before the first or after the last switch need no join. The others meet the validity intervals in time
+    buckets whose size follows the interval's length (powers of 16 microseconds): an interval touches at most two
+    buckets, and a bucket of one size holds at most 17 intervals of it, however close the switches lie. The
+    history is broadcast when its rows are proven few, and otherwise joined on the bucket (a plain equi-join, so AQE can
     split a hot bucket).
     """
     out = out or value
@@ -55,22 +54,24 @@ def as_of(df: DataFrame, ts: str, switches: DataFrame, value: str, default=None,
     if ends.n == 0:
         return df.withColumn(out, fallback)
 
-    seconds = max(MIN_BUCKET_SECONDS, min(MAX_BUCKET_SECONDS, (ends.last - ends.first) // 1_000_000 // ends.n))
-    size = seconds * 1_000_000
-    closed = intervals(switches, value).where("end IS NOT NULL")
     start, end = F.unix_micros("start"), F.unix_micros("end")
-    history = closed.select(
-        F.explode(F.sequence(F.floor(start / size), F.floor((end - 1) / size))).alias("_bucket"),
-        start.alias("_start"),
-        end.alias("_end"),
-        F.col("value").alias("_value"),
+    spans = intervals(switches, value).where("end IS NOT NULL").select(
+        start.alias("_start"), end.alias("_end"), F.col("value").alias("_value")
     )
-    if ends.n + (ends.last - ends.first) // size + 1 <= MAX_BROADCAST_ROWS:
+    # The number of hexadecimal digits of the length.
+    spans = spans.withColumn("_digits", F.length(F.hex(F.col("_end") - F.col("_start"))))
+    sizes = sorted(r[0] for r in spans.select("_digits").distinct().collect())
+    size = F.expr("shiftleft(1L, 4 * _digits)")
+    history = spans.withColumn("_at", F.explode(F.sequence(F.floor(F.col("_start") / size), F.floor((F.col("_end") - 1) / size))))
+    history = history.select(F.struct("_digits", "_at").alias("_bucket"), "_start", "_end", "_value", F.lit(True).alias("_found"))
+    if 2 * ends.n <= MAX_BROADCAST_ROWS:
         history = F.broadcast(history)
     us = F.unix_micros(ts)
-    # Rows outside the switches' span get a null bucket and skip the join.
-    probe = df.withColumn("_us", us).withColumn(
-        "_probe", F.when((us >= ends.first) & (us < ends.last), F.floor(us / size))
+    inside = F.coalesce((us >= ends.first) & (us < ends.last), F.lit(False))
+    bucket = lambda d: F.named_struct(F.lit("_digits"), F.lit(d), F.lit("_at"), F.floor(us / (1 << 4 * d)))
+    nowhere = F.array(F.lit(None).cast("struct<_digits: int, _at: bigint>"))
+    probe = df.withColumns({"_us": us, "_inside": inside}).withColumn(
+        "_probe", F.explode(F.when(inside, F.array(*map(bucket, sizes))).otherwise(nowhere) if sizes else nowhere)
     )
     on = (F.col("_probe") == F.col("_bucket")) & (F.col("_us") >= F.col("_start")) & (F.col("_us") < F.col("_end"))
     picked = (
@@ -78,6 +79,7 @@ def as_of(df: DataFrame, ts: str, switches: DataFrame, value: str, default=None,
         .when(F.col("_us") >= ends.first, F.col("_value"))
         .when(F.col("_us").isNotNull(), fallback)
     )
-    return probe.join(history, on, "left").select(
+    # The intervals are disjoint and leave no gap: one bucket of a row inside finds its interval.
+    return probe.join(history, on, "left").where("_found OR NOT _inside").select(
         *[c for c in df.columns if c != out], picked.alias(out)
     )

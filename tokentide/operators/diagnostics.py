@@ -121,9 +121,14 @@ WARNED = (
 )
 
 
-def warnings(counters: DataFrame, full_scan: bool = False) -> DataFrame:
-    """One row per counter above zero: order, code, count, message."""
+def warnings(counters: DataFrame, full_scan: bool = False, unpriced: DataFrame | None = None) -> DataFrame:
+    """One row per counter above zero: order, code, count, message. `unpriced` (model) names the models in theirs."""
     found = []
+    names = F.lit("")
+    if unpriced is not None:
+        listed = unpriced.agg(F.array_join(F.sort_array(F.collect_set("model")), ", ").alias("unpriced_names"))
+        counters = counters.join(listed, how="left")
+        names = F.when(F.col("unpriced_names") != "", F.concat(F.lit(": "), "unpriced_names")).otherwise("")
     for order, (name, text) in enumerate(WARNED):
         if name not in counters.columns or (name == "prefiltered_files" and full_scan):
             continue
@@ -132,7 +137,7 @@ def warnings(counters: DataFrame, full_scan: bool = False) -> DataFrame:
             F.lit(order).alias("ord"),
             F.lit(name).alias("code"),
             n.alias("count"),
-            F.concat(n.cast("string"), F.lit(" " + text)).alias("message"),
+            F.concat(n.cast("string"), F.lit(" " + text), names if name == "unpriced_calls" else F.lit("")).alias("message"),
         )
         found.append(F.when(n > 0, row))
     return counters.select(F.inline(F.array_compact(F.array(*found)))).orderBy("ord")

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from tokentide.functions import variants as V
 from tokentide.session import broadcast_if_small
 
-MAX_NAME = 255
-
 
 def lineage(events: DataFrame) -> DataFrame:
     """Per file, the ids of a leading `session_meta` line and of the one right after it.
@@ -26,10 +24,10 @@ def lineage(events: DataFrame) -> DataFrame:
 def _by_name(missing: DataFrame, all_files: DataFrame) -> DataFrame:
     """First file whose name starts with `rollout-` and contains the wanted id.
 
-    Containment becomes an equi-join on the substrings of the wanted lengths
-    (at most 255 lengths: longer ids fit in no file name).
+    Containment becomes an equi-join on the substrings of the wanted lengths; ids longer than every file name fit in none.
     """
-    lengths = missing.where(F.length("parent_session_id").between(1, MAX_NAME)).agg(
+    longest = all_files.agg(F.max(F.length("file_name"))).first()[0] or 0
+    lengths = missing.where(F.length("parent_session_id").between(1, longest)).agg(
         F.collect_set(F.length("parent_session_id")).alias("n")
     ).first()["n"]
     if not lengths:

@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokentide.functions.scalars import CREDIT, normalize_model, pricing_key
+from tokentide.session import broadcast_if_small
 from tokentide.sources.ratecard import RateCard, built_in
 
-TOKEN = "decimal(18,0)"
+# With rates of six decimals, a record's credits keep twelve decimals in 38 digits.
+TOKEN = "decimal(16,0)"
 
 
 def _tokens(name: str) -> Column:
@@ -21,7 +23,7 @@ def price(df: DataFrame, card: RateCard | None = None, mode: str = "fast") -> Da
     """Adds priced, pricing_label, billable/cached input, credit_multiplier and three credit columns.
 
     `credits` follows the record's mode, `normal_credits` and `fast_credits` ignore it.
-    The card is broadcast: it has a fixed few rows, or passed the loader's size check.
+    The card is broadcast if it is the built-in one or counted as small; a larger one is joined by a shuffle.
     """
     card = card or built_in(df.sparkSession)
     cached = F.least(_tokens("cached_input_tokens"), _tokens("input_tokens"))
@@ -34,8 +36,10 @@ def price(df: DataFrame, card: RateCard | None = None, mode: str = "fast") -> Da
     normal = per_million.cast("decimal(28,12)")
     is_fast = F.coalesce(F.col(mode), F.lit(False)) if mode in df.columns else F.lit(False)
     zero = F.lit(Decimal(0)).cast(CREDIT)
+    models = card.models.drop("note")
+    models = F.broadcast(models) if card.few else broadcast_if_small(models)
     joined = df.withColumn("card_key", pricing_key("model")).join(
-        F.broadcast(card.models.drop("note")), "card_key", "left"
+        models, "card_key", "left"
     )
     return (
         joined.withColumn("priced", F.col("label").isNotNull())

@@ -64,10 +64,6 @@ def dedup_samples(samples: DataFrame) -> DataFrame:
     )
 
 
-def duplicate_count(samples: DataFrame) -> DataFrame:
-    return dedup_samples(samples).agg(F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("duplicate_samples"))
-
-
 def _rolling_zero() -> Column:
     full = F.unix_micros("timestamp") + F.col("window_minutes") * 60_000_000
     return (F.abs("used_percent") <= PERCENT_EPSILON) & (F.abs(full - F.unix_micros("resets_at")) < JITTER_MICROS)

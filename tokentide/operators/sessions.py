@@ -198,8 +198,3 @@ def session_compact(events: DataFrame, max_rows: int = COMPACT_ROWS, tz: str | N
         .withColumn("label", range_label("start", "end", tz))
         .orderBy("session_id", "run", "bucket")
     )
-
-def session_summary(priced: DataFrame, session_id: str, credits_per_usd: Decimal = Decimal(25)) -> DataFrame:
-    return session_rows(priced.where(F.col("session_id") == session_id), credits_per_usd)
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["roll_up"]

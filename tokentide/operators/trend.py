@@ -9,13 +9,17 @@ almost all of it parallelises:
   matters, so the first row of each distinct value is enough, and of those only
   the strict running maxima.
 * What is left (resets that creep, or values that grow by less than the epsilon)
-  is folded row by row, in blocks of bounded size that hand their state on.
+  is folded row by row, all blocks of bounded size at once; a block whose state from
+  the block before turns out otherwise is folded again.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokentide.functions.scalars import JITTER_MICROS, PERCENT_EPSILON
@@ -108,56 +112,85 @@ def _accept(block: pd.DataFrame) -> pd.DataFrame:
     has_state = bool(block["has_state"].iloc[0])
     u, r = (block["state_used"].iloc[0], block["state_reset"].iloc[0]) if has_state else (0.0, 0)
     taken = []
-    for i in range(len(block)):
-        if not has_state or abs(reset[i] - r) >= JITTER_MICROS or used[i] - u > PERCENT_EPSILON:
-            has_state, u, r = True, used[i], reset[i]
-            taken.append(i)
+    at = 0
+    while at < len(block):
+        # The next accepted row: all rows are tested against the state at once.
+        fits = (np.abs(reset[at:] - r) >= JITTER_MICROS) | (used[at:] - u > PERCENT_EPSILON) if has_state else np.array([True])
+        step = int(fits.argmax())
+        if not fits[step]:
+            break
+        at += step
+        has_state, u, r = True, used[at], reset[at]
+        taken.append(at)
+        at += 1
     return block.iloc[taken][list(_ACCEPTED)]
 
 
-_ACCEPTED = (*SEGMENT, "rn")
-_ACCEPTED_SCHEMA = "account_id string, plan_type string, limit_id string, window_minutes bigint, run bigint, rn bigint"
+_BLOCK = (*SEGMENT, "block")
+_ACCEPTED = (*_BLOCK, "rn", "used_percent", "resets_us")
+_ACCEPTED_SCHEMA = (
+    "account_id string, plan_type string, limit_id string, window_minutes bigint, run bigint, block bigint, rn bigint, "
+    "used_percent double, resets_us bigint"
+)
+
+
+def _match(left: DataFrame, right: DataFrame, right_names: dict[str, str]) -> Column:
+    """Null-safe equality of columns of `left` and their namesakes of `right`."""
+    parts = [left[c].eqNullSafe(right[n]) for c, n in right_names.items()]
+    return reduce(lambda x, y: x & y, parts)
 
 
 def _fold(rows: DataFrame, block_rows: int) -> DataFrame | None:
-    """Accepted rows of the segments that need the row-by-row fold; None when there are none."""
+    """Accepted rows of the segments that need the row-by-row fold; None when there are none.
+
+    All blocks are folded at once, at first without a state. A block is folded again when the state that the block before hands
+    on has changed. Two folds that accept one row agree from there on, so a second round is usually the last one; it
+    takes as many rounds as blocks follow one another without a common row.
+    """
     rows = stage(rows.withColumn("block", F.expr(f"(rn - rn0) div {block_rows}")), "fold")
-    last = rows.agg(F.max("block")).first()[0]
-    if last is None:
+    if rows.isEmpty():
         return None
-    slim = rows.select(*SEGMENT, "rn", "block", "used_percent", F.unix_micros("resets_at").alias("resets_us"))
-    state, parts = None, []
-    for n in range(last + 1):
-        block = slim.where(F.col("block") == n)
-        if state is None:
-            block = block.withColumns({"state_used": F.lit(0.0), "state_reset": F.lit(0).cast("long"), "has_state": F.lit(False)})
-        else:
-            same = [block[c].eqNullSafe(state[f"s_{c}"]) for c in SEGMENT]
-            block = block.join(state, same, "left").select(
-                *[block[c] for c in slim.columns],
-                F.coalesce("s_used", F.lit(0.0)).alias("state_used"),
-                F.coalesce("s_reset", F.lit(0)).alias("state_reset"),
-                F.col("s_used").isNotNull().alias("has_state"),
-            )
-        taken = stage(block.groupBy(*SEGMENT).applyInPandas(_accept, _ACCEPTED_SCHEMA), "accepted")
-        parts.append(taken)
-        if n < last:
-            ends = taken.groupBy(*SEGMENT).agg(F.max("rn").alias("rn"))
-            here = slim.where(F.col("block") <= n)
-            same = [ends[c].eqNullSafe(here[c]) for c in _ACCEPTED]
-            fresh = ends.join(here, same).select(
-                *[ends[c].alias(f"s_{c}") for c in SEGMENT],
-                F.col("used_percent").alias("s_used"),
-                F.col("resets_us").alias("s_reset"),
+    slim = rows.select(*_BLOCK, "rn", "used_percent", F.unix_micros("resets_at").alias("resets_us"))
+    names = {c: f"s_{c}" for c in _BLOCK}
+    bare = slim.withColumns({"state_used": F.lit(0.0), "state_reset": F.lit(0).cast("long"), "has_state": F.lit(False)})
+    taken = stage(bare.groupBy(*_BLOCK).applyInPandas(_accept, _ACCEPTED_SCHEMA), "accepted")
+    blocks = slim.groupBy(*_BLOCK).agg(F.lit(1).alias("one")).drop("one")
+    blocks = stage(blocks, "blocks")
+    given: DataFrame | None = None
+    while True:
+        # What each block hands on: its last accepted row, or what it was given.
+        last = taken.groupBy(*_BLOCK).agg(F.max_by(F.struct("used_percent", "resets_us"), "rn").alias("s")).select(
+            *[F.col(c).alias(n) for c, n in names.items()], "s.*"
+        )
+        ends = blocks.join(last, _match(blocks, last, names), "left").select(
+            *[blocks[c] for c in _BLOCK], F.col("used_percent").alias("used"), F.col("resets_us").alias("reset")
+        )
+        if given is not None:
+            ends = ends.join(given, _match(ends, given, names), "left").select(
+                *_BLOCK, F.coalesce("used", "s_used").alias("used"), F.coalesce("reset", "s_reset").alias("reset")
             )
-            if state is not None:
-                kept = [state[f"s_{c}"].eqNullSafe(fresh[f"s_{c}"]) for c in SEGMENT]
-                fresh = fresh.unionByName(state.join(fresh, kept, "left_anti"))
-            state = stage(fresh, "state")
-    taken = parts[0]
-    for part in parts[1:]:
-        taken = taken.unionByName(part)
-    same = [rows[c].eqNullSafe(taken[c]) for c in _ACCEPTED]
+        now = stage(
+            ends.where("used IS NOT NULL").select(
+                *[(F.col(c) + 1 if c == "block" else F.col(c)).alias(n) for c, n in names.items()],
+                F.col("used").alias("s_used"),
+                F.col("reset").alias("s_reset"),
+            ),
+            "states",
+        )
+        changed = now if given is None else now.exceptAll(given)
+        again = slim.join(changed, _match(slim, changed, names)).select(
+            *[slim[c] for c in slim.columns],
+            F.col("s_used").alias("state_used"),
+            F.col("s_reset").alias("state_reset"),
+            F.lit(True).alias("has_state"),
+        )
+        again = stage(again, "again")
+        if again.isEmpty():
+            break
+        fresh = again.groupBy(*_BLOCK).applyInPandas(_accept, _ACCEPTED_SCHEMA)
+        taken = stage(taken.join(changed, _match(taken, changed, names), "left_anti").unionByName(fresh), "accepted")
+        given = now
+    same = [rows[c].eqNullSafe(taken[c]) for c in (*SEGMENT, "rn")]
     return rows.drop("block").join(taken, same, "left_semi")
 
 

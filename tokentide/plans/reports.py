@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokentide.operators import detector, diagnostics, health, intervals, pricing, quota, samples, sessions, trend, usage
+from tokentide.operators import detector, diagnostics, health, ingest, intervals, pricing, quota, samples, sessions, trend, usage
 from tokentide.plans.scan import LogScan
 from tokentide.session import stage
 from tokentide.sources.ratecard import RateCard, built_in
@@ -55,7 +55,7 @@ def usage_report(src: Sources, start, end, group: str, effort=False, sort=None,
         "totals": usage.usage_totals(priced, group, effort, src.tz, rate),
         "unpriced_models": unpriced,
         "diagnostics": counters,
-        "warnings": diagnostics.warnings(counters, src.full_scan),
+        "warnings": diagnostics.warnings(counters, src.full_scan, unpriced),
     }
 
 
@@ -104,14 +104,18 @@ def window_usage_report(src: Sources, start, end, selector="7d", group="window",
     }
 
 
-def limit_report(src: Sources, report: str, start, end, now: datetime | None = None, early_only=False, **filters) -> dict[str, DataFrame]:
-    """Quota reports: samples, windows, resets, trend or current. Windows and current rows carry their usage."""
+def limit_report(src: Sources, report: str, start, end, now: datetime | None = None, early_only=False, evidence=False, **filters) -> dict[str, DataFrame]:
+    """Quota reports: samples, windows, resets, trend or current. Windows and current rows carry their usage.
+
+    Where a sample came from (path and line) is shown with `evidence` only.
+    """
     scan = src.scan(start, end)
     minutes = filters.get("window_minutes")
     found = stage(scan.quota_samples(src.accounts, **filters), "samples")
     counters = samples.sample_counters(found)
     if report == "samples":
-        return {"rows": samples.order_samples(found), "status": quota.row_status(found), "counters": counters}
+        rows = samples.order_samples(found)
+        return {"rows": rows if evidence else ingest.without_evidence(rows), "status": quota.row_status(found), "counters": counters}
     if report == "resets":
         rows = quota.order_changes(quota.quota_resets(found, early_only))
         # The status tells whether any live sample was seen.
@@ -132,6 +136,9 @@ def limit_report(src: Sources, report: str, start, end, now: datetime | None = N
     if span["start"] is not None:
         usage_scan = src.scan(_utc(span["start"]), _utc(span["end"]))
         windows = intervals.attach_usage(windows, src.priced(usage_scan, filters.get("account_id")), rate)
+    else:
+        zero = {"total_tokens": F.lit(0).cast("long"), "credits": F.lit(0.0), "usd": F.lit(0.0)}
+        windows = windows.withColumns(zero)
     rows = windows.drop("island")
     if report == "current":
         rows = rows.drop("reset_at", "estimated_start")

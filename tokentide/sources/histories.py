@@ -146,10 +146,6 @@ def ensure_default(history: tuple[DataFrame, str | None] | None, spark: SparkSes
     return history[0], history[1] or account_id
 
 
-def empty_modes(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], MODE_SWITCHES)
-
-
 def append_mode(switches: DataFrame, fast: bool, ts) -> DataFrame:
     """The switches plus a new one, which wins among equal times."""
     source = FAST_ON_SOURCES[0] if fast else FAST_OFF_SOURCES[0]

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokentide.schemas import RATE_CARD
-from tokentide.session import row_count_up_to
 
 # Credits per million input, cached input and output tokens, the
 # multiplier of fast mode, and a note, by model key.
@@ -25,7 +24,10 @@ BUILT_IN_MODELS = """
 ('gpt-image-2 (text)', 'GPT-Image-2 (text)', 125.0, 31.25, 250.0, 1.0, NULL)
 """
 BUILT_IN_CREDIT_TO_USD = "25 credits = $1"
-MAX_MODELS = 100_000
+# Rates and multipliers hold six decimals exactly; a card with more is rejected.
+DECIMALS = 6
+LARGEST_RATE = 1_000_000
+LARGEST_MULTIPLIER = 1_000
 
 
 @dataclass(frozen=True)
@@ -33,6 +35,7 @@ class RateCard:
     models: DataFrame  # card_key, label, in_rate, cached_rate, out_rate, fast_mult, note
     known_unpriced: DataFrame  # card_key, label, note
     credits_per_usd: Decimal
+    few: bool = False  # a handful of models, known without counting
 
 
 def credits_per_usd(text: str) -> Decimal:
@@ -46,8 +49,8 @@ def _typed(models: DataFrame) -> DataFrame:
     return models.select(
         "card_key",
         "label",
-        *[F.col(c).cast("decimal(10,4)").alias(c) for c in ("in_rate", "cached_rate", "out_rate")],
-        F.col("fast_mult").cast("decimal(6,3)").alias("fast_mult"),
+        *[F.col(c).cast("decimal(12,6)").alias(c) for c in ("in_rate", "cached_rate", "out_rate")],
+        F.col("fast_mult").cast("decimal(9,6)").alias("fast_mult"),
         "note",
     )
 
@@ -56,7 +59,7 @@ def built_in(spark: SparkSession) -> RateCard:
     columns = "card_key, label, in_rate, cached_rate, out_rate, fast_mult, note"
     models = spark.sql(f"SELECT * FROM VALUES {BUILT_IN_MODELS} AS t({columns})")
     unpriced = spark.sql("SELECT card_key, label, note FROM VALUES ('', '', '') AS t(card_key, label, note) WHERE false")
-    return RateCard(_typed(models), unpriced, credits_per_usd(BUILT_IN_CREDIT_TO_USD))
+    return RateCard(_typed(models), unpriced, credits_per_usd(BUILT_IN_CREDIT_TO_USD), few=True)
 
 
 def load(spark: SparkSession, path: str) -> RateCard:
@@ -83,17 +86,19 @@ def check(doc: DataFrame, models: DataFrame, unpriced: DataFrame) -> str:
     """Card rules as aggregates; returns the credit rate text."""
     blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
     bad_rate = lambda c: F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf")) | (F.col(c) < 0)
+    fine = lambda c: F.round(F.col(c), DECIMALS) != F.col(c)
+    rates = ("in_rate", "cached_rate", "out_rate")
     head = doc.select("source.*").first()
     if head is None or any(not (head[f] or "").strip() for f in ("name", "checked_at", "credit_to_usd")):
         raise ValueError("rate card: source fields cannot be empty")
-    if row_count_up_to(models, MAX_MODELS) > MAX_MODELS:
-        raise ValueError(f"rate card: more than {MAX_MODELS} models")
     got = models.agg(
         F.count("*").alias("n"),
         F.countDistinct("card_key").alias("keys"),
         F.count_if(blank("card_key") | blank("label")).alias("blank"),
         F.count_if(bad_rate("in_rate") | bad_rate("cached_rate") | bad_rate("out_rate")).alias("rates"),
         F.count_if(bad_rate("fast_mult") | (F.col("fast_mult") == 0)).alias("mults"),
+        F.count_if(fine("fast_mult") | fine("in_rate") | fine("cached_rate") | fine("out_rate")).alias("fine"),
+        F.count_if((F.greatest(*rates) >= LARGEST_RATE) | (F.col("fast_mult") >= LARGEST_MULTIPLIER)).alias("large"),
     ).first()
     none = unpriced.agg(
         F.count("*").alias("n"),
@@ -106,6 +111,8 @@ def check(doc: DataFrame, models: DataFrame, unpriced: DataFrame) -> str:
         (got.keys < got.n or none.keys < none.n, "duplicate model key"),
         (got.rates > 0, "rates must be finite and non-negative"),
         (got.mults > 0, "fast multipliers must be finite and positive"),
+        (got.fine > 0, f"rates and multipliers hold at most {DECIMALS} decimals"),
+        (got.large > 0, f"rates are below {LARGEST_RATE}, multipliers below {LARGEST_MULTIPLIER}"),
         (not unpriced.join(models, "card_key", "left_semi").isEmpty(), "a known unpriced model is also priced"),
     ]
     for broken, message in rules:

@@ -1,17 +1,19 @@
-"""Report sinks: JSON lines, one JSON report object, CSV with a totals row."""
+"""Report sinks: JSON lines, one JSON report object, CSV with a totals row.
+
+Report objects and CSV files leave as ordered lines of text: the part files, read one after the other, are the
+document, whatever its size.
+"""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tokentide.functions.scalars import display_time, iso_millis
-from tokentide.session import row_count_up_to
-
-# A report object is one JSON value for a reader; larger results belong in `write_json`.
-MAX_REPORT_ROWS = 100_000
-
+from tokentide.session import stage
 
 def _times(df: DataFrame, render) -> DataFrame:
     return df.select(
@@ -29,26 +31,48 @@ def with_totals(rows: DataFrame, totals: DataFrame) -> DataFrame:
     return rows.unionByName(totals, allowMissingColumns=True)
 
 
+def _document(head: str, rows: DataFrame, tail: DataFrame, between: str = "") -> DataFrame:
+    """Lines (`text`) in order: a first line, the rows' `text`, and `tail`'s; `between` separates rows."""
+    numbered = stage(rows.withColumn("n", F.monotonically_increasing_id()), "report")
+    first = numbered.agg(F.min("n")).first()[0]
+    lead = F.when(F.col("n") == F.lit(first), "").otherwise(between)
+    spark = rows.sparkSession
+    top = spark.createDataFrame([(-1, head)], "n long, text string")
+    last = F.lit((1 << 63) - 1).alias("n")
+    body = numbered.select("n", F.concat(lead, "text").alias("text"))
+    return top.unionByName(body).unionByName(tail.select(last, "text")).orderBy("n").select("text")
+
+
+def csv_lines(rows: DataFrame, totals: DataFrame | None = None, tz: str | None = None) -> DataFrame:
+    """CSV as lines: one header, the rows in order, the totals row last; cells are quoted only where needed."""
+    shown = _times(rows if totals is None else with_totals(rows, totals.limit(0)), lambda c: display_time(c, tz))
+    line = lambda df: df.select(F.to_csv(F.struct(*shown.columns), {"escape": '"'}).alias("text"))
+    if totals is None:
+        end = line(shown).limit(0)
+    else:
+        end = line(_times(with_totals(rows.limit(0), totals), lambda c: display_time(c, tz)))
+    return _document(",".join(shown.columns), line(shown), end)
+
+
 def write_csv(rows: DataFrame, path: str, totals: DataFrame | None = None, tz: str | None = None, mode: str = "error") -> None:
-    """CSV with header; cells are quoted only where needed, times shown in local time."""
-    table = rows if totals is None else with_totals(rows, totals)
-    shown = _times(table, lambda c: display_time(c, tz))
-    shown.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    """`csv_lines` as text files, times shown in local time."""
+    csv_lines(rows, totals, tz).write.mode(mode).text(path)
 
 
 def report_json(rows: DataFrame, totals: DataFrame | None = None, name: str = "rows", **fields) -> DataFrame:
-    """One row with the whole report as pretty JSON: fixed fields, rows in order, totals."""
-    if row_count_up_to(rows, MAX_REPORT_ROWS) > MAX_REPORT_ROWS:
-        raise ValueError(f"a report object holds at most {MAX_REPORT_ROWS} rows; limit it or use write_json")
-    plain = _times(rows, iso_millis)
-    numbered = plain.withColumn("_n", F.monotonically_increasing_id())
-    body = numbered.agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("_n", F.struct(*plain.columns).alias("r")))), lambda x: x["r"]
-        ).alias(name)
-    )
-    report = body.select(*[F.lit(v).alias(k) for k, v in fields.items()], name)
-    if totals is not None:
-        one = _times(totals, iso_millis).select(F.struct("*").alias("totals"))
-        report = report.withColumn("_k", F.lit(1)).join(one.withColumn("_k", F.lit(1)), "_k").drop("_k")
-    return report.select(F.to_json(F.struct("*"), {"pretty": "true", "ignoreNullFields": "false"}).alias("report"))
+    """The whole report as lines of one JSON object: fixed fields, rows in order, totals."""
+    keep = {"ignoreNullFields": "false"}
+    head = "{" + "".join(f"{json.dumps(k)}: {json.dumps(v)}, " for k, v in fields.items()) + f"{json.dumps(name)}: ["
+    text = _times(rows, iso_millis)
+    body = text.select(F.to_json(F.struct(*text.columns), keep).alias("text"))
+    if totals is None:
+        end = rows.sparkSession.createDataFrame([("]}",)], "text string")
+    else:
+        one = _times(totals, iso_millis)
+        end = one.select(F.concat(F.lit('], "totals": '), F.to_json(F.struct(*one.columns), keep), F.lit("}")).alias("text"))
+    return _document(head, body, end, ", ")
+
+
+def write_report(rows: DataFrame, path: str, totals: DataFrame | None = None, name: str = "rows", mode: str = "error", **fields) -> None:
+    """`report_json` as text files."""
+    report_json(rows, totals, name, **fields).write.mode(mode).text(path)
