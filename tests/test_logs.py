@@ -115,6 +115,14 @@ def test_forks(spark, tree):
     assert (got.fork_files, got.fork_parent_missing, got.fork_replay_lines, got.fork_replay) == (4, 1, 10, 5)
 
 
+def test_stale_forks_are_not_counted(spark, tree):
+    a = [meta("A"), tokens(at(1), total=20)]
+    root = tree(a=a, b=[meta("B"), *a, tokens(at(2), total=30)], c=[meta("C"), tokens(at(50), total=5)])
+    got = LogScan(spark, root, at(47), at(72)).usage_diagnostics().first()
+    assert (got.fork_files, got.fork_parent_missing, got.fork_replay_lines) == (0, 0, 0)
+    assert LogScan(spark, root).usage_diagnostics().first().fork_files == 1
+
+
 def test_parent_by_name_outside_the_range(spark, tree, tmp_path):
     parent = [tokens(at(-2000), total=5), tokens(at(-1999), total=9)]
     root = tree(kid=[meta("kid"), meta("P-1"), tokens(at(1), total=12)])

@@ -47,16 +47,26 @@ class LogScan:
 
     @cached_property
     def forks(self) -> DataFrame:
-        found = stage(fork.parents(fork.lineage(self.events), self._all_names()), "forks")
+        """Forks among the files that hold usage of the range."""
+        return self._forks(self.stale)
+
+    @cached_property
+    def limit_forks(self) -> DataFrame:
+        """Forks among the files that hold quota samples of the range."""
+        return self.forks if self.range is None else self._forks(self.stale_limits)
+
+    def _forks(self, stale: DataFrame | None) -> DataFrame:
+        # Files that turned out stale are neither forks nor parents by their first line.
+        found = stage(fork.parents(fork.lineage(self._kept(stale)), self._all_names()), "forks")
         if found.where(F.col("parent_path").isNotNull()).isEmpty():
             return found.withColumn("replay_prefix_lines", F.lit(0).cast("long"))
         scanned = self.splits.select(F.col("file_path").alias("parent_path")).distinct()
-        outside = found.where(F.col("parent_path").isNotNull()).join(scanned, "parent_path", "left_anti")
-        parents = None
-        if not outside.isEmpty():
-            # A parent older than the range: read the whole tree for it.
-            parents = logs.number_lines(logs.read_lines(self.spark, self.sessions_dir))
-        return stage(fork.replay_prefix(found, self.numbered(), parents), "replay")
+        outside = found.where(F.col("parent_path").isNotNull()).select("parent_path").distinct()
+        # Parents older than the range: just these files are read.
+        paths = [r[0] for r in outside.join(scanned, "parent_path", "left_anti").collect()]
+        lines = self.numbered()
+        parents = lines.unionByName(logs.number_lines(logs.read_files(self.spark, paths))) if paths else None
+        return stage(fork.replay_prefix(found, lines, parents), "replay")
 
     def _all_names(self) -> DataFrame:
         return logs.list_logs(self.spark, self.sessions_dir).select("file_path", "file_name")
@@ -89,7 +99,7 @@ class LogScan:
 
     def sample_events(self, accounts=None, **filters) -> DataFrame:
         return ingest.sample_events(
-            self._kept(self.stale_limits), self.forks, accounts, self.start, self.end, **filters
+            self._kept(self.stale_limits), self.limit_forks, accounts, self.start, self.end, **filters
         )
 
     def quota_samples(self, accounts=None, **filters) -> DataFrame:
@@ -109,10 +119,10 @@ class LogScan:
         )
 
     def sample_diagnostics(self, accounts=None, **filters) -> DataFrame:
-        events = ingest.with_forks(self._kept(self.stale_limits), self.forks)
+        events = ingest.with_forks(self._kept(self.stale_limits), self.limit_forks)
         return diagnostics.side_by_side(
             diagnostics.file_counters(self.files, self.stale_limits),
-            fork.fork_counters(self.forks),
+            fork.fork_counters(self.limit_forks),
             self._lines_read(self.stale_limits),
             diagnostics.sample_line_counters(events),
             diagnostics.limit_only_files(events),

@@ -163,6 +163,15 @@ def read_lines(spark: SparkSession, sessions_dir: str, scan: ScanRange | None =
             F.col("_metadata.file_name"), F.col("relative"), F.col("_metadata.file_modification_time"), scan, tz
         )
         text = located.where(~action.startswith("skip"))
+    return _raw(text)
+
+
+def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Raw lines of the named files alone."""
+    return _raw(spark.read.option("lineSep", "\n").text(paths))
+
+
+def _raw(text: DataFrame) -> DataFrame:
     return text.select(
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_name").alias("file_name"),
