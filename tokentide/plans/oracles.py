@@ -188,6 +188,16 @@ SQL["price_usage"] = with_(
     cached as billed_cached_tokens, credit_multiplier, {r6('credits')} as credits, {usd('credits')} as usd from priced""",
     "priced",
 )
+SQL["price_own_card"] = with_(
+    """select event_id, case norm when 'gpt-5.5' then 'Five' when 'gpt-5.4' then 'Four' else model end as pricing_label,
+    cast(round(coalesce(credits, 0), 6) as double) as credits, cast(round(coalesce(credits, 0) / 30, 6) as double) as usd from (
+      select event_id, model, norm, cast(cast((cast(billable as DECIMAL(16,0)) * i + cast(cached as DECIMAL(16,0)) * c
+        + cast(greatest(output_tokens, 0) as DECIMAL(16,0)) * o) * cast(0.000001 as DECIMAL(6,6)) as DECIMAL(28,12))
+        * case when fast then f else cast(1 as DECIMAL(9,6)) end as DECIMAL(38,12)) as credits
+      from named left join (values ('gpt-5.5', cast(1.00125 as DECIMAL(12,6)), cast(0.00125 as DECIMAL(12,6)),
+        cast(3.33333 as DECIMAL(12,6)), cast(1.3333 as DECIMAL(9,6))), ('gpt-5.4', 0.5, 0.12345, 2.0, 1.0)) own(key, i, c, o, f) on norm = key)""",
+    "named",
+)
 SQL["asof_account"] = with_(
     """select event_id, case when account_id is null then 'a9' else account_id end as account_id from (
     select u.event_id, a.account_id from usage u asof left join acct_last a on u.ts >= a.ts)""",

@@ -34,7 +34,7 @@ from tokentide.operators import (
 from tokentide.schemas import TOKEN_FIELDS
 from tokentide.session import configure, stage
 from tokentide.sources import adapters, histories, logs
-from tokentide.sources.ratecard import built_in
+from tokentide.sources.ratecard import built_in, own_card
 
 NOW = datetime(2024, 1, 20, tzinfo=UTC)
 RANGE_START = datetime(2024, 1, 15, tzinfo=UTC)
@@ -143,6 +143,19 @@ def _(t):
     )
 
 
+@query("price_own_card")
+def _(t):
+    """A card of 30 credits a dollar with rates of five decimals."""
+    rows = "('gpt-5.5', 'Five', 1.00125, 0.00125, 3.33333, 1.3333, NULL), ('gpt-5.4', 'Four', 0.5, 0.12345, 2.0, 1.0, NULL)"
+    card = own_card(t.spark, rows, "30 credits = $1")
+    return pricing.price(t.with_mode, card).select(
+        F.col("line_no").alias("event_id"),
+        "pricing_label",
+        round6("credits").alias("credits"),
+        usd("credits", card.credits_per_usd).alias("usd"),
+    )
+
+
 @query("asof_account")
 def _(t):
     got = asof.as_of(t.usage.drop("account_id"), "timestamp", adapters.account_switches(t.ev), "account_id", "a9")

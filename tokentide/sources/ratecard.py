@@ -55,11 +55,16 @@ def _typed(models: DataFrame) -> DataFrame:
     )
 
 
-def built_in(spark: SparkSession) -> RateCard:
+def own_card(spark: SparkSession, models: str, rate: str) -> RateCard:
+    """A card from SQL rows (key, label, three rates, multiplier, note)."""
     columns = "card_key, label, in_rate, cached_rate, out_rate, fast_mult, note"
-    models = spark.sql(f"SELECT * FROM VALUES {BUILT_IN_MODELS} AS t({columns})")
+    typed = _typed(spark.sql(f"SELECT * FROM VALUES {models} AS t({columns})"))
     unpriced = spark.sql("SELECT card_key, label, note FROM VALUES ('', '', '') AS t(card_key, label, note) WHERE false")
-    return RateCard(_typed(models), unpriced, credits_per_usd(BUILT_IN_CREDIT_TO_USD), few=True)
+    return RateCard(typed, unpriced, credits_per_usd(rate), few=True)
+
+
+def built_in(spark: SparkSession) -> RateCard:
+    return own_card(spark, BUILT_IN_MODELS, BUILT_IN_CREDIT_TO_USD)
 
 
 def load(spark: SparkSession, path: str) -> RateCard:
