@@ -590,6 +590,19 @@ SQL["usage_records"] = logs_(
     "judged",
 )
 SQL["skip_reasons"] = logs_("select coalesce(skip, 'included') as reason, count(*) as events from judged group by 1", "judged")
+_FORKED = {
+    **_LOGS,
+    "counted": f"""select x.*, event_id > 0 and event_id < least + 500 and user_id%3 = 0 as u_replay,
+        event_id > 0 and event_id <= least + 500 and user_id%3 = 0 as c_replay
+        from ({_COUNTER}) x join (select session_id, min(event_id) as least from usage group by 1) using (session_id)""",
+    "logged": _LOGS["logged"].replace("k%4=0 then", "k%4=0 and not c_replay then"),
+    "judged": _LOGS["judged"].replace("case when not has_info", "case when u_replay then 'fork_replay' when not has_info", 1),
+}
+SQL["replay_skips"] = with_(
+    """select coalesce(skip, 'included') as reason, coalesce(c_model, 'unknown') as model, user_id%3 = 0 as pinned, count(*) as events
+    from judged group by 1, 2, 3""",
+    "usage", "samples", "acct_last", "mode_last", extra=_FORKED,
+)
 _SKIPS = ", ".join(
     f"count(*) filter (skip = '{s}') as {s}"
     for s in ("missing_metadata", "missing_usage", "empty_usage", "out_of_range", "account_mismatch", "fork_replay")

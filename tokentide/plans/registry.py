@@ -367,6 +367,21 @@ def _(t):
     return t.token_events.groupBy(reason).agg(F.count("*").alias("events")).orderBy("reason")
 
 
+@query("replay_skips")
+def _(t):
+    """Every third user's files as forks that replay their first 500 event ids; replayed context lines don't count."""
+    user = F.regexp_extract("session_id", r"^s(\d+)-", 1).cast("long")
+    files = t.usage.groupBy("file_path", "session_id").agg(F.min("line_no").alias("least")).where(user % 3 == 0)
+    forks = files.select(
+        "file_path", F.concat(F.lit("p-"), "session_id").alias("pinned_id"), ((F.col("least") + 500) * 2).alias("replay_prefix_lines")
+    )
+    modes = (adapters.mode_switches(t.ev), None)
+    events = ingest.token_events(t.events, forks, t.accounts, modes, RANGE_START, RANGE_END, ACCOUNT)
+    reason = F.coalesce("skip_reason", F.lit("included")).alias("reason")
+    pinned = F.col("session_id").startswith("p-").alias("pinned")
+    return events.groupBy(reason, "model", pinned).agg(F.count("*").alias("events"))
+
+
 @query("usage_diagnostics")
 def _(t):
     return diagnostics.side_by_side(diagnostics.usage_line_counters(t.events), diagnostics.skip_counters(t.token_events))
