@@ -290,8 +290,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return stage(found.drop("text"), "members"), one
 
 
-def class_links(texts: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Links (u, v) between classes (cid, text) that give the components of all links."""
+def class_components(texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(node, component) of the classes (cid, text) that are linked with others."""
     spark = texts.sparkSession
     total = texts.count()
     rate = min(1.0, ORDER_SAMPLE / max(1, total))
@@ -308,13 +308,11 @@ def class_links(texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     pairs = stage(_possible(products.where("overlap > 0"), percent, unseen), "pairs")
 
     first = _best(pairs)
-    links = _linked(first, texts, percent)
-    comps = stage(components(links), "components")
+    comps = _grown(None, _linked(first, texts, percent))
     later = stage(_across_components(pairs, comps).join(first, ["a", "b"], "left_anti"), "later")
-    links = links.unionByName(_linked(later, texts, percent))
-
+    comps = _grown(comps, _linked(later, texts, percent))
     if wide.isEmpty():
-        return links
+        return comps
 
     def between() -> DataFrame | None:
         """Wide columns with rows of several components, dealt to blocks; None if there are none."""
@@ -329,24 +327,35 @@ def class_links(texts: DataFrame, percent: int = PERCENT) -> DataFrame:
         return None if mixed.isEmpty() else named.join(mixed, "shingle", "left_semi").repartition(blocks, "shingle")
 
     for turn in range(TURNS):
-        comps = stage(components(links), "components")
         columns = between()
         if columns is None:
-            return links
+            return comps
         tops = columns.mapInArrow(_tops(percent, turn), _PAIR).groupBy("a", "b").agg(F.sum("overlap").alias("overlap"))
-        links = links.unionByName(_linked(_best(stage(tops, "tops")), texts, percent))
-    comps = stage(components(links), "components")
+        found = _linked(_best(stage(tops, "tops")), texts, percent)
+        if found.isEmpty():
+            break
+        comps = _grown(comps, found)
     columns = between()
     if columns is None:
-        return links
+        return comps
     rest = stage(_possible(columns.mapInArrow(_across(percent), _PAIR), percent), "rest")
-    return links.unionByName(_linked(rest, texts, percent))
+    return _grown(comps, _linked(rest, texts, percent))
+
+
+def _grown(comps: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components (node, component) after further links (u, v)."""
+    if comps is None:
+        return stage(components(links), "components")
+    if links.isEmpty():
+        return comps
+    stars = comps.select(F.col("node").alias("u"), F.col("component").alias("v"))
+    return stage(components(stars.unionByName(links)), "components")
 
 
 def linked_documents(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_hash, n_shingles, component_id) of every row, and `class_size`: rows with the same set."""
     members, one = classes(docs, id_col, text_col)
-    comps = components(class_links(one.select("cid", "text"), percent)).select(F.col("node").alias("cid"), "component")
+    comps = class_components(one.select("cid", "text"), percent).select(F.col("node").alias("cid"), "component")
     placed = stage(
         one.select("cid", "least", "digest").join(comps, "cid", "left").withColumn("component", F.coalesce("component", "cid")), "placed"
     )
