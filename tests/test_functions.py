@@ -1,8 +1,10 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
+from tokentide import session
 from tokentide.functions import scalars as S
 from tokentide.functions import variants as V
 from tokentide.operators import pricing
@@ -133,3 +135,33 @@ def test_sinks(spark, tmp_path, usage):
     whole = "".join(f.read_text() for f in sorted((tmp_path / "many").glob("part*")))
     assert json.loads(whole) == {"title": "x", "rows": [{"id": k} for k in range(120_000)]}
     assert json.loads("".join(r.text for r in sinks.report_json(many.limit(0)).collect())) == {"rows": []}
+
+
+def test_staged_tables_are_deleted(spark, monkeypatch):
+    monkeypatch.setattr(session, "checkpoint_dir", lambda _: session._own_folder())
+    folder = session.staging_folder(spark)
+    one, two = session.stage(spark.range(5)), session.stage(spark.range(7))
+    assert one.count() == 5 and os.path.isdir(one.staged_at)
+    session.unstage(one)
+    assert not os.path.exists(one.staged_at) and two.count() == 7
+    with session.staging(spark):
+        assert session.stage(spark.range(3)).count() == 3
+    assert not os.path.exists(folder)
+
+
+def test_rates_must_fit(spark, tmp_path):
+    card = {
+        "source": {"name": "n", "checked_at": "2026-01-01", "credit_to_usd": "30 credits = $1"},
+        "models": [{"key": "m", "label": "M", "input_credits_per_million": 1.00125, "cached_input_credits_per_million": 0.00125,
+                    "output_credits_per_million": 3.0, "fast_credit_multiplier": 1.3333}],
+        "knownUnpriced": [],
+    }
+    path = tmp_path / "card.json"
+    path.write_text(json.dumps(card))
+    got = ratecard.load(spark, str(path)).models.first()
+    assert (str(got.in_rate), str(got.cached_rate), str(got.fast_mult)) == ("1.001250", "0.001250", "1.333300")
+    for field, value in (("output_credits_per_million", 0.0000001), ("fast_credit_multiplier", 5000.0)):
+        bad = {**card, "models": [{**card["models"][0], field: value}]}
+        path.write_text(json.dumps(bad))
+        with pytest.raises(ValueError):
+            ratecard.load(spark, str(path))

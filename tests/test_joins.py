@@ -124,3 +124,15 @@ def test_detector_without_samples(samples, usage):
 def test_confidence(spark):
     df = spark.createDataFrame([(2.0, 2.0), (1.6, 2.0), (2.8, 2.0), (1.2, 2.0)], "e double, x double")
     assert [r[0] for r in df.select(detector.confidence("e", "x")).collect()] == ["high", "medium", "low", "insufficient"]
+
+
+def test_as_of_in_a_burst_of_switches(spark):
+    """Thousands of switches in one minute: a record meets few intervals and still finds its own."""
+    from tokentide.operators.asof import as_of
+
+    n = 5000
+    switches = spark.range(n).selectExpr("timestamp_micros(id * 10000) AS ts", "id AS pos", "cast(id AS string) AS v")
+    late = spark.sql("SELECT timestamp_micros(864000000000) AS ts, 9999L AS pos, 'late' AS v")
+    records = spark.range(n).selectExpr("id", "timestamp_micros(id * 10000 + 5) AS t")
+    got = as_of(records, "t", switches.unionByName(late), "v")
+    assert got.where("v = cast(id AS string)").count() == n and got.count() == n
