@@ -267,30 +267,51 @@ def repeated_starts(chosen: DataFrame, width: int = WIDTH) -> DataFrame:
     firsts = stage(firsts.join(many, "key", "left_anti") if overfull else firsts, "firsts")
     unstage(distinct, known)
     _forget(spark)
+    # The place and the number of starts share one number: a shuffle of all contexts carries them.
     light = held.select(
-        "key", F.xxhash64("context").alias("proof"), "cid", "doc", "lo", (F.octet_length("context") - width + 1).alias("starts")
+        "key",
+        F.xxhash64("context").alias("proof"),
+        "cid",
+        "doc",
+        (F.col("lo").cast("long") * 64 + F.octet_length("context") - width + 1).alias("place"),
     )
-    every = F.expr("shiftleft(1L, starts) - 1")
+    every = F.expr("shiftleft(1L, cast(place % 64 as int)) - 1")
     marks = (
         light.join(firsts, ["key", "proof"])
-        .select("cid", "lo", F.when(F.col("doc") > F.col("first"), every).otherwise(F.col("bits")).cast("long").alias("bits"))
+        .select(
+            "cid",
+            F.expr("cast(place div 64 as int)").alias("lo"),
+            F.when(F.col("doc") > F.col("first"), every).otherwise(F.col("bits")).cast("long").alias("bits"),
+        )
         .where("bits <> 0")
     )
+    marks = stage(marks, "windows")
+    unstage(firsts)
+    _forget(spark)
     if overfull:
-        marks = marks.unionByName(_single_windows(held.join(many, "key", "left_semi"), width))
+        # A step of its own, so that the shuffles of the one before can go.
+        single = stage(_single_windows(held.join(stage(many, "full"), "key", "left_semi"), width), "single")
+        _forget(spark)
+        marks = marks.unionByName(single)
     return stage(marks.groupBy("cid").agg(F.collect_list(F.struct("lo", "bits")).alias("spans")), "marks")
 
 
 def _single_windows(held: DataFrame, width: int) -> DataFrame:
-    """(cid, lo, bits) of the windows of contexts that a smaller document holds, each window counted over all documents."""
+    """(cid, lo, bits) of the windows of contexts that a smaller document holds, each window counted over all documents.
+
+    Windows are told apart by 128 bits of hashes.
+    """
     starts = F.sequence(F.lit(1), F.octet_length("context") - width + 1)
-    windows = F.transform(starts, lambda k: F.substring("context", k, F.lit(width)))
-    cut = held.select("cid", "doc", "lo", F.posexplode(windows).alias("k", "window"))
-    least = cut.groupBy("window").agg(F.min("doc").alias("first"))
+    window = lambda k: F.substring("context", k, F.lit(width))
+    hashes = F.transform(starts, lambda k: F.struct(F.xxhash64(window(k)).alias("x"), F.xxhash64(window(k), F.lit(1)).alias("y")))
+    cut = held.select("cid", "doc", "lo", F.posexplode(hashes).alias("k", "w")).select(
+        "cid", "doc", (F.col("lo") + F.col("k")).alias("lo"), "w.x", "w.y"
+    )
+    least = cut.groupBy("x", "y").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").drop("last")
     return (
-        cut.join(least, "window")
+        cut.join(least, ["x", "y"])
         .where(F.col("doc") > F.col("first"))
-        .select("cid", (F.col("lo") + F.col("k")).alias("lo"), F.lit(1).cast("long").alias("bits"))
+        .select("cid", "lo", F.lit(1).cast("long").alias("bits"))
     )
 
 
