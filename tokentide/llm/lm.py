@@ -6,7 +6,7 @@ unseen words, so the model is a distribution over all tokens. A context of two t
 h = c1 * r[w-1] + c2 * r[w-2] and exp(h . q[w] + b[w]); scores divide by the sum over all classes, which batched
 matrix products give for every distinct context.
 
-Every task trains one pass over its share of the training text, on `RATE` of its positions, from the same start; the
+Every task trains one pass over its share of the training text, on all of its positions (`RATE`), from the same start; the
 parameters are averaged by the number of positions in each of `TURNS` turns. Only counts above a share of all tokens are sent to
 every task (at most `MOST_FREQUENT` words); counts of the other words are joined.
 
@@ -32,7 +32,7 @@ CLASSES = 1024
 SIZE = 32
 NOISE = 64
 BATCH = 256
-RATE = 0.1
+RATE = 1.0
 STEP = 0.15
 TURNS = 2
 ALPHA = 0.1
