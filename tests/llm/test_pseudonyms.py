@@ -78,6 +78,23 @@ def test_a_permutation(spark):
     assert len(set(moved)) == len(days) and texts(spark, moved, pseudonyms.restore) == days
 
 
+def test_numbers_outside_the_plan_short_groups_and_upper_case(spark):
+    key = "9233a8ecf70641917ea4e9feb9cda834"
+    spans = ["+1 (017) 555-7713", "+1 (045) 555-3286", "+1 212 155-0001", "(017) 555-7713", "(212) 155-0001", "+33 1 23 45 67 89", "+33.1.23.45.67.89"]
+    spans += ["+55 11 9 1234 5678", "+61 2 9374 4000", key.upper(), key]
+    rows = [f"x {v}, y" for v in spans] + ["+44 20 7946 0958 4041 8949 7460 8795", "+2.50 3.75 1.25 and +3 4 5", "017 555-7713"]
+    out = texts(spark, rows)
+    shape = [re.sub("[0-9]", "0", t) for t in rows[:9]]
+    assert [re.sub("[0-9]", "0", t) for t in out[:9]] == shape and all(a != b for a, b in zip(rows[:11], out, strict=False))
+    assert out[0][5:] == out[3][2:] and out[9] == out[10].upper().replace("X", "x").replace("Y", "y")
+    assert "20 7946 0958" not in out[11] and "4041 8949 7460 8795" not in out[11]
+    assert out[12:] == rows[12:]
+    assert texts(spark, out, pseudonyms.restore) == rows
+    a_permutation = [f"+1 ({a:03d}) {e}55-7713" for a in range(1000) for e in (0, 5)]
+    moved = texts(spark, a_permutation)
+    assert len(set(moved)) == 2000 and texts(spark, moved, pseudonyms.restore) == a_permutation
+
+
 def test_nothing_else_changes(docs, corpus):
     out = pseudonyms.replaced(docs, KEY)
     assert out.columns == [*docs.columns, "n_replaced"]
