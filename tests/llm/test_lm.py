@@ -86,6 +86,27 @@ def test_defaults_train_on_every_position(spark):
     assert sum(r.score for r in out) / tokens > sum(r.base_score for r in out) / tokens + 0.15
 
 
+def test_words_with_vectors_grow_and_stay_normalised(spark):
+    counts = spark.createDataFrame([(k * 7919 + 1, 4000 - k) for k in range(3900)] + [(-k, 9) for k in range(1, 50)], "hash long, n long")
+    v = lm.vocabulary(counts, 6)
+    assert len(set(v.classes.tolist()) - {v.rest}) == 3900
+    model = lm._model(v, None)
+    model.q += np.random.default_rng(3).normal(0, 0.5, model.q.shape).astype(np.float32)
+    s = lm.Sequence(pa.array(["x"]), v)
+    kinds = np.array([k for k in range(len(model.b)) if not v.end - v.groups <= k < v.end])
+    s.kind, s.one, s.two = kinds, np.full(len(kinds), len(model.b) - 1), np.full(len(kinds), 5)
+    assert math.isclose(np.exp(lm._log_probability(s, v, model)).sum(), 1, abs_tol=1e-4)
+
+
+def test_context_helps_beyond_the_most_frequent_words(spark):
+    rng = random.Random(6)
+    vocabularies = [[f"{c}{k}" for k in range(300)] for c in "uvwxyz"]
+    rows = [(k, " ".join(rng.choices(rng.choice(vocabularies), k=150))) for k in range(1500)]
+    out = [r for r in lm.scores(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.held_out]
+    tokens = sum(r.n_tokens for r in out)
+    assert sum(r.score for r in out) / tokens > sum(r.base_score for r in out) / tokens + 0.15
+
+
 def test_edge_tables(spark, no_docs, null_rows):
     assert lm.scores(no_docs).collect() == []
     assert found(lm.scores(null_rows)) == brute([(r.doc_id, r.text) for r in null_rows.collect()])

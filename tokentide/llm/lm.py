@@ -1,14 +1,15 @@
 """Scores of a log-bilinear language model that is trained in numpy with noise-contrastive estimation.
 
-Tokens are lower-cased (A-Z) words and one end per document. All training documents are counted. The most frequent words, the end and
-all other words together are the model's classes; a word of the last class has its add-0.1 share inside it, and one share is left for
-unseen words, so the model is a distribution over all tokens. A context of two tokens predicts the class through
-h = c1 * r[w-1] + c2 * r[w-2] and exp(h . q[w] + b[w]); scores divide by the sum over all classes, which batched
-matrix products give for every distinct context.
+Tokens are lower-cased (A-Z) words and one end per document. All training documents are counted. Every word that occurs `LEAST` times
+has vectors of its own, so their number grows with the text. The classes are the most frequent words, groups of the other words with
+vectors, the end, and one rest class of all words below `LEAST`, in which a word has its add-0.1 share and one share is left for unseen
+words. A context of two tokens predicts the class and then the word inside its group, both through
+h = c1 * r[w-1] + c2 * r[w-2] and exp(h . q[w] + b[w]); scores divide by the sum over all classes and by that over the group, so the
+model is a distribution over all tokens. Batched matrix products give both sums.
 
 Every task trains one pass over its share of the training text, on all of its positions (`RATE`), from the same start; the
-parameters are averaged by the number of positions in each of `TURNS` turns. Only counts above a share of all tokens are sent to
-every task (at most `MOST_FREQUENT` words); counts of the other words are joined.
+parameters are averaged in each of `TURNS` turns, each vector by its uses in the tasks. Counts of the words with vectors and of words
+above a share of all tokens (at most `MOST_FREQUENT`) are sent to every task; counts of the other words are joined.
 
 Defined cases: a null text is an empty one: one end; a null id counts as held out; without training documents every token's base
 probability is 1 (score 0) and the model is uniform over its two classes; repeated rows are scored each; an empty table gives an
@@ -17,8 +18,9 @@ empty result. Other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,10 @@ from pyspark.sql import functions as F
 from tokentide.llm.words import Words, pieces
 from tokentide.session import stage
 
-CLASSES = 1024
+# Classes besides the groups: the most frequent words, the end and the rest.
+CLASSES = 256
+# A word with so many occurrences in the training text has vectors.
+LEAST = 10
 SIZE = 32
 NOISE = 64
 BATCH = 256
@@ -38,6 +43,7 @@ TURNS = 2
 ALPHA = 0.1
 # A word is sent to all tasks if it makes up at least one part in so many of all training tokens.
 MOST_FREQUENT = 250_000
+_BLOCK = 1024
 _FLUSH = 1 << 21
 
 
@@ -77,6 +83,25 @@ class Vocabulary:
     tokens: int
     distinct: int
     ends: int
+    # Counts of the words in groups, most frequent first; their kinds follow the classes, `group_size` of them are a group.
+    grouped: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    group_size: int = 1
+
+    @property
+    def groups(self) -> int:
+        return -(-len(self.grouped) // self.group_size)
+
+    def group(self, kind: np.ndarray) -> np.ndarray:
+        """Group of each kind, negative if it is a class."""
+        return (kind - len(self.class_counts)) // self.group_size
+
+    def top(self, kind: np.ndarray) -> np.ndarray:
+        """Class of each kind."""
+        return np.where(kind >= len(self.class_counts), self.end - self.groups + self.group(kind), kind)
+
+    def members(self, group: int) -> slice:
+        k = len(self.class_counts)
+        return slice(k + group * self.group_size, k + min((group + 1) * self.group_size, len(self.grouped)))
 
     @property
     def end(self) -> int:
@@ -89,24 +114,30 @@ class Vocabulary:
     @property
     def rest_total(self) -> float:
         """Sum of the add-0.1 counts inside the last class, one unseen word among them."""
-        known = self.distinct - self.end - (1 if self.ends else 0)
+        known = self.distinct - (self.end - self.groups + len(self.grouped)) - (1 if self.ends else 0)
         return float(self.class_counts[self.rest]) + ALPHA * (known + 1)
 
     def base(self, counts) -> np.ndarray:
         return np.log10((counts + ALPHA) / (self.tokens + ALPHA * (self.distinct + 1)))
 
 
-def vocabulary(counts: DataFrame, ends: int, classes: int = CLASSES, most: int = MOST_FREQUENT) -> Vocabulary:
+def vocabulary(counts: DataFrame, ends: int, classes: int = CLASSES, most: int = MOST_FREQUENT, least: int = LEAST) -> Vocabulary:
     words, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     tokens = words + ends
-    frequent = counts.where(F.col("n") * most >= tokens).toPandas().sort_values(["n", "hash"], ascending=[False, True])
+    sent = counts.where((F.col("n") * most >= tokens) | (F.col("n") >= least))
+    frequent = sent.toPandas().sort_values(["n", "hash"], ascending=[False, True])
     h, c = frequent["hash"].to_numpy(np.int64).view(np.uint64), frequent["n"].to_numpy(np.int64)
     named = min(len(h), classes - 2)
-    kind = np.full(len(h), named + 1, np.int32)
+    grouped = c[named:][c[named:] >= least]
+    # About half of the tokens are grouped words, so the work is least with twice as many members as groups.
+    size = max(16, math.ceil(math.sqrt(2 * len(grouped))))
+    sums = np.add.reduceat(grouped, np.arange(0, len(grouped), size)) if len(grouped) else grouped
+    totals = np.concatenate([c[:named], sums, [ends, words - c[: named + len(grouped)].sum()]])
+    kind = np.full(len(h), len(totals) - 1, np.int32)
     kind[:named] = np.arange(named)
-    totals = np.concatenate([c[:named], [ends, words - c[:named].sum()]])
+    kind[named : named + len(grouped)] = len(totals) + np.arange(len(grouped))
     order = np.argsort(h)
-    return Vocabulary(h[order], c[order], kind[order], totals, tokens, distinct + (1 if ends else 0), ends)
+    return Vocabulary(h[order], c[order], kind[order], totals, tokens, distinct + (1 if ends else 0), ends, grouped, size)
 
 
 class Sequence:
@@ -140,10 +171,11 @@ class Sequence:
 
 
 class Model:
-    """Parameters and their Adagrad sums."""
+    """Parameters and their Adagrad sums; the first `top` rows are the classes (all, if not given), then come the words in groups."""
 
-    def __init__(self, log_share: np.ndarray, size: int = SIZE, seed: int = 1):
+    def __init__(self, log_share: np.ndarray, size: int = SIZE, seed: int = 1, top: int | None = None):
         k = len(log_share)
+        self.top = k if top is None else top
         rng = np.random.default_rng(seed)
         self.r = rng.normal(0, 0.3, (k, size)).astype(np.float32)
         self.q = rng.normal(0, 0.05, (k, size)).astype(np.float32)
@@ -155,7 +187,7 @@ class Model:
         return [self.r, self.q, self.c, self.b]
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([p.ravel() for p in self.parts()]).astype(np.float64)
+        return np.concatenate([p.ravel() for p in self.parts()])
 
     def load(self, flat: np.ndarray) -> Model:
         at = 0
@@ -167,17 +199,17 @@ class Model:
     def hidden(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         return self.c[0] * self.r[one] + self.c[1] * self.r[two]
 
-    def _update(self, k: int, rows: np.ndarray | None, grad: np.ndarray) -> None:
-        p, s = self.parts()[k], self.sums[k]
-        if rows is not None:
-            values, at = np.unique(rows, return_inverse=True)
-            summed = np.zeros((len(values), *grad.shape[1:]), np.float32)
-            np.add.at(summed, at, grad)
-            s[values] += summed * summed
-            p[values] += STEP * summed / np.sqrt(s[values])
-        else:
-            s += grad * grad
-            p += STEP * grad / np.sqrt(s)
+    def _update(self, parts: list[int], rows: np.ndarray, grads: list[np.ndarray]) -> None:
+        order = np.argsort(rows, kind="stable")
+        ordered = rows[order]
+        begin = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+        values = ordered[begin]
+        for k, grad in zip(parts, grads, strict=True):
+            p, s = self.parts()[k], self.sums[k]
+            summed = np.add.reduceat(grad[order], begin, axis=0)
+            total = s[values] + summed * summed
+            s[values] = total
+            p[values] += STEP * summed / np.sqrt(total)
 
     def train(self, one, two, target, noise, log_noise: np.ndarray) -> None:
         """One step on a batch: true tokens against `noise`, drawn from the classes' shares."""
@@ -191,90 +223,182 @@ class Model:
         n = np.float32(1 / len(target))
         up, down = (up * n).astype(np.float32), (down * n).astype(np.float32)
         gh = up[:, None] * qt + down @ qn
-        self._update(1, np.concatenate([target, noise]), np.concatenate([up[:, None] * h, down.T @ h]))
-        self._update(3, np.concatenate([target, noise]), np.concatenate([up, down.sum(axis=0)]))
+        grads = [np.concatenate([up[:, None] * h, down.T @ h]), np.concatenate([up, down.sum(axis=0)])]
+        self._update([1, 3], np.concatenate([target, noise]), grads)
         g1, g2 = gh * self.c[0], gh * self.c[1]
         gc = np.stack([(gh * self.r[one]).sum(axis=0), (gh * self.r[two]).sum(axis=0)])
-        self._update(0, np.concatenate([one, two]), np.concatenate([g1, g2]))
-        self._update(2, None, gc)
-
-    def normalisers(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """Log of the sum over all classes for each context."""
+        self._update([0], np.concatenate([one, two]), [np.concatenate([g1, g2])])
+        self.sums[2] += gc * gc
+        self.c += STEP * gc / np.sqrt(self.sums[2])
+
+    def normalisers(self, one: np.ndarray, two: np.ndarray, members: slice | None = None) -> np.ndarray:
+        """Log of the sum over all classes, or over the members of a group, for each context."""
+        rows = slice(0, self.top) if members is None else members
+        q, b = self.q[rows].T, self.b[rows]
         out = np.empty(len(one), np.float32)
         for a in range(0, len(one), 2048):
-            s = self.hidden(one[a : a + 2048], two[a : a + 2048]) @ self.q.T + self.b
+            s = self.hidden(one[a : a + 2048], two[a : a + 2048]) @ q
+            s += b
             top = s.max(axis=1)
-            out[a : a + 2048] = top + np.log(np.exp(s - top[:, None]).sum(axis=1))
+            s -= top[:, None]
+            out[a : a + 2048] = top + np.log(np.exp(s, out=s).sum(axis=1))
         return out
 
 
 def _log_share(v: Vocabulary) -> np.ndarray:
+    """Log shares of the classes, then of the grouped words inside their groups."""
+    share = v.class_counts + 1.0
+    sums = v.class_counts[v.end - v.groups : v.end]
+    inside = v.grouped / np.repeat(sums, v.group_size)[: len(v.grouped)]
+    return np.log(np.concatenate([share / share.sum(), inside]))
+
+
+def _model(v: Vocabulary, parameters: np.ndarray | None) -> Model:
+    model = Model(_log_share(v), top=len(v.class_counts))
+    return model if parameters is None else model.load(parameters)
+
+
+def _batches(v: Vocabulary, kind: np.ndarray, chosen: np.ndarray, rng: np.random.Generator):
+    """(positions, target rows, noise rows) in random order: every position for its class, grouped words once more inside their group."""
+    top = v.top(kind[chosen])
+    made = [(chosen[k : k + BATCH], top[k : k + BATCH], -1) for k in range(0, len(chosen), BATCH)]
+    inner = chosen[kind[chosen] >= len(v.class_counts)]
+    group = v.group(kind[inner])
+    order = np.argsort(group, kind="stable")
+    inner, group = inner[order], group[order]
+    edges = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(inner) else np.zeros(0, np.int64)
+    for a, b in zip(edges, np.append(edges[1:], len(inner))[: len(edges)], strict=True):
+        made += [(inner[k : min(k + BATCH, b)], kind[inner[k : min(k + BATCH, b)]], int(group[a])) for k in range(a, b, BATCH)]
     share = v.class_counts + 1.0
-    return np.log(share / share.sum())
+    upper = np.cumsum(share / share.sum())
+    lower = np.concatenate([[0], np.cumsum(v.grouped)])
+    k = len(v.class_counts)
+    for n in rng.permutation(len(made)):
+        at, target, g = made[n]
+        u = rng.random(NOISE)
+        if g < 0:
+            noise = np.minimum(np.searchsorted(upper, u, side="right"), k - 1)
+        else:
+            m = v.members(g)
+            low, high = lower[m.start - k], lower[m.stop - k]
+            noise = k + np.clip(np.searchsorted(lower, low + u * (high - low), side="right") - 1, m.start - k, m.stop - k - 1)
+        yield at, target, noise
+
+
+_SUMS = "block int, rows binary, uses binary, vectors binary"
 
 
 def _trained(v: Vocabulary, start: np.ndarray | None, rate: float, turn: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        log_noise = _log_share(v)
-        model = Model(log_noise)
-        if start is not None:
-            model.load(start)
-        steps = 0
+        log_noise = _log_share(v).astype(np.float32)
+        model = _model(v, start)
+        n = len(log_noise)
+        steps, uses = 0, np.zeros((n, 2), np.float32)
         for batch in batches:
             for piece in pieces(batch):
                 s = Sequence(piece.column("text"), v)
                 rng = np.random.default_rng([turn, len(s.kind), int(s.hashes[:1].sum() >> np.uint64(1))])
                 chosen = rng.permutation(np.flatnonzero(rng.random(len(s.kind)) < rate))
-                noises = rng.choice(len(log_noise), (len(chosen) // BATCH + 1, NOISE), p=np.exp(log_noise))
-                for k in range(0, len(chosen), BATCH):
-                    at = chosen[k : k + BATCH]
-                    model.train(s.one[at], s.two[at], s.kind[at], noises[k // BATCH], log_noise)
+                for at, target, noise in _batches(v, s.kind, chosen, rng):
+                    model.train(s.one[at], s.two[at], target, noise, log_noise)
+                    uses[noise, 1] += 1
+                kind = s.kind[chosen]
+                uses[:, 0] += np.bincount(s.one[chosen], minlength=n) + np.bincount(s.two[chosen], minlength=n)
+                uses[:, 1] += np.bincount(v.top(kind), minlength=n) + np.bincount(kind[kind >= model.top], minlength=n)
                 steps += len(chosen)
         if steps:
-            flat = model.flat() * steps
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(-1, len(flat)).astype(np.int32)), pa.array(np.append(float(steps), flat))], names=["place", "value"]
-            )
+            used = np.flatnonzero(uses.any(axis=1)).astype(np.int32)
+            edges = np.flatnonzero(np.append(True, used[1:] // _BLOCK != used[:-1] // _BLOCK))
+            for rows in np.split(used, edges[1:]):
+                vectors = np.concatenate([model.r[rows], model.q[rows], model.b[rows, None]], axis=1)
+                yield _sums(rows[0] // _BLOCK, rows, uses[rows], vectors.astype(np.float16))
+            yield _sums(-1, np.zeros(1, np.int32), np.array([[steps, 0]], np.float32), model.c.astype(np.float16))
 
     return run
 
 
+def _sums(block: int, *arrays: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array([a.tobytes()], pa.binary()) for a in arrays]
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), *columns], names=["block", "rows", "uses", "vectors"])
+
+
+def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Mean vectors of each block's rows, by uses: of contexts and of targets."""
+    held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for batch in batches:
+        for block, *binary in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            rows, uses = np.frombuffer(binary[0], np.int32), np.frombuffer(binary[1], np.float32).reshape(-1, 2)
+            vectors = np.frombuffer(binary[2], np.float16).reshape(len(rows), -1).astype(np.float32)
+            size = 1 if block < 0 else _BLOCK
+            total, sums = held.setdefault(block, (np.zeros((size, 2), np.float64), np.zeros((size, vectors.shape[1]), np.float32)))
+            total[rows % _BLOCK] += uses
+            sums[rows % _BLOCK] += vectors * _weights(uses, block)
+    for block, (total, sums) in held.items():
+        rows = np.flatnonzero(total.any(axis=1))
+        sums = sums[rows] / np.maximum(_weights(total[rows], block), 1e-9)
+        yield _sums(block, (rows + max(block, 0) * _BLOCK).astype(np.int32), total[rows].astype(np.float32), sums.astype(np.float32))
+
+
+def _weights(uses: np.ndarray, block: int) -> np.ndarray:
+    return uses[:, :1] if block < 0 else np.repeat(uses, [SIZE, SIZE + 1], axis=1)
+
+
 def trained(rows: DataFrame, v: Vocabulary, rate: float = RATE, turns: int = TURNS) -> np.ndarray:
     """Averaged parameters after all turns over the training rows (text)."""
     now: np.ndarray | None = None
     for turn in range(turns):
-        sums = rows.select("text").mapInArrow(_trained(v, now, rate, turn), "place int, value double")
-        found = sums.groupBy("place").agg(F.sum("value").alias("value")).toPandas().sort_values("place")["value"].to_numpy()
-        if not len(found):
-            break
-        now = found[1:] / found[0]
-    return Model(_log_share(v)).flat() if now is None else now
+        sums = rows.select("text").mapInArrow(_trained(v, now, rate, turn), _SUMS)
+        found = sums.repartition("block").mapInArrow(_averaged, _SUMS).toArrow()
+        model = _model(v, now)
+        for block, *binary in zip(*(found.column(k) for k in range(4)), strict=True):
+            at, uses, vectors = (np.frombuffer(x.as_py(), t) for x, t in zip(binary, (np.int32, np.float32, np.float32), strict=True))
+            if block.as_py() < 0:
+                model.c[...] = vectors.reshape(model.c.shape)
+                continue
+            uses, vectors = uses.reshape(-1, 2) > 0, vectors.reshape(len(at), -1)
+            context, target = at[uses[:, 0]], at[uses[:, 1]]
+            model.r[context] = vectors[uses[:, 0], :SIZE]
+            model.q[target] = vectors[uses[:, 1], SIZE : 2 * SIZE]
+            model.b[target] = vectors[uses[:, 1], 2 * SIZE]
+        now = model.flat()
+    return _model(v, None).flat() if now is None else now
 
 
 def _scored(v: Vocabulary, parameters: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(_log_share(v)).load(parameters)
-        k = len(v.class_counts)
-        known_z = np.full(k * k, np.nan, np.float32)
+        model = _model(v, parameters)
         for batch in batches:
             for piece in pieces(batch):
-                yield _score(piece, v, model, known_z)
+                yield _score(piece, v, model)
 
     return run
 
 
-def _score(piece: pa.RecordBatch, v: Vocabulary, model: Model, known_z: np.ndarray) -> pa.RecordBatch:
-    s = Sequence(piece.column("text"), v)
-    docs, k = len(piece), len(v.class_counts)
-    pair = s.one.astype(np.int64) * k + s.two
-    new = np.unique(pair)
-    new = new[np.isnan(known_z[new])]
-    known_z[new] = model.normalisers(new // k, new % k)
-    score = np.empty(len(s.kind))
-    for a in range(0, len(pair), 1 << 16):
+def _log_probability(s: Sequence, v: Vocabulary, model: Model) -> np.ndarray:
+    """Of each position's class, and of a grouped word inside its group."""
+    k = len(model.b)
+    pair, at = np.unique(s.one.astype(np.int64) * k + s.two, return_inverse=True)
+    out = -model.normalisers(pair // k, pair % k)[at].astype(np.float64)
+    top = v.top(s.kind)
+    for a in range(0, len(top), 1 << 16):
         part = slice(a, a + (1 << 16))
-        score[part] = (model.hidden(s.one[part], s.two[part]) * model.q[s.kind[part]]).sum(axis=1) + model.b[s.kind[part]]
-    score = (score - known_z[pair]) / np.log(10)
+        out[part] += (model.hidden(s.one[part], s.two[part]) * model.q[top[part]]).sum(axis=1) + model.b[top[part]]
+    inner = np.flatnonzero(s.kind >= model.top)
+    group = v.group(s.kind[inner])
+    order = np.argsort(group, kind="stable")
+    inner, group = inner[order], group[order]
+    for places in np.split(inner, np.flatnonzero(group[1:] != group[:-1]) + 1) if len(inner) else []:
+        kind = s.kind[places]
+        h = model.hidden(s.one[places], s.two[places])
+        inside = (h * model.q[kind]).sum(axis=1) + model.b[kind]
+        out[places] += inside - model.normalisers(s.one[places], s.two[places], v.members(int(v.group(kind[:1])[0])))
+    return out
+
+
+def _score(piece: pa.RecordBatch, v: Vocabulary, model: Model) -> pa.RecordBatch:
+    s = Sequence(piece.column("text"), v)
+    docs = len(piece)
+    score = _log_probability(s, v, model) / np.log(10)
     base = np.full(len(s.kind), v.base(v.ends))
     base[s.place] = np.where(s.known, v.base(s.counts), 0.0)
     rest = s.known & (s.kind[s.place] == v.rest)
