@@ -98,15 +98,6 @@ def test_words_with_vectors_grow_and_stay_normalised(spark):
     assert math.isclose(np.exp(lm._log_probability(s, v, model)).sum(), 1, abs_tol=1e-4)
 
 
-def test_context_helps_beyond_the_most_frequent_words(spark):
-    rng = random.Random(6)
-    vocabularies = [[f"{c}{k}" for k in range(300)] for c in "uvwxyz"]
-    rows = [(k, " ".join(rng.choices(rng.choice(vocabularies), k=150))) for k in range(1500)]
-    out = [r for r in lm.scores(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.held_out]
-    tokens = sum(r.n_tokens for r in out)
-    assert sum(r.score for r in out) / tokens > sum(r.base_score for r in out) / tokens + 0.15
-
-
 def test_edge_tables(spark, no_docs, null_rows):
     assert lm.scores(no_docs).collect() == []
     assert found(lm.scores(null_rows)) == brute([(r.doc_id, r.text) for r in null_rows.collect()])
