@@ -115,6 +115,14 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_re
 FROM d LEFT JOIN sums USING (doc_id)
 """
 
+SQL["op11_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages),
+d AS (SELECT *, octet_length(encode(h)) AS payload_bytes, octet_length(encode(h)) >= 100 AND page_id <> first AS again FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, sha256(h) AS payload_digest,
+  CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first END AS refers_to, true AS intact
+FROM d
+"""
+
 SQL["op12_hard_negatives"] = """
 WITH r AS (
   SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tokentide.llm import bpe, decontaminate, html, jaccard, lm, negatives, pseudonyms, quality, repeats, shards, substrings
+from tokentide.llm import bpe, decontaminate, html, jaccard, lm, negatives, pseudonyms, quality, repeats, shards, substrings, warc
 from tokentide.llm.tables import table
 
 
@@ -66,6 +66,12 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removed_windows(table(spark, sf_dir, "documents"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact"
+    )
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
 
@@ -81,5 +87,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_warc": op11_warc,
     "op12_hard_negatives": op12_hard_negatives,
 }
