@@ -145,3 +145,35 @@ fits AS (
 )
 SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM fits WHERE rank <= 3
 """
+
+SQL["op13_collocations"] = f"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents
+),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM d),
+totals AS (SELECT lang, sum(len(w)) AS n FROM p GROUP BY lang),
+f AS (
+  SELECT lang, array_to_string(list_slice(w, s, s + m - 1), ' ') AS phrase, m, CAST(count(*) AS HUGEINT) AS a
+  FROM p, unnest(range(1, 5)) t(m), unnest(range(1, len(w) - m + 2)) u(s) GROUP BY ALL HAVING count(*) >= 30
+),
+candidates AS (SELECT lang, phrase, m, a, string_split(phrase, ' ') AS w FROM f WHERE m > 1),
+cuts AS (
+  SELECT c.lang, c.phrase, c.a, k, x.a AS l, y.a AS r, 2000000 * c.a // (x.a + y.a) AS score
+  FROM candidates c, unnest(range(1, m)) t(k)
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(list_slice(c.w, 1, k), ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(list_slice(c.w, k + 1, c.m), ' ')
+),
+scored AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (
+  SELECT lang, array_to_string(list_slice(w, s, s + n - 1), ' ') AS phrase, max(a) AS longest
+  FROM candidates, unnest(range(2, m)) t(n), unnest(range(1, m - n + 2)) u(s) GROUP BY ALL
+),
+ranked AS (
+  SELECT s.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM scored s LEFT JOIN inside i USING (lang, phrase) WHERE i.longest IS NULL OR 100 * i.longest < 80 * a
+)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n,
+  CAST(score AS BIGINT) AS score
+FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""

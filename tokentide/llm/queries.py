@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tokentide.llm import bpe, decontaminate, html, jaccard, lm, negatives, pseudonyms, quality, repeats, shards, substrings, warc
+from tokentide.llm import bpe, collocations, decontaminate, html, jaccard, lm, negatives, pseudonyms, quality, repeats, shards, substrings, warc
 from tokentide.llm.tables import table
 
 
@@ -76,6 +76,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_byte_level_bpe": op2_byte_level_bpe,
@@ -89,4 +93,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substring_dedup": op10_substring_dedup,
     "op11_warc": op11_warc,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_collocations": op13_collocations,
 }
