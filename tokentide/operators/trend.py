@@ -9,17 +9,18 @@ almost all of it parallelises:
   matters, so the first row of each distinct value is enough, and of those only
   the strict running maxima.
 * What is left (resets that creep, or values that grow by less than the epsilon)
-  is folded row by row, all blocks of bounded size at once; a block whose state from
-  the block before turns out otherwise is folded again.
+  is folded in blocks of bounded size. A block finds the next accepted row of each
+  row by range search, and is reduced to the few states it can hand on; composing
+  these gives the state that comes into each block.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokentide.functions.scalars import JITTER_MICROS, PERCENT_EPSILON
@@ -105,91 +106,190 @@ def _records(steady: DataFrame) -> DataFrame:
     return top.withColumn("creeps", F.max(creeps).over(Window.partitionBy(*SEGMENT))).drop("top")
 
 
-def _accept(block: pd.DataFrame) -> pd.DataFrame:
-    """Fold of one block; `state_*` is the last accepted sample before it, if any."""
-    block = block.sort_values("rn")
-    used, reset = block["used_percent"].to_numpy(), block["resets_us"].to_numpy()
-    has_state = bool(block["has_state"].iloc[0])
-    u, r = (block["state_used"].iloc[0], block["state_reset"].iloc[0]) if has_state else (0.0, 0)
-    taken = []
+_KEY = (*SEGMENT, "block")
+_KEY_SQL = "account_id string, plan_type string, limit_id string, window_minutes bigint, run bigint, block bigint"
+_NO_TIME = np.iinfo(np.int64)
+
+
+def _counts(used: np.ndarray, reset: np.ndarray, from_used: np.ndarray, from_reset: np.ndarray) -> np.ndarray:
+    """Whether samples count against states: the reset moved by the jitter at least, or the use grew by more than epsilon."""
+    return (np.abs(reset - from_reset) >= JITTER_MICROS) | (used - from_used > PERCENT_EPSILON)
+
+
+class _Ranges:
+    """Extremes of aligned ranges of 1, 2, 4, ... rows, to find the next row that counts against a state in log time.
+
+    Some row of a range counts exactly if its largest or smallest reset or its largest use does.
+    """
+
+    def __init__(self, used: np.ndarray, reset: np.ndarray):
+        self.n = len(used)
+        size = 1 << max(1, (self.n - 1).bit_length())
+        top, low, most = np.full(size, _NO_TIME.min), np.full(size, _NO_TIME.max), np.full(size, -np.inf)
+        top[: self.n], low[: self.n] = reset, reset
+        most[: self.n] = np.where(np.isnan(used), -np.inf, used)
+        self.levels = [(top, low, most)]
+        while len(top) > 1:
+            top, low, most = np.maximum(top[::2], top[1::2]), np.minimum(low[::2], low[1::2]), np.maximum(most[::2], most[1::2])
+            self.levels.append((top, low, most))
+
+    def _hit(self, level: int, node: np.ndarray, used: np.ndarray, reset: np.ndarray) -> np.ndarray:
+        top, low, most = (x[node] for x in self.levels[level])
+        filled = top >= low
+        # Where nothing is filled in, the reset itself stands in for the extremes.
+        top, low = np.where(filled, top, reset), np.where(filled, low, reset)
+        return (top - reset >= JITTER_MICROS) | (reset - low >= JITTER_MICROS) | (most - used > PERCENT_EPSILON)
+
+    def following(self, at: np.ndarray, used: np.ndarray, reset: np.ndarray) -> np.ndarray:
+        """For each state the first row from `at` on that counts against it, or the number of rows."""
+        at, size = at.copy(), len(self.levels[0][0])
+        level = np.full(len(at), -1)
+        open_ = np.flatnonzero(at < self.n)
+        # Upwards: a right child is searched before its parent's next sibling.
+        for k in range(len(self.levels)):
+            odd = open_[(at[open_] >> k) & 1 == 1] if k + 1 < len(self.levels) else open_[at[open_] < size]
+            hit = self._hit(k, at[odd] >> k, used[odd], reset[odd])
+            level[odd[hit]] = k
+            at[odd[~hit]] += 1 << k
+            open_ = open_[(level[open_] < 0) & (at[open_] < self.n)]
+            if not len(open_):
+                break
+        # Downwards, into the half that has the first one.
+        for k in range(len(self.levels) - 2, -1, -1):
+            below = np.flatnonzero(level > k)
+            miss = ~self._hit(k, at[below] >> k, used[below], reset[below])
+            at[below[miss]] += 1 << k
+        return np.where(level >= 0, at, self.n)
+
+
+def _next_accepted(used: np.ndarray, reset: np.ndarray) -> tuple[_Ranges, list[int]]:
+    """For each row the next one that is accepted after it, or the number of rows."""
+    ranges = _Ranges(used, reset)
+    return ranges, ranges.following(np.arange(1, len(used) + 1), used, reset).tolist()
+
+
+def _ordered(block: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    block = block.sort_by("rn")
+    return block, block.column("used_percent").to_numpy(), block.column("resets_us").to_numpy()
+
+
+def _keyed(block: pa.Table, columns: dict[str, pa.Array]) -> pa.Table:
+    """`columns` with the key of `block` in every row."""
+    n = len(next(iter(columns.values())))
+    keys = {c: pa.nulls(n, block.schema.field(c).type) if (v := block.column(c)[0]).as_py() is None else pa.repeat(v, n) for c in _KEY}
+    return pa.table({**keys, **columns})
+
+
+def _accept(block: pa.Table) -> pa.Table:
+    """Accepted rows of one block; `state_*` is the last accepted sample before it, null if there is none."""
+    block, used, reset = _ordered(block)
+    ranges, after = _next_accepted(used, reset)
     at = 0
-    while at < len(block):
-        # The next accepted row: all rows are tested against the state at once.
-        fits = (np.abs(reset[at:] - r) >= JITTER_MICROS) | (used[at:] - u > PERCENT_EPSILON) if has_state else np.array([True])
-        step = int(fits.argmax())
-        if not fits[step]:
-            break
-        at += step
-        has_state, u, r = True, used[at], reset[at]
+    if (u := block.column("state_used")[0].as_py()) is not None:
+        r = block.column("state_reset")[0].as_py()
+        at = int(ranges.following(np.zeros(1, np.int64), np.array([u]), np.array([r]))[0])
+    taken = []
+    while at < len(used):
         taken.append(at)
-        at += 1
-    return block.iloc[taken][list(_ACCEPTED)]
+        at = after[at]
+    return _keyed(block, {"rn": block.column("rn").take(pa.array(taken, pa.int64()))})
+
+
+def _transfer(block: pa.Table) -> pa.Table:
+    """What a block makes of the states that may come in: for each row that can be accepted first, the row accepted last.
+
+    States that come in lie within the jitter of the last sample before the block (`before_reset`), else that sample would have been
+    accepted; so the first accepted row is at most the first whose reset is twice the jitter away from it. It also is an
+    extreme of the block so far, since no row before it was accepted.
+    """
+    block, used, reset = _ordered(block)
+    _, after = _next_accepted(used, reset)
+    n = len(used)
+    last = list(range(n))
+    for k in range(n - 1, -1, -1):
+        if after[k] < n:
+            last[k] = last[after[k]]
+    if (before := block.column("before_reset")[0].as_py()) is None:
+        first = np.zeros(1, np.int64)
+    else:
+        away = np.flatnonzero(np.abs(reset - before) >= 2 * JITTER_MICROS)
+        end = int(away[0]) + 1 if len(away) else n
+        u, r = used[:end], reset[:end]
+        top, low, most = np.maximum.accumulate(r), np.minimum.accumulate(r), np.fmax.accumulate(u)
+        new = np.ones(end, bool)
+        new[1:] = (r[1:] > top[:-1]) | (r[1:] < low[:-1]) | (u[1:] > most[:-1])
+        first = np.flatnonzero(new)
+    exits = np.array(last)[first]
+    return _keyed(
+        block,
+        {"at": pa.array(first), "used": pa.array(used[first]), "reset": pa.array(reset[first]), "exit_used": pa.array(used[exits]), "exit_reset": pa.array(reset[exits])},
+    )
 
 
-_BLOCK = (*SEGMENT, "block")
-_ACCEPTED = (*_BLOCK, "rn", "used_percent", "resets_us")
-_ACCEPTED_SCHEMA = (
-    "account_id string, plan_type string, limit_id string, window_minutes bigint, run bigint, block bigint, rn bigint, "
-    "used_percent double, resets_us bigint"
-)
+def _compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The state that comes into each block, from the transfer rows of whole segments in order; one block is held at a time."""
 
+    def blocks() -> Iterator[tuple[tuple, pa.Table]]:
+        held, key = [], None
+        for batch in batches:
+            keys = list(zip(*[batch.column(c).to_pylist() for c in _KEY], strict=True))
+            begin = 0
+            for k in range(1, len(keys) + 1):
+                if k == len(keys) or keys[k] != keys[begin]:
+                    if keys[begin] != key and held:
+                        yield key, pa.Table.from_batches(held)
+                        held = []
+                    key = keys[begin]
+                    held.append(batch.slice(begin, k - begin))
+                    begin = k
+        if held:
+            yield key, pa.Table.from_batches(held)
+
+    segment, state = None, None
+    for key, table in blocks():
+        used, reset = table.column("used").to_numpy(), table.column("reset").to_numpy()
+        if key[:-1] != segment:
+            segment, state, found = key[:-1], None, 0
+        else:
+            u, r = state
+            yield pa.RecordBatch.from_arrays(
+                [*[pa.array([v], t) for v, t in zip(key, _KEY_TYPES, strict=True)], pa.array([u], pa.float64()), pa.array([r], pa.int64())],
+                names=[*_KEY, "state_used", "state_reset"],
+            )
+            fits = _counts(used, reset, u, r)
+            found = int(fits.argmax()) if fits.any() else None
+        if found is not None:
+            state = (float(table.column("exit_used")[found].as_py()), int(table.column("exit_reset")[found].as_py()))
 
-def _match(left: DataFrame, right: DataFrame, right_names: dict[str, str]) -> Column:
-    """Null-safe equality of columns of `left` and their namesakes of `right`."""
-    parts = [left[c].eqNullSafe(right[n]) for c, n in right_names.items()]
-    return reduce(lambda x, y: x & y, parts)
+
+_KEY_TYPES = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
 
 
 def _fold(rows: DataFrame, block_rows: int) -> DataFrame | None:
     """Accepted rows of the segments that need the row-by-row fold; None when there are none.
 
-    All blocks are folded at once, at first without a state. A block is folded again when the state that the block before hands
-    on has changed. Two folds that accept one row agree from there on, so a second round is usually the last one; it
-    takes as many rounds as blocks follow one another without a common row.
+    Blocks of bounded size are worked through at once. Where a segment has several, each block is first reduced to the few
+    states it can hand on; composing these in order gives the state that comes into each block.
     """
     rows = stage(rows.withColumn("block", F.expr(f"(rn - rn0) div {block_rows}")), "fold")
     if rows.isEmpty():
         return None
-    slim = rows.select(*_BLOCK, "rn", "used_percent", F.unix_micros("resets_at").alias("resets_us"))
-    names = {c: f"s_{c}" for c in _BLOCK}
-    bare = slim.withColumns({"state_used": F.lit(0.0), "state_reset": F.lit(0).cast("long"), "has_state": F.lit(False)})
-    taken = stage(bare.groupBy(*_BLOCK).applyInPandas(_accept, _ACCEPTED_SCHEMA), "accepted")
-    blocks = slim.groupBy(*_BLOCK).agg(F.lit(1).alias("one")).drop("one")
-    blocks = stage(blocks, "blocks")
-    given: DataFrame | None = None
-    while True:
-        # What each block hands on: its last accepted row, or what it was given.
-        last = taken.groupBy(*_BLOCK).agg(F.max_by(F.struct("used_percent", "resets_us"), "rn").alias("s")).select(
-            *[F.col(c).alias(n) for c, n in names.items()], "s.*"
-        )
-        ends = blocks.join(last, _match(blocks, last, names), "left").select(
-            *[blocks[c] for c in _BLOCK], F.col("used_percent").alias("used"), F.col("resets_us").alias("reset")
-        )
-        if given is not None:
-            ends = ends.join(given, _match(ends, given, names), "left").select(
-                *_BLOCK, F.coalesce("used", "s_used").alias("used"), F.coalesce("reset", "s_reset").alias("reset")
-            )
-        now = stage(
-            ends.where("used IS NOT NULL").select(
-                *[(F.col(c) + 1 if c == "block" else F.col(c)).alias(n) for c, n in names.items()],
-                F.col("used").alias("s_used"),
-                F.col("reset").alias("s_reset"),
-            ),
-            "states",
-        )
-        changed = now if given is None else now.exceptAll(given)
-        again = slim.join(changed, _match(slim, changed, names)).select(
-            *[slim[c] for c in slim.columns],
-            F.col("s_used").alias("state_used"),
-            F.col("s_reset").alias("state_reset"),
-            F.lit(True).alias("has_state"),
+    slim = rows.select(*_KEY, F.struct(*SEGMENT).alias("segment"), "rn", "used_percent", F.unix_micros("resets_at").alias("resets_us"))
+    ends = slim.groupBy("segment", "block").agg(F.max_by("resets_us", "rn").alias("reset"))
+    before = ends.select("segment", (F.col("block") + 1).alias("block"), F.col("reset").alias("before_reset"))
+    several = stage(ends.groupBy("segment").agg(F.max("block").alias("blocks")).where("blocks > 0").select("segment"), "several")
+    if several.isEmpty():
+        states = slim.sparkSession.createDataFrame([], f"{_KEY_SQL}, state_used double, state_reset bigint")
+    else:
+        many = slim.join(several, "segment").join(before, ["segment", "block"], "left").drop("segment")
+        tables = many.groupBy(*_KEY).applyInArrow(
+            _transfer, f"{_KEY_SQL}, at bigint, used double, reset bigint, exit_used double, exit_reset bigint"
         )
-        again = stage(again, "again")
-        if again.isEmpty():
-            break
-        fresh = again.groupBy(*_BLOCK).applyInPandas(_accept, _ACCEPTED_SCHEMA)
-        taken = stage(taken.join(changed, _match(taken, changed, names), "left_anti").unionByName(fresh), "accepted")
-        given = now
+        ordered = tables.repartition(*SEGMENT).sortWithinPartitions(*_KEY, "at")
+        states = stage(ordered.mapInArrow(_compose, f"{_KEY_SQL}, state_used double, state_reset bigint"), "states")
+    states = states.select(F.struct(*SEGMENT).alias("segment"), "block", "state_used", "state_reset")
+    given = slim.join(states, ["segment", "block"], "left").drop("segment")
+    taken = given.groupBy(*_KEY).applyInArrow(_accept, f"{_KEY_SQL}, rn bigint")
     same = [rows[c].eqNullSafe(taken[c]) for c in (*SEGMENT, "rn")]
     return rows.drop("block").join(taken, same, "left_semi")
 

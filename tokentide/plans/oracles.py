@@ -346,14 +346,15 @@ SQL["quota_current_status"] = with_(
     from ({_CURRENT})""",
     "windows",
 )
-SQL["quota_trend"] = with_(
-    """select us as at, account_id, plan_type, limit_id, win as "window", window_minutes, used_percent,
-    100.0 - used_percent as remaining_percent, delta as delta_used_percent, resets_us as resets_at, kind from fold where kind <> ''""",
-    "active",
-    recursive=True,
-    extra={
-        "vectors": """select *, lag((window_minutes, used_percent, resets_us)) over (
-            partition by account_id, plan_type, limit_id, session_id order by us, event_id) as p from active""",
+_CHANGES = """select us as at, account_id, plan_type, limit_id, win as "window", window_minutes, used_percent,
+    100.0 - used_percent as remaining_percent, delta as delta_used_percent, resets_us as resets_at, kind from fold where kind <> ''"""
+
+
+def folded(active: str) -> dict[str, str]:
+    """The trend's rule over a table of samples, one after the other."""
+    return {
+        "vectors": f"""select *, lag((window_minutes, used_percent, resets_us)) over (
+            partition by account_id, plan_type, limit_id, session_id order by us, event_id) as p from {active}""",
         "kept": """select *, row_number() over (partition by account_id, plan_type, limit_id, window_minutes order by us, event_id) as n
             from vectors where (p is null or p <> (window_minutes, used_percent, resets_us)) and resets_us > us""",
         "fold": """select *, used_percent as su, resets_us as sr, cast(null as double) as delta, 'firstObserved' as kind from kept where n = 1
@@ -364,6 +365,20 @@ SQL["quota_trend"] = with_(
               and k.account_id is not distinct from f.account_id and k.limit_id is not distinct from f.limit_id,
             lateral (select case when abs(k.resets_us - f.sr) >= 61000000 then 'resetChanged'
               when k.used_percent - f.su > 0.000001 then 'increased' else '' end as acc) x""",
+    }
+
+
+SQL["quota_trend"] = with_(_CHANGES, "active", recursive=True, extra=folded("active"))
+SQL["quota_trend_creeping"] = with_(
+    _CHANGES,
+    "ev",
+    recursive=True,
+    extra={
+        "creeping": """select event_id, ts, us, concat('s', user_id, '-', cast(floor(us/86400000000.0) as bigint)) as session_id,
+            case when user_id%6=0 then null else concat('a', user_id%5) end as account_id, case when user_id%2=0 then 'pro' else 'plus' end as plan_type,
+            'main' as limit_id, cast(300 as bigint) as window_minutes, '5h' as win, cast(k // 34 as double) as used_percent,
+            1900000000000000 + (event_id * 2 + event_id % 3 * 20) * 1000000 as resets_us from ev""",
+        **folded("creeping"),
     },
 )
 

@@ -263,6 +263,7 @@ query("quota_unknown_limit_resets")(lambda t: quota.unknown_limit_resets(quota.q
 query("quota_current")(lambda t: quota.order_current(quota.quota_current(t.samples, NOW)).drop("estimated_start"))
 query("quota_current_status")(lambda t: quota.current_status(quota.quota_current(t.samples, NOW)))
 query("quota_trend")(lambda t: quota.order_changes(trend.quota_trend(t.samples)))
+query("quota_trend_creeping")(lambda t: quota.order_changes(trend.quota_trend(adapters.creeping_samples(t.ev), block_rows=1000)))
 
 
 # --- interval joins ---------------------------------------------------------

@@ -15,6 +15,8 @@ from tokentide.operators.chunked import row_numbers, running_sum
 
 DAY_MICROS = 86_400_000_000
 FIVE_HOUR_MICROS = 18_000_000_000
+# Where the creeping resets begin: behind all events.
+CREEP_FROM = 1_900_000_000_000_000
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -285,6 +287,19 @@ def rising_samples(ev: DataFrame) -> DataFrame:
     )
 
 
+def creeping_samples(ev: DataFrame) -> DataFrame:
+    """Five-hour samples of one limit whose reset moves on by seconds with every event."""
+    used = F.floor(F.col("k") / 34).cast("double")
+    reset = F.timestamp_micros(CREEP_FROM + (F.col("event_id") * 2 + F.col("event_id") % 3 * 20) * 1_000_000)
+    ids = ev.select(F.col("event_id").alias("source_line"), "k", "event_id")
+    return (
+        samples(ev, 300)
+        .join(ids, "source_line")
+        .withColumns({"limit_id": F.lit("main"), "used_percent": used, "remaining_percent": F.lit(100.0) - used, "resets_at": reset})
+        .drop("k", "event_id")
+    )
+
+
 def busy_usage(records: DataFrame) -> DataFrame:
     limits = F.transform("rate_limits", lambda x: x.withField("limit_id", F.lit("main")))
     return busy_session(records.withColumn("rate_limits", limits))
