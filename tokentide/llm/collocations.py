@@ -32,7 +32,7 @@ from tokentide.llm.automata import Counts
 from tokentide.llm.words import LOWER, buffers, mix
 from tokentide.session import stage
 
-SHARD_BYTES = 1 << 24
+SHARD_BYTES = 1 << 23
 SLICE_BYTES = 1 << 21
 RANGE_WORDS = 1 << 20
 LONGEST = 4
@@ -141,6 +141,9 @@ def _encoded(shard_bytes: int, slice_bytes: int):
                     shard, made = _Shard(), made + 1
         if shard.bytes:
             yield shard.row(first + made)
+        # Workers are reused: what the task no longer needs goes back.
+        del shard
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -184,33 +187,37 @@ def _transducers(stream: np.ndarray, local: np.ndarray, ids: np.ndarray, splits:
     order = np.argsort(ids)
     local, ids, splits = local[order], ids[order], splits[order]
     # Frequent words by rank of their number; what is 0 ends a run.
-    rank = np.zeros(int(max(stream.max(initial=0), local.max(initial=0))) + 2, np.int64)
+    rank = np.zeros(int(max(stream.max(initial=0), local.max(initial=0))) + 2, np.int32)
     rank[local + 1] = np.arange(1, len(local) + 1)
-    t = np.concatenate([rank[stream], np.zeros(LONGEST, np.int64)])
+    t = np.concatenate([rank[stream], np.zeros(LONGEST, np.int32)])
     at = np.flatnonzero((t[:-1] > 0) & (t[1:] > 0))
     if not len(at):
         return
     cols = [t[at], t[at + 1]]
     for d in range(2, LONGEST):
         cols.append(np.where(cols[-1] > 0, t[at + d], 0))
-    upper, lower = cols[0] << 32 | cols[1], cols[2] << 32 | cols[3]
+    del at
     many = splits[cols[0] - 1]
     prefix = ids >> 24
     # Cells in order of the ranges; a word with splits has one for each.
     base = np.concatenate([[True], prefix[1:] != prefix[:-1]])
     width = np.where(base, splits, 0)
     cell = (np.cumsum(width) - np.where(base, width, 0))[np.maximum.accumulate(np.where(base, np.arange(len(ids)), 0))]
-    number = np.concatenate([[0], ids]).astype(np.uint64)
-    split = np.where(many > 1, mix(mix(number[cols[1]]) + number[cols[2]]) % many.astype(np.uint64), 0).astype(np.int64)
+    number = np.concatenate([[0], ids])
+    split = np.zeros(len(many), np.int64)
+    if (hot := np.flatnonzero(many > 1)).size:
+        second, third = (number[c[hot]].astype(np.uint64) for c in cols[1:3])
+        split[hot] = (mix(mix(second) + third) % many[hot].astype(np.uint64)).astype(np.int64)
     cells = cell[cols[0] - 1] + split
-    order = np.lexsort((lower, upper, cells)) if (many > 1).any() else np.lexsort((lower, upper))
-    paths = np.concatenate([[0], ids])[np.stack(cols, axis=1)[order]]
-    cells, split, many = cells[order], split[order], many[order]
+    order = np.lexsort((cols[3], cols[2], cols[1], cols[0], cells))
+    cells = cells[order]
     edges = np.append(np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]])), len(cells))
     found = []
     for a, b in zip(edges[:-1], edges[1:], strict=True):
-        automaton = Counts.from_sorted(paths[a:b], np.ones(b - a, np.int64)).to_bytes()
-        found.append((int(paths[a, 0] >> 24), int(split[a]), int(many[a]), automaton))
+        mine = order[a:b]
+        paths = number[np.stack([c[mine] for c in cols], axis=1)]
+        automaton = Counts.from_sorted(paths, np.ones(b - a, np.int64)).to_bytes()
+        found.append((int(paths[0, 0] >> 24), int(split[mine[0]]), int(many[mine[0]]), automaton))
     for a in range(0, len(found), 64):
         part = list(zip(*found[a : a + 64], strict=True))
         yield pa.RecordBatch.from_arrays(
