@@ -161,15 +161,42 @@ def test_pruning(spark, tmp_path):
         os.utime(path, (0, 0) if "-d." in name else None)
     root = str(tmp_path / "sessions")
     scan = LogScan(spark, root, start, end)
-    assert {r.relative: r.action for r in scan.files.collect()} == files
+    # Folders after the range are not listed at all.
+    assert {r.relative: r.action for r in scan.files.collect()} == {k: v for k, v in files.items() if v != "skip_folder"}
     assert sorted(r.session_id for r in scan.usage_records().collect())[:2] == ["a", "c"]
     got = scan.usage_diagnostics().first()
     assert (got.read_files, got.skipped_files, got.prefiltered_files, got.tail_read_files, got.mtime_read_files) == (3, 2, 1, 2, 2)
+    assert (got.scanned_directories, got.skipped_directories) == (10, 1)
     full = LogScan(spark, root, start, end, full=True).files.where("action = 'tail'").count()
     assert full == 3
     assert LogScan(spark, str(tmp_path / "none"), start, end).usage_records().count() == 0
 
 
+def test_listing_opens_only_what_a_range_needs(spark, tmp_path, monkeypatch):
+    names = ["2025/12/31", "2026/01/01", "2026/01/02", "2026/02/01", "2026/13/01", "2027/01/01", "2027/02/01", "notes/2030", "9", "_tmp", "a[b]"]
+    for name in names:
+        (tmp_path / "sessions" / name).mkdir(parents=True)
+        (tmp_path / "sessions" / name / "x.jsonl").write_text("{}\n")
+    (tmp_path / "archived_sessions/2028/01/01").mkdir(parents=True)
+    for flat in ("sessions/top.jsonl", "sessions/2026/01/month.jsonl", "archived_sessions/old.jsonl", "archived_sessions/2028/01/01/late.jsonl"):
+        (tmp_path / flat).write_text("{}\n")
+    opened = []
+    real = logs._children
+    monkeypatch.setattr(logs, "_children", lambda s, folder: opened.append(folder.split(tmp_path.name + "/")[1]) or real(s, folder))
+    scan = logs.ScanRange(datetime(2026, 1, 1, tzinfo=UTC), datetime(2026, 1, 1, 12, tzinfo=UTC))
+    listing = logs.plan_listing(spark, str(tmp_path / "sessions"), scan)
+    # The later years and the later month stay closed; a day folder is opened by the reader, and only within the range.
+    assert sorted(opened) == ["archived_sessions", "sessions", "sessions/2025", "sessions/2025/12", "sessions/2026", "sessions/2026/01", "sessions/2026/13"]
+    assert (listing.opened, listing.skipped) == (7, 4)
+    files = logs.list_logs(spark, str(tmp_path / "sessions"), scan, listing=listing).collect()
+    assert sorted(r.relative for r in files) == [
+        "2025/12/31/x.jsonl", "2026/01/01/x.jsonl", "2026/01/month.jsonl", "2026/13/01/x.jsonl", "9/x.jsonl", "a[b]/x.jsonl", "notes/2030/x.jsonl", "old.jsonl", "top.jsonl",
+    ]
+    assert logs.read_lines(spark, str(tmp_path / "sessions"), scan, listing=listing).count() == 9
+    # Clocks west of Greenwich begin their days later.
+    assert logs.plan_listing(spark, str(tmp_path / "sessions"), logs.ScanRange(scan.start, datetime(2026, 1, 2, 3, tzinfo=UTC)), "America/New_York").skipped == 4
+
+
 def test_limit_lines(spark, tree):
     window = lambda m, u, r: {"window_minutes": m, "used_percent": u, "resets_at": r}
     reset = int(at(5).timestamp())

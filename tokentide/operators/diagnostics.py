@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tokentide.sources.logs import Listing
+
 SKIPS = ("missing_metadata", "missing_usage", "empty_usage", "out_of_range", "account_mismatch", "fork_replay")
 
 
@@ -16,8 +18,11 @@ def side_by_side(*rows: DataFrame) -> DataFrame:
     return out.drop("_one")
 
 
-def file_counters(files: DataFrame, stale: DataFrame | None = None) -> DataFrame:
-    """What the listing kept and why; `stale` are tail candidates dropped by their last event."""
+def file_counters(files: DataFrame, stale: DataFrame | None = None, listing: Listing | None = None) -> DataFrame:
+    """What the listing kept and why; `stale` are tail candidates dropped by their last event.
+
+    Folders that were opened or passed over while planning the `listing` count too; without a range it opens none itself.
+    """
     is_ = lambda *a: F.count_if(F.col("action").isin(*a))
     folder = F.regexp_extract("relative", "^(.*)/", 1)
     counts = files.agg(
@@ -29,6 +34,15 @@ def file_counters(files: DataFrame, stale: DataFrame | None = None) -> DataFrame
         F.count_distinct(F.when(F.col("action") != "skip_folder", folder)).alias("scanned_directories"),
         F.count_distinct(F.when(F.col("action") == "skip_folder", folder)).alias("skipped_directories"),
     )
+    if listing is not None and listing.opened:
+        # Folders that the readers opened are seen by the files below them.
+        parts = F.split("relative", "/")
+        above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+        folders = files.where(F.size(parts) > 1).select("root", F.explode(above).alias("folder")).distinct()
+        seen = folders.where(~F.col("folder").rlike("^[0-9]{4}(/[0-9]{2})?$")).agg(F.count("*").alias("deep"))
+        counts = side_by_side(counts, seen).withColumns(
+            {"scanned_directories": F.col("deep") + listing.opened, "skipped_directories": F.lit(listing.skipped).cast("long")}
+        ).drop("deep")
     if stale is None:
         dropped = files.agg(F.lit(0).cast("long").alias("prefiltered_files"), F.lit(0).cast("long").alias("stale_mtime"))
     else:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,11 +51,11 @@ def _by_name(missing: DataFrame, all_files: DataFrame) -> DataFrame:
     )
 
 
-def parents(heads: DataFrame, all_files: DataFrame | None = None) -> DataFrame:
+def parents(heads: DataFrame, all_files: DataFrame | Callable[[], DataFrame] | None = None) -> DataFrame:
     """One row per fork: its own id, its parent's id and the parent's file (null when missing).
 
     The parent is the first scanned file that opens with the wanted id, else the
-    first file of the tree whose name contains it.
+    first file of the tree whose name contains it. A listing given as a function is made only if it is needed.
     """
     forks = heads.where(F.col("first_id").isNotNull() & F.col("second_id").isNotNull()).select(
         "file_path", F.col("first_id").alias("pinned_id"), F.col("second_id").alias("parent_session_id")
@@ -69,7 +71,7 @@ def parents(heads: DataFrame, all_files: DataFrame | None = None) -> DataFrame:
     missing = found.where(F.col("parent_path").isNull()).select("parent_session_id").distinct()
     if missing.isEmpty():
         return found
-    named = _by_name(missing, all_files)
+    named = _by_name(missing, all_files() if callable(all_files) else all_files)
     return (
         found.join(named, "parent_session_id", "left")
         .withColumn("parent_path", F.coalesce("parent_path", "named_path"))

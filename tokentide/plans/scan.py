@@ -26,13 +26,17 @@ class LogScan:
         self.start, self.end, self.full = start, end, full
         self.range = None if start is None or end is None else logs.ScanRange(start, end, full)
 
+    @cached_property
+    def listing(self) -> logs.Listing:
+        return logs.plan_listing(self.spark, self.sessions_dir, self.range, self.tz)
+
     @cached_property
     def files(self) -> DataFrame:
-        return logs.list_logs(self.spark, self.sessions_dir, self.range, self.tz)
+        return logs.list_logs(self.spark, self.sessions_dir, self.range, self.tz, self.listing)
 
     @cached_property
     def _lines(self) -> DataFrame:
-        return logs.read_lines(self.spark, self.sessions_dir, self.range, self.tz)
+        return logs.read_lines(self.spark, self.sessions_dir, self.range, self.tz, self.listing)
 
     @cached_property
     def splits(self) -> DataFrame:
@@ -57,7 +61,7 @@ class LogScan:
 
     def _forks(self, stale: DataFrame | None) -> DataFrame:
         # Files that turned out stale are neither forks nor parents by their first line.
-        found = stage(fork.parents(fork.lineage(self._kept(stale)), self._all_names()), "forks")
+        found = stage(fork.parents(fork.lineage(self._kept(stale)), self._all_names), "forks")
         if found.where(F.col("parent_path").isNotNull()).isEmpty():
             return found.withColumn("replay_prefix_lines", F.lit(0).cast("long"))
         scanned = self.splits.select(F.col("file_path").alias("parent_path")).distinct()
@@ -111,7 +115,7 @@ class LogScan:
 
     def usage_diagnostics(self, accounts=None, modes=None, account_id: str | None = None) -> DataFrame:
         return diagnostics.side_by_side(
-            diagnostics.file_counters(self.files, self.stale),
+            diagnostics.file_counters(self.files, self.stale, self.listing),
             fork.fork_counters(self.forks),
             self._lines_read(self.stale),
             diagnostics.usage_line_counters(self._kept(self.stale)),
@@ -121,7 +125,7 @@ class LogScan:
     def sample_diagnostics(self, accounts=None, **filters) -> DataFrame:
         events = ingest.with_forks(self._kept(self.stale_limits), self.limit_forks)
         return diagnostics.side_by_side(
-            diagnostics.file_counters(self.files, self.stale_limits),
+            diagnostics.file_counters(self.files, self.stale_limits, self.listing),
             fork.fork_counters(self.limit_forks),
             self._lines_read(self.stale_limits),
             diagnostics.sample_line_counters(events),

@@ -6,8 +6,12 @@ Layout: `<root>/YYYY/MM/DD/rollout-<local time>-<session id>.jsonl`, plus a sibl
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from datetime import datetime, timedelta
+from datetime import UTC, datetime, timedelta
+from zoneinfo import ZoneInfo
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,6 +20,8 @@ from pyspark.sql import functions as F
 DAY = timedelta(days=1)
 MIN_LOOKBACK, MAX_LOOKBACK = 7 * DAY, 30 * DAY
 ARCHIVE = "archived_sessions"
+# Folders of the upper levels that the driver lists at once; files are listed by executors.
+LISTERS = 16
 NAME_TIME = r"^rollout-(\d{4}).(\d{2}).(\d{2}).(\d{2}).(\d{2}).(\d{2}).*\.jsonl$"
 
 
@@ -121,19 +127,99 @@ def _located(df: DataFrame, roots: list[str], path: Column) -> DataFrame:
     return df.withColumn("root", root).withColumn("relative", relative)
 
 
-def list_logs(spark: SparkSession, sessions_dir: str, scan: ScanRange | None = None, tz: str = "UTC") -> DataFrame:
-    """Files below both roots with their pruning `action`; only the listing is read, no content."""
+@dataclass(frozen=True)
+class Listing:
+    """What a range leaves to list: folders to search with all below them and file patterns; and what it took to find out."""
+
+    roots: list[str]
+    paths: list[str]
+    opened: int = 0
+    skipped: int = 0
+
+
+def _folder_start(parts: tuple[str, ...], tz: str) -> datetime | None:
+    """Start of a year, month or day folder; null when its parts are no date."""
+    try:
+        return datetime(*[int(p) for p in (*parts, "1", "1")[:3]], tzinfo=ZoneInfo(tz))
+    except ValueError:
+        return None
+
+
+def _date_parts(parts: tuple[str, ...] | None, name: str) -> tuple[str, ...] | None:
+    """Date parts of a folder below one with `parts`; null when the name is no further part."""
+    if parts is None or not re.fullmatch(r"[0-9]{4}" if not parts else r"[0-9]{2}", name):
+        return None
+    return (*parts, name)
+
+
+def _children(spark: SparkSession, folder: str) -> Iterator[tuple[str, str, bool]]:
+    """Path, name and whether it is a folder, of each visible entry of one folder."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatusIterator(path)
+    while found.hasNext():
+        status = found.next()
+        name = status.getPath().getName()
+        if not name.startswith((".", "_")):
+            yield status.getPath().toString(), name, status.isDirectory()
+
+
+def _literal(path: str) -> str:
+    return re.sub(r"([{}\[\]*?\\])", r"\\\1", path)
+
+
+def plan_listing(spark: SparkSession, sessions_dir: str, scan: ScanRange | None = None, tz: str = "UTC") -> Listing:
+    """Which folders to list for a range.
+
+    Only the year and month folders are opened here, a calendar's worth; those that start after the range are passed over
+    unopened. Day folders and folders with other names are left to the readers, whose listing runs on the executors.
+    """
     roots = _existing(spark, roots_of(sessions_dir))
-    if not roots:
-        return spark.createDataFrame(
-            [], "file_path string, file_name string, mtime timestamp, root string, relative string, action string, session_id string"
-        )
-    files = _reader(spark, "binaryFile").load(roots).select(
+    if scan is None:
+        return Listing(roots, roots)
+    end = scan.end if scan.end.tzinfo else scan.end.replace(tzinfo=UTC)
+    paths, opened, skipped = [], 0, 0
+    level: list[tuple[str, tuple[str, ...]]] = [(r, ()) for r in roots]
+    with ThreadPoolExecutor(LISTERS) as pool:
+        while level:
+            opened += len(level)
+            below = []
+            for (folder, parts), entries in zip(level, pool.map(lambda x: list(_children(spark, x[0])), level), strict=True):
+                for path, name, is_folder in entries:
+                    if not is_folder:
+                        continue
+                    date = _date_parts(parts, name)
+                    start = None if date is None else _folder_start(date, tz)
+                    if start is not None and start > end:
+                        skipped += 1
+                    elif date is None or len(date) == 3:
+                        paths.append(_literal(path))
+                    else:
+                        below.append((path, date))
+                if any(not is_folder and name.endswith(".jsonl") for _, name, is_folder in entries):
+                    paths.append(f"{_literal(folder)}/*.jsonl")
+            level = below
+    return Listing(roots, sorted(paths), opened, skipped)
+
+
+_FILES = "file_path string, file_name string, mtime timestamp, root string, relative string, action string, session_id string"
+
+
+def list_logs(
+    spark: SparkSession, sessions_dir: str, scan: ScanRange | None = None, tz: str = "UTC", listing: Listing | None = None
+) -> DataFrame:
+    """Files below both roots with their pruning `action`; only the listing is read, no content.
+
+    Folders that start after the range are not listed, so their files don't show.
+    """
+    listing = listing or plan_listing(spark, sessions_dir, scan, tz)
+    if not listing.paths:
+        return spark.createDataFrame([], _FILES)
+    files = _reader(spark, "binaryFile").load(listing.paths).select(
         F.col("path").alias("file_path"),
         F.element_at(F.split("path", "/"), -1).alias("file_name"),
         F.col("modificationTime").alias("mtime"),
     )
-    files = _located(files, roots, F.col("file_path"))
+    files = _located(files, listing.roots, F.col("file_path"))
     action = F.lit("read") if scan is None else file_action(
         F.col("file_name"), F.col("relative"), F.col("mtime"), scan, tz
     )
@@ -145,20 +231,22 @@ def list_logs(spark: SparkSession, sessions_dir: str, scan: ScanRange | None = N
 # --- lines ------------------------------------------------------------------
 
 
-def read_lines(spark: SparkSession, sessions_dir: str, scan: ScanRange | None = None, tz: str = "UTC") -> DataFrame:
+def read_lines(
+    spark: SparkSession, sessions_dir: str, scan: ScanRange | None = None, tz: str = "UTC", listing: Listing | None = None
+) -> DataFrame:
     """Raw lines (file_path, file_name, block, row, value); files outside the range are never opened.
 
     `block` is the file split a line comes from, `row` orders lines within it.
     """
-    roots = _existing(spark, roots_of(sessions_dir))
-    if not roots:
+    listing = listing or plan_listing(spark, sessions_dir, scan, tz)
+    if not listing.paths:
         return spark.createDataFrame([], "file_path string, file_name string, block bigint, row bigint, value string")
     # Splits must not depend on how many executors happen to be up at a scan.
     if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
         spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
-    text = _reader(spark, "text").option("lineSep", "\n").load(roots)
+    text = _reader(spark, "text").option("lineSep", "\n").load(listing.paths)
     if scan is not None:
-        located = _located(text, roots, F.col("_metadata.file_path"))
+        located = _located(text, listing.roots, F.col("_metadata.file_path"))
         action = file_action(
             F.col("_metadata.file_name"), F.col("relative"), F.col("_metadata.file_modification_time"), scan, tz
         )
