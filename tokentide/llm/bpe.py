@@ -77,6 +77,12 @@ class Transducer:
         self.states: dict[tuple[bytes, tuple[int, ...]], State] = {}
         self.start = self.states[b"", ()] = State(b"", (), ())
 
+    def forget(self) -> None:
+        """Drop all states and what was found out about tokens; small tables left in place would keep their neighbours' memory."""
+        self.apart.clear()
+        self.edges.clear()
+        self._reset()
+
     def _parts(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes `token`: what its bytes come to without it, lowest rank first."""
         parts = [self.ranks[bytes([b])] for b in self.tokens[token]]
@@ -297,6 +303,12 @@ class Codec:
         out.extend(chain.from_iterable(map(self.words.__getitem__, words)))
         return out
 
+    def forget(self) -> None:
+        """Drop all that was made lazily."""
+        self.ids.transducer.forget()
+        self.ids.clear()
+        self.words.clear()
+
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
 
@@ -320,7 +332,10 @@ def codec(vocabulary: bytes, pattern: str) -> Codec:
 
 
 def encoded(docs: DataFrame, vocabulary: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, ids, decoded) of every document; the vocabulary's file content is a parameter of bounded size."""
+    """(doc_id, text, ids, decoded) of every document; the vocabulary's file content is a parameter of bounded size.
+
+    The lazily made tables go when a task ends: workers are reused, and other operators' arrays need the room.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(vocabulary, pattern)
@@ -332,6 +347,7 @@ def encoded(docs: DataFrame, vocabulary: bytes, pattern: str, id_col: str = "doc
                      pa.array([tool.decode(x) for x in ids], pa.string())],
                     names=["doc_id", "text", "ids", "decoded"],
                 )
+        tool.forget()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, text string, ids array<int>, decoded string")
