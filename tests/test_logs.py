@@ -143,6 +143,62 @@ def test_fingerprint_ignores_time_and_key_order(spark):
     assert got[0] == got[1] and got[3] == got[4] and len(set(got)) == 5
 
 
+def numbered(spark, **files):
+    rows = [(f, n, line if isinstance(line, str) else json.dumps(line)) for f, lines in files.items() for n, line in enumerate(lines, 1)]
+    return spark.createDataFrame(rows, "file_path string, line_no bigint, value string")
+
+
+def test_replay_prefix_equals_line_by_line(spark):
+    import random
+
+    rng = random.Random(4)
+    parent = [meta("p")] + [rng.choice([{"timestamp": iso(at(k)), "n": k % 7}, {"n": k, "timestamp": 1, "deep": {"timestamp": k}}, "broken %d" % (k % 3), "", "5"]) for k in range(60)]
+    text = [x if isinstance(x, str) else json.dumps(x) for x in parent]
+    again = lambda x: json.dumps({**x, "timestamp": iso(at(99))}) if isinstance(x, dict) and "deep" not in x else x if isinstance(x, str) else json.dumps(x)
+    turned = lambda x: json.dumps(dict(reversed(list(x.items())))) if isinstance(x, dict) else x
+    kids = {}
+    for k, (cut, more) in enumerate([(0, 3), (1, 3), (5, 0), (7, 2), (8, 1), (9, 4), (30, 0), (61, 0), (61, 5), (40, 9)]):
+        kids[f"a{k}"] = [meta("kid")] + [again(x) for x in parent[:cut]] + [json.dumps({"own": i}) for i in range(more)]
+        kids[f"t{k}"] = [meta("kid")] + [turned(x) for x in parent[:cut]] + [json.dumps({"own": i}) for i in range(more)]
+    kids["mixed"] = [meta("kid")] + [turned(x) if 10 < i < 20 else again(x) for i, x in enumerate(parent)] + ["end"]
+    kids["empty"] = [meta("kid")]
+    lines = numbered(spark, parent=parent, **kids)
+    prints = {(r.file_path, r.line_no): r.fp for r in lines.withColumn("fp", fork.fingerprint(F.col("value"))).collect()}
+    want = {}
+    for kid, its in kids.items():
+        n = 0
+        while n + 1 < len(its) and prints.get(("parent", n + 1)) == prints[kid, n + 2]:
+            n += 1
+        want[kid] = n + 1 if n else 0
+    found = spark.createDataFrame([(k, "parent") for k in kids] + [("none", None)], "file_path string, parent_path string")
+    for block in (1, 8, 1000):
+        got = {r.file_path: r.replay_prefix_lines for r in fork.replay_prefix(found, lines, block_lines=block).collect()}
+        assert got == {**want, "none": 0}, block
+    assert len(text) == 61 and want["mixed"] == 62
+
+
+def test_lines_of_equal_blocks_are_not_parsed(spark, monkeypatch):
+    plain = fork.fingerprint
+    monkeypatch.setattr(fork, "fingerprint", lambda v: F.when(v.contains("poison"), F.raise_error(F.lit("parsed")).cast("string")).otherwise(plain(v)))
+    parent = [{"timestamp": iso(at(k)), "type": "x", "payload": {"k": k, "v": "poison" if k < 8 else "tail"}} for k in range(12)]
+    kid = [meta("kid")] + [{**x, "timestamp": iso(at(99))} for x in parent[:10]] + [{"own": 1}]
+    found = spark.createDataFrame([("kid", "parent")], "file_path string, parent_path string")
+    lines = numbered(spark, parent=parent, kid=kid)
+    assert fork.replay_prefix(found, lines, block_lines=8).first().replay_prefix_lines == 11
+    with pytest.raises(Exception, match="parsed"):
+        fork.replay_prefix(found, lines, block_lines=16).first()
+
+
+def test_parents_by_name(spark):
+    names = ["rollout-a-%s.jsonl" % x for x in ("abcdefgh", "abcdefghij", "xabcdefghijk", "short", "Zz", "é\U0001f600ß-long-name", "abcd")] + ["other-abcdefghij.jsonl"]
+    files = spark.createDataFrame([("/%02d/%s" % (9 - k, n), n) for k, n in enumerate(names)], "file_path string, file_name string")
+    wanted = ["abcdefghij", "abcdefgh", "bcdefghijk", "shor", "z", "Z", "", "rollout-", "rollout-a-", "abcdefghix", "é\U0001f600ß-long-n", "n" * 300, ".jsonl", "none of them"]
+    heads = spark.createDataFrame([("/k/%d" % k, "own%d" % k, w) for k, w in enumerate(wanted)], "file_path string, first_id string, second_id string")
+    got = {r.parent_session_id: r.parent_path for r in fork.parents(heads, files).collect()}
+    rows = [(r.file_path, r.file_name) for r in files.collect() if r.file_name.startswith("rollout-")]
+    assert got == {w: min((p for p, n in rows if w and w in n), default=None) for w in wanted}
+
+
 def test_pruning(spark, tmp_path):
     start, end = datetime(2026, 5, 10, tzinfo=UTC), datetime(2026, 5, 12, tzinfo=UTC)
     files = {

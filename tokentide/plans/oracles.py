@@ -675,6 +675,15 @@ SQL["fork_counters"] = with_(
     "ev",
 )
 
+SQL["fork_names"] = with_(
+    """select k.file_path, k.first_id as pinned_id, k.second_id as parent_session_id, min(f.file_path) as parent_path from (
+      select concat('/kids/', session_id) as file_path, concat('kid-', session_id) as first_id, case user_id % 4 when 0 then session_id[2:]
+        when 1 then session_id[-5:] when 2 then concat('x', session_id) else concat('-', session_id, '.jsonl') end as second_id
+      from (select distinct session_id, user_id from usage)) k
+    left join acted f on contains(split_part(f.file_path, '/', -1), k.second_id) group by all""",
+    "usage", extra=_FILES,
+)
+
 # --- histories and health ---------------------------------------------------
 
 SQL["history_normalize"] = with_(

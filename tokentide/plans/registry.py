@@ -435,6 +435,23 @@ query("fork_replay")(lambda t: t.forks)
 query("fork_counters")(lambda t: fork.fork_counters(t.forks))
 
 
+@query("fork_names")
+def _(t):
+    """Parents that no scanned file opens with, found by parts of session ids in file names."""
+    files = adapters.log_files(t.usage)
+    user = F.regexp_extract("session_id", r"^s(\d+)-", 1).cast("long")
+    ids = logs.path_session_id(F.col("file_name"), F.col("file_path"))
+    part = F.when(user % 4 == 0, F.substring("session_id", 2, 99)).when(user % 4 == 1, F.substring("session_id", -5, 5)).when(
+        user % 4 == 2, F.concat(F.lit("x"), "session_id")
+    )
+    heads = files.withColumn("session_id", ids).select(
+        F.concat(F.lit("/kids/"), "session_id").alias("file_path"),
+        F.concat(F.lit("kid-"), "session_id").alias("first_id"),
+        F.coalesce(part, F.concat(F.lit("-"), "session_id", F.lit(".jsonl"))).alias("second_id"),
+    )
+    return fork.parents(heads, files)
+
+
 # --- histories and health ---------------------------------------------------
 
 
