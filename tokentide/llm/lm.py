@@ -40,6 +40,8 @@ BATCH = 256
 RATE = 1.0
 STEP = 0.15
 TURNS = 2
+# Gradients are divided by the batch; sums that began far above their squares would make the first steps tiny.
+FIRST_SUM = 1e-6
 ALPHA = 0.1
 # A word is sent to all tasks if it makes up at least one part in so many of all training tokens.
 MOST_FREQUENT = 250_000
@@ -181,7 +183,7 @@ class Model:
         self.q = rng.normal(0, 0.05, (k, size)).astype(np.float32)
         self.c = np.ones((2, size), np.float32)
         self.b = log_share.astype(np.float32)
-        self.sums = [np.full_like(x, 1e-2) for x in self.parts()]
+        self.sums = [np.full_like(x, FIRST_SUM) for x in self.parts()]
 
     def parts(self) -> list[np.ndarray]:
         return [self.r, self.q, self.c, self.b]
