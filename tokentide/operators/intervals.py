@@ -24,9 +24,10 @@ SELECTORS = {"5h": 300, "7d": 10080}
 
 
 def _size(kls: Column | int) -> Column:
-    """Bucket length in microseconds of a size class: minutes, hours or days."""
-    kls = F.lit(kls) if isinstance(kls, int) else kls
-    return F.when(kls == 0, 300_000_000).when(kls == 1, 3_600_000_000).otherwise(86_400_000_000).cast("long")
+    """Bucket length in microseconds of a size class: eight times that of the class below, from one second on."""
+    if isinstance(kls, int):
+        return F.lit(1_000_000 * 8**kls).cast("long")
+    return (F.pow(F.lit(8.0), kls) * 1_000_000).cast("long")
 
 
 def number_targets(targets: DataFrame, start: str, end: str, name: str) -> DataFrame:
@@ -57,15 +58,16 @@ def _timed(targets: DataFrame, closed: str) -> DataFrame:
 def _spread(rows: DataFrame) -> tuple[DataFrame, list[Row]]:
     """Rows with [t_start, t_end) once per time bucket they touch (`meet`), and the kinds of buckets that occur.
 
-    Short spans use short buckets, so one of 5 minutes takes about two and one of 7 days about eight. A
-    row without an account is open to all records, another one to its account's.
+    Buckets are sized by each span's own length: at least a quarter and less than twice of it, so a span touches at most five
+    of them and meets little besides what it holds, however dense the spans are. A row without an account is open to all
+    records, another one to its account's.
     """
-    span = F.col("t_end") - F.col("t_start")
-    kls = F.when(span <= 3_600_000_000, 0).when(span <= 86_400_000_000, 1).otherwise(2)
+    span = (F.col("t_end") - F.col("t_start")).cast("double")
+    kls = F.greatest(F.ceil(F.log(8.0, span / 4_000_000.0)), F.lit(0)).cast("int")
     sized = rows.withColumn("kls", kls).withColumns(
         {"first": F.floor(F.col("t_start") / _size(F.col("kls"))), "last": F.floor((F.col("t_end") - 1) / _size(F.col("kls")))}
     )
-    # At most three size classes times two account kinds.
+    # A class per factor of eight, about ten from seconds to decades, times two account kinds.
     present = (
         sized.groupBy("kls", F.col("t_account").isNull().alias("open"))
         .agg(F.sum(F.col("last") - F.col("first") + 1).alias("n"))

@@ -684,6 +684,41 @@ SQL["fork_names"] = with_(
     "usage", extra=_FILES,
 )
 
+# --- folders of logs ---------------------------------------------------------
+
+_TREE = {
+    "grouped": """select *, case when event_id % 5 = 4 then 'z' when event_id % 2 = 0 then 'a' else 'b' end as g, date_trunc('day', ts) as d0 from ev""",
+    "filed": """select *, cast(case when g = 'b' then d0 - to_days(cast(dayofyear(d0) % 2 as integer)) else d0 end as timestamp) as day from grouped""",
+    "lined": """select *, concat(g, strftime(day, '%Y%m%d')) as session_id,
+        1 + sum(1 + (k % 7 = 0)::int) over w as line_no,
+        coalesce(last_value(case when k % 7 = 0 then concat('m', k % 3) end ignore nulls) over w, 'm9') as model
+        from filed window w as (partition by g, day order by ts, event_id rows unbounded preceding)""",
+    "listed": f"""select session_id, g, day, max(line_no) as lines, max(ts) filter (k % 11 <> 0) as last_token,
+        case when day > {END} then case when g = 'z' then 'skip_late' else 'skip_folder' end when day >= {START} then 'read'
+          when day >= {START} - interval 7 days then 'tail' else 'tail_mtime' end as action from lined group by all""",
+    "kept": f"select *, action in ('tail', 'tail_mtime') and coalesce(last_token < {START}, false) as stale from listed",
+}
+_SCANNED = f"""select concat('rollout-', strftime(day, '%Y-%m-%dT%H-%M-%S'), '-', session_id, '.jsonl') as file_name, cast(line_no as bigint) as line_no,
+    us as timestamp, session_id, model, '/w' as cwd, cast(floor(value*100) as bigint) as input_tokens, cast(floor(value*100) as bigint) + k*10 as total_tokens
+    from lined where k % 11 <> 0 and ts >= {START} and ts <= {END}"""
+SQL["scan_records"] = with_(_SCANNED, "ev", extra=_TREE)
+SQL["scan_indexed"] = with_(_SCANNED, "ev", extra=_TREE)
+SQL["scan_counters"] = with_(
+    f"""select count(*) filter (action not like 'skip%' and not stale) as read_files, count(*) filter (action = 'skip_late') as skipped_files,
+    count(*) filter (stale) as prefiltered_files, count(*) filter (action like 'tail%') as tail_read_files,
+    count(*) filter (action like 'tail%' and not stale) as tail_read_hits, count(*) filter (action = 'tail_mtime') as mtime_read_files,
+    2 + count(distinct day) filter (g <> 'z' and day <= {END}) + count(distinct date_trunc('month', day)) filter (g <> 'z' and day <= {END})
+      + count(distinct date_trunc('year', day)) filter (g <> 'z' and day <= {END}) as scanned_directories,
+    count(distinct day) filter (g <> 'z' and day > {END}) as skipped_directories,
+    cast(sum(lines) filter (action not like 'skip%' and not stale) as bigint) as read_lines, cast(0 as bigint) as invalid_json_lines,
+    (select count(*) from lined join kept using (session_id) where k % 11 <> 0 and action not like 'skip%' and not stale) as token_count_events,
+    (select count(*) from lined where k % 11 <> 0 and ts >= {START} and ts <= {END}) as included_usage_events,
+    (select count(*) from lined join kept using (session_id) where k % 11 <> 0 and action not like 'skip%' and not stale
+      and not (ts >= {START} and ts <= {END})) as out_of_range
+    from kept""",
+    "ev", extra=_TREE,
+)
+
 # --- histories and health ---------------------------------------------------
 
 SQL["history_normalize"] = with_(

@@ -31,9 +31,10 @@ from tokentide.operators import (
     trend,
     usage,
 )
+from tokentide.plans.scan import LogScan
 from tokentide.schemas import TOKEN_FIELDS
 from tokentide.session import configure, stage
-from tokentide.sources import adapters, histories, logs
+from tokentide.sources import adapters, histories, logs, logtree
 from tokentide.sources.ratecard import built_in, own_card
 
 NOW = datetime(2024, 1, 20, tzinfo=UTC)
@@ -452,6 +453,39 @@ def _(t):
     return fork.parents(heads, files)
 
 
+# --- folders of logs ---------------------------------------------------------
+
+
+def _scanned(scan: LogScan) -> DataFrame:
+    return scan.usage_records().select(
+        F.element_at(F.split("file_path", "/"), -1).alias("file_name"),
+        "line_no", "timestamp", "session_id", "model", "cwd", "input_tokens", "total_tokens",
+    )
+
+
+@query("scan_records")
+def _(t):
+    """Usage records of a folder of logs and its archive."""
+    return _scanned(LogScan(t.spark, logtree.write(t.ev), RANGE_START, RANGE_END))
+
+
+@query("scan_counters")
+def _(t):
+    return LogScan(t.spark, logtree.write(t.ev), RANGE_START, RANGE_END).usage_diagnostics().select(
+        "read_files", "skipped_files", "prefiltered_files", "tail_read_files", "tail_read_hits", "mtime_read_files", "scanned_directories",
+        "skipped_directories", "read_lines", "invalid_json_lines", "token_count_events", "included_usage_events", "out_of_range",
+    )
+
+
+@query("scan_indexed")
+def _(t):
+    """The second of two reports that share an index of the files."""
+    root = logtree.write(t.ev)
+    index = f"{root}-index"
+    LogScan(t.spark, root, RANGE_START, RANGE_END, manifest=index).events  # noqa: B018
+    return _scanned(LogScan(t.spark, root, RANGE_START, RANGE_END, manifest=index))
+
+
 # --- histories and health ---------------------------------------------------
 
 

@@ -201,7 +201,7 @@ def plan_listing(spark: SparkSession, sessions_dir: str, scan: ScanRange | None
     return Listing(roots, sorted(paths), opened, skipped)
 
 
-_FILES = "file_path string, file_name string, mtime timestamp, root string, relative string, action string, session_id string"
+_FILES = "file_path string, file_name string, mtime timestamp, length bigint, root string, relative string, action string, session_id string"
 
 
 def list_logs(
@@ -218,6 +218,7 @@ def list_logs(
         F.col("path").alias("file_path"),
         F.element_at(F.split("path", "/"), -1).alias("file_name"),
         F.col("modificationTime").alias("mtime"),
+        "length",
     )
     files = _located(files, listing.roots, F.col("file_path"))
     action = F.lit("read") if scan is None else file_action(
@@ -256,7 +257,7 @@ def read_lines(
 
 def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Raw lines of the named files alone."""
-    return _raw(spark.read.option("lineSep", "\n").text(paths))
+    return _raw(spark.read.option("lineSep", "\n").text([_literal(p) for p in paths]))
 
 
 def _raw(text: DataFrame) -> DataFrame:
