@@ -763,3 +763,4 @@ SQL["rate_card_use"] = with_(
     from card c left join (select label, count(*) as calls from priced where priced group by 1) p on c.label = p.label""",
     "card", "priced",
 )
+SQL["history_commits"] = SQL["history_append"]

@@ -5,6 +5,7 @@ Timestamps leave as microseconds since the epoch, so results compare across engi
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import UTC, datetime
 from functools import cached_property
@@ -33,8 +34,9 @@ from tokentide.operators import (
 )
 from tokentide.plans.scan import LogScan
 from tokentide.schemas import TOKEN_FIELDS
-from tokentide.session import configure, stage
+from tokentide.session import configure, stage, staging_folder
 from tokentide.sources import adapters, histories, logs, logtree
+from tokentide.sources.history_store import HistoryStore
 from tokentide.sources.ratecard import built_in, own_card
 
 NOW = datetime(2024, 1, 20, tzinfo=UTC)
@@ -500,6 +502,18 @@ def _(t):
     return histories.mode_status(adapters.mode_switches(t.ev), NOW)
 
 
+@query("history_commits")
+def _(t):
+    """The same through the durable store: one commit of all switches, one switch more, and a repeated request."""
+    store = HistoryStore(t.spark, f"{staging_folder(t.spark)}/history-{uuid.uuid4().hex}")
+    modes = adapters.mode_switches(t.ev).groupBy("ts").agg(F.max_by("fast", "pos").alias("fast"), F.lit(histories.MANUAL_SOURCE).alias("source"))
+    store.append(modes, "all", 0)
+    for _ in range(2):
+        store.switch_mode(True, NOW, "on")
+    records = asof.as_of(t.usage, "timestamp", store.read()[1], "fast")
+    return records.groupBy("fast").agg(F.count("*").alias("records"))
+
+
 @query("history_append")
 def _(t):
     """Records after a switch appended at the report time see the new mode."""
