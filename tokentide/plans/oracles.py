@@ -160,6 +160,7 @@ for _name, _key in KEYS.items():
     SQL[f"usage_by_{_name}"] = with_(
         f"select {_key} as key, count(distinct session_id) as sessions, {MEASURES} from priced group by 1", "priced"
     )
+SQL["usage_by_month_kept"] = SQL["usage_by_month"]
 SQL["usage_totals"] = with_(
     f"""select 'Total' as key, (select count(distinct session_id) from priced) as sessions, cast(sum(calls) as bigint) as calls,
     {SUM_TOKENS}, {r6('sum(c)')} as credits, cast(sum(priced_calls) as bigint) as priced_calls, cast(sum(unpriced_calls) as bigint) as unpriced_calls,

@@ -32,6 +32,7 @@ from tokentide.operators import (
     trend,
     usage,
 )
+from tokentide.operators.kept import KeptUsage
 from tokentide.plans.scan import LogScan
 from tokentide.schemas import TOKEN_FIELDS
 from tokentide.session import configure, stage, staging_folder
@@ -125,6 +126,17 @@ class Tables:
 
 for _group in usage.GROUPS:
     query(f"usage_by_{_group}")(lambda t, g=_group: usage.usage_by(t.priced, g))
+
+
+@query("usage_by_month_kept")
+def _(t):
+    """Months from kept sums up to a closed time, and from records after it."""
+    kept = KeptUsage.at(t.spark, f"{staging_folder(t.spark)}/kept-{uuid.uuid4().hex}")
+    kept.close(t.priced, RANGE_START)
+    kept.close(t.priced, RANGE_END)
+    return kept.usage_by(t.priced, "month")
+
+
 query("usage_by_model_effort")(lambda t: usage.usage_by(t.priced, "model", effort=True))
 query("usage_totals")(lambda t: usage.usage_totals(t.priced, "model"))
 query("usage_topk_credits")(lambda t: usage.usage_by(t.priced, "cwd", sort="credits", limit=5))
