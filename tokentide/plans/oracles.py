@@ -324,6 +324,7 @@ SQL["samples_filtered"] = with_(
 _WINDOW = """account_id, plan_type, limit_id, win as "window", window_minutes, reset_at, first_seen, last_seen, min_used_percent,
     max_used_percent, last_used_percent, sample_count, reset_kind, estimated_start, id"""
 SQL["quota_windows"] = with_(f"select {_WINDOW} from windows", "windows")
+SQL["quota_windows_merged"] = SQL["quota_windows"]
 _RESETS = """select us as at, account_id, plan_type, limit_id, win as "window", window_minutes, p_used as previous_used_percent,
     used_percent as next_used_percent, p_reset as previous_resets_at, resets_us as next_resets_at,
     greatest((p_reset - us) // 1000000, 0) as early_by_seconds, kind from steps

@@ -24,6 +24,7 @@ from tokentide.operators import (
     health,
     ingest,
     intervals,
+    islands,
     parse,
     pricing,
     quota,
@@ -272,6 +273,10 @@ def _(t):
 
 
 query("quota_windows")(lambda t: quota.order_windows(t.windows).drop("island"))
+query("quota_windows_merged")(
+    # Windows of single days, merged in order.
+    lambda t: quota.order_windows(islands.windows_of(islands.merge_parts(islands.window_parts(t.samples, F.to_date("timestamp"))))).drop("island")
+)
 query("quota_resets")(lambda t: quota.order_changes(quota.quota_resets(t.samples)))
 query("quota_resets_early")(lambda t: quota.order_changes(quota.quota_resets(t.samples, early_only=True)))
 query("quota_unknown_limit_resets")(lambda t: quota.unknown_limit_resets(quota.quota_resets(t.samples)))
