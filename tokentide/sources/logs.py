@@ -13,7 +13,6 @@ from dataclasses import dataclass
 from datetime import UTC, datetime, timedelta
 from zoneinfo import ZoneInfo
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -47,14 +46,12 @@ def roots_of(sessions_dir: str) -> list[str]:
 
 
 def _existing(spark: SparkSession, roots: list[str]) -> list[str]:
-    """Roots that can be listed; a missing root is an empty one."""
+    """Roots that are there; a missing root is an empty one. Nothing below them is listed."""
     found = []
     for root in roots:
-        try:
-            spark.read.format("binaryFile").load(root).schema  # noqa: B018
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
             found.append(root)
-        except AnalysisException:
-            continue
     return found
 
 

@@ -19,6 +19,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+from tokentide.session import ship_code
+
 SCHEMA = "file_path string, start bigint, value string"
 # Bytes read at once, and bytes of small files that one task takes together.
 BLOCK = 1 << 20
@@ -127,6 +129,7 @@ class FollowSource(DataSource):
 
 def follow(spark: SparkSession, root: str) -> DataFrame:
     """Lines (file_path, block, line_no, value) of all logs below `root` as they are completed; `line_no` is the line's first byte."""
+    ship_code(spark)
     spark.dataSource.register(FollowSource)
     lines = spark.readStream.format("growing_logs").option("path", root).load()
     return lines.selectExpr("file_path", "0L AS block", "start AS line_no", "value")
