@@ -69,6 +69,38 @@ def test_wide_columns_lose_no_link(spark, monkeypatch, wide, common):
     assert found(jaccard.linked_documents(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
 
 
+def apart(rng, n):
+    """A large group that shares most of its text and stays below the threshold, with a few real copies among them."""
+    word = lambda: "".join(rng.choices("abcdefgh", k=4))
+    passage = [word() for _ in range(100)]
+    rows = [passage + [word() for _ in range(34)] for _ in range(n)]
+    rows += [r[:-1] + [word()] for r in rows[:5]]
+    return [(k, " ".join(w)) for k, w in enumerate(rows)]
+
+
+def test_large_group_that_stays_apart(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "WIDE", 8)
+    monkeypatch.setattr(jaccard, "TURNS", 1)
+    made = []
+    plain = jaccard._possible
+    monkeypatch.setattr(jaccard, "_possible", lambda pairs, *a: made.append(pairs.count()) or plain(pairs, *a))
+    rows = apart(random.Random(3), 120)
+    assert found(jaccard.linked_documents(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+    # Of about 7,000 pairs that share the passage few are put out.
+    assert made[-1] < 800
+
+
+def test_signatures_drop_no_link(spark):
+    rng = random.Random(9)
+    rows = drifting(rng, 25) + [(900 + k, t) for k, t in apart(rng, 20)]
+    df = spark.createDataFrame(rows, "cid long, text string")
+    signs = {r.cid: int.from_bytes(r.sign) for r in df.mapInArrow(jaccard._signatures, "cid long, sign binary").collect()}
+    sets = [(i, shingles(t)) for i, t in rows]
+    for x, (i, a) in enumerate(sets):
+        for j, b in sets[:x]:
+            assert len(a ^ b) >= (signs[i] ^ signs[j]).bit_count()
+
+
 def test_edge_tables(no_docs, null_rows):
     assert jaccard.linked_documents(no_docs).collect() == []
     got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.linked_documents(null_rows).collect()}

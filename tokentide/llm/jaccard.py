@@ -9,8 +9,10 @@ all blocks discard what cannot reach the overlap that the two sizes demand. Rema
 their texts, each class's best partner first; later only pairs between different components count.
 
 A column with more than `WIDE` rows isn't multiplied in full at first. In each of `TURNS` turns it is multiplied with `PIVOTS`
-of its rows, and each row's best partner is verified. Once components are known, it is multiplied in full between rows of different
-components. So a group of copies costs a multiple of its size, and no link between components is lost.
+of its rows, and each row's best partner is verified. Once components are known, the rows outside the column's largest component are
+multiplied with all. These rows carry a signature, the parities of their shingles in `SIGNATURE` buckets: two sets differ in at
+least as many shingles as their signatures in bits, so most pairs that share a passage but don't link are dropped before they
+are put out. No link between components is lost.
 
 Defined cases: a null or wordless text has no shingles and is alone; fewer than five words are one shingle; a
 null id links like any other but is not named as a component unless all ids of it are null; repeated rows are equal sets; an empty
@@ -38,6 +40,7 @@ ORDER_SAMPLE = 16384
 COMMON = 4
 WIDE = 64
 PIVOTS = 4
+SIGNATURE = 1024
 TURNS = 3
 
 
@@ -130,15 +133,27 @@ def _sorted_block(batches: Iterator[pa.RecordBatch], turn: int | None = None) ->
     return shingle, cid[order], table.column("n").to_numpy()[order].astype(np.int64), comp, begin, np.append(begin[1:], len(shingle))
 
 
-def _products(cid, n, comp, spans, percent: int, most: int | None):
-    """Pairs of rows in each column span, without those of one component or of sizes that rule a link out."""
+def _products(cid, n, comp, spans, percent: int, most: int | None, signs: np.ndarray | None = None):
+    """Pairs of rows in each column span, without those of one component or of sizes or signatures that rule a link out."""
     for a, b in spans:
         m = b - a
         c, s, k = cid[a:b], n[a:b], comp[a:b]
-        heads = range(m - 1) if most is None else range(min(most, m - 1))
-        for i in heads:
+        g = None if signs is None else signs[a:b]
+        heads = m - 1 if most is None else min(most, m - 1)
+        if g is not None and m > 2:
+            # Rows of the largest component come last: they meet no other row of it.
+            names, at, sizes = np.unique(k, return_inverse=True, return_counts=True)
+            largest = at == sizes.argmax()
+            order = np.argsort(largest, kind="stable")
+            c, s, k = c[order], s[order], k[order]
+            g = None if g is None else g[order]
+            heads = min(heads, m - int(largest.sum()))
+        for i in range(heads):
             fits = (100 * np.minimum(s[i], s[i + 1 :]) >= percent * np.maximum(s[i], s[i + 1 :])) & (k[i] != k[i + 1 :])
             j = np.flatnonzero(fits) + i + 1
+            if g is not None and len(j):
+                apart = np.bitwise_count(g[j] ^ g[i]).sum(axis=1, dtype=np.int64)
+                j = j[(s[i] + s[j] - apart) // 2 >= least_overlap(s[i], s[j], percent)]
             if len(j):
                 one, two = np.full(len(j), c[i]), np.full(len(j), s[i])
                 turned = c[j] < c[i]
@@ -207,17 +222,45 @@ def _tops(percent: int, turn: int):
 
 
 def _across(percent: int):
-    """Product of a block of wide columns between rows of different components."""
+    """Product of a block of wide columns between rows of different components, which carry their signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = _sorted_block(batches)
+        batches = list(batches)
+        block = _sorted_block(iter(batches))
         if block is not None:
             _, cid, n, comp, begin, end = block
-            yield from _summed(_products(cid, n, comp, list(zip(begin, end, strict=True)), percent, None))
+            # The rows of a block are few beside its entries: a signature is held once a row.
+            rows = {}
+            for batch in batches:
+                rows.update(zip(batch.column("cid").to_pylist(), batch.column("sign"), strict=True))
+            known = np.array(sorted(rows), np.int64)
+            table = np.frombuffer(b"".join([rows[c].as_py() for c in known.tolist()]), np.uint64).reshape(len(known), -1)
+            spans = list(zip(begin, end, strict=True))
+            at = np.searchsorted(known, cid)
+            yield from _summed(_signed(cid, n, comp, spans, percent, table, at))
 
     return run
 
 
+def _signed(cid, n, comp, spans, percent: int, table: np.ndarray, at: np.ndarray):
+    for a, b in spans:
+        part = slice(a, b)
+        yield from _products(cid[part], n[part], comp[part], [(0, b - a)], percent, None, table[at[part]])
+
+
+def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cid, sign): for each bucket of shingles whether the row has an odd number of them."""
+    for batch in batches:
+        for piece in pieces(batch):
+            for a in range(0, len(piece), 512):
+                part = piece.slice(a, 512)
+                sets = Sets(part.column("text"))
+                buckets = sets.row * SIGNATURE + (sets.values % np.uint64(SIGNATURE)).astype(np.int64)
+                odd = (np.bincount(buckets, minlength=len(part) * SIGNATURE) & 1).astype(np.uint8).reshape(len(part), SIGNATURE)
+                packed = np.packbits(odd, axis=1)
+                yield pa.RecordBatch.from_arrays([part.column("cid"), pa.array([p.tobytes() for p in packed], pa.binary())], names=["cid", "sign"])
+
+
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -338,6 +381,9 @@ def class_components(texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     columns = between()
     if columns is None:
         return comps
+    ids = columns.select("cid").distinct()
+    signs = stage(texts.select("cid", "text").join(ids, "cid", "left_semi").mapInArrow(_signatures, "cid long, sign binary"), "signatures")
+    columns = columns.join(signs, "cid").repartition(blocks, "shingle")
     rest = stage(_possible(columns.mapInArrow(_across(percent), _PAIR), percent), "rest")
     return _grown(comps, _linked(rest, texts, percent))
 
