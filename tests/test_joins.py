@@ -1,4 +1,5 @@
 import random
+from bisect import bisect_right
 from datetime import timedelta
 
 from pyspark.sql import functions as F
@@ -136,3 +137,27 @@ def test_as_of_in_a_burst_of_switches(spark):
     records = spark.range(n).selectExpr("id", "timestamp_micros(id * 10000 + 5) AS t")
     got = as_of(records, "t", switches.unionByName(late), "v")
     assert got.where("v = cast(id AS string)").count() == n and got.count() == n
+
+
+def test_as_of_with_a_history_beyond_a_broadcast(spark, monkeypatch):
+    """Blocks of neighbouring switches are broadcast, so no record is shuffled; beyond them records meet their block by its number."""
+    rows = spark.range(400).select(F.timestamp_micros(F.col("id") * F.col("id") * 977).alias("ts"), (F.col("id") % 7).alias("v"), F.col("id").alias("pos"))
+    switches = rows.withColumn("v", F.when(F.col("v") != 3, F.col("v")))
+    records = spark.range(3000).select("id", F.when(F.col("id") % 97 != 0, F.timestamp_micros(F.col("id") * 60_000 - 500_000)).alias("t"))
+    known = switches.orderBy("pos").collect()
+    times = [r.ts for r in known]
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for bound in (100, 20, 4):
+            monkeypatch.setattr(asof, "MAX_BROADCAST_ROWS", bound)
+            got = asof.as_of(records, "t", switches, "v", 9)
+            found = got.collect()
+            assert len(found) == 3000
+            for r in found:
+                before = bisect_right(times, r.t) if r.t else None
+                assert r.v == (None if before is None else known[before - 1].v if before else 9)
+            if bound == 100:
+                assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
