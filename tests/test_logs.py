@@ -350,3 +350,21 @@ def test_reports_end_to_end(spark, tree):
 def test_prefilter_runs_before_parsing(spark):
     lines = spark.createDataFrame([("f", 0, 1, "junk"), ("f", 0, 2, 'junk "token_count"')], "file_path string, block bigint, line_no bigint, value string")
     assert [r.valid for r in parse.parse_lines(lines).collect()] == [False]
+
+
+def test_names_by_a_filter_of_many_wanted_substrings(spark, monkeypatch):
+    """Beyond a broadcast, names are told apart by a filter of bits before any is shuffled; parents stay the same."""
+    files = spark.range(300).selectExpr("concat('/s/rollout-2026-05-10T00-00-00-user', id, '-x.jsonl') AS file_path").withColumn("file_name", F.substring("file_path", 4, 99))
+    heads = spark.range(300).selectExpr(
+        "concat('/k/', id) AS file_path", "concat('kid', id) AS first_id", "CASE WHEN id % 3 = 0 THEN concat('user', id, '-x') WHEN id % 3 = 1 THEN concat('r', id, '-') ELSE concat('other', id) END AS second_id"
+    )
+    few = {tuple(r) for r in fork.parents(heads, files).collect()}
+    assert sum(r[-1] is not None for r in few) == 200
+    monkeypatch.setattr(fork, "MAX_BROADCAST_ROWS", 10)
+    monkeypatch.setattr(fork, "FILTER_BITS", 1 << 20)
+    assert {tuple(r) for r in fork.parents(heads, files).collect()} == few
+    grams = spark.createDataFrame([(f"gram{n:04}",) for n in range(50)], "gram string")
+    named = spark.range(20_000).selectExpr("id", "concat('gram', lpad(id, 4, '0')) AS gram")
+    got = fork._only_wanted(named, grams)
+    assert got.where("id < 50").count() == 50 and got.count() < 100
+    assert "LeftSemi" not in got._jdf.queryExecution().executedPlan().toString()

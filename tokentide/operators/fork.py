@@ -8,11 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokentide.functions import variants as V
-from tokentide.session import broadcast_if_small, stage
+from tokentide.session import MAX_BROADCAST_ROWS, broadcast_if_small, row_count_up_to, stage
 
 BLOCK_LINES = 1024
 # Length of the substrings that lead from an id to the file names with it.
 GRAM = 8
+# Bits of the broadcast filter for many wanted substrings (8 MB), and words of 64 bits in one of its rows.
+FILTER_BITS, FILTER_WORDS = 1 << 26, 512
 
 
 def lineage(events: DataFrame) -> DataFrame:
@@ -33,6 +35,25 @@ def _grams(text: Column, size: Column) -> Column:
     return F.when(F.length(text) >= size, F.array_distinct(each)).otherwise(F.array().cast("array<string>"))
 
 
+def _only_wanted(named: DataFrame, grams: DataFrame) -> DataFrame:
+    """The rows of `named` whose gram is wanted; of many wanted grams a few others may pass too.
+
+    Names have many more substrings than are wanted, so they are told apart before any is shuffled: by the wanted grams
+    themselves while these are few, else by one bit for each gram's hash.
+    """
+    if row_count_up_to(grams, MAX_BROADCAST_ROWS) <= MAX_BROADCAST_ROWS:
+        return named.join(F.broadcast(grams), "gram", "left_semi")
+    bit = F.pmod(F.xxhash64("gram"), F.lit(FILTER_BITS))
+    mask = F.expr("bit_or(shiftleft(1L, cast(bit % 64 AS int)))").alias("mask")
+    words = grams.select(bit.alias("bit")).groupBy(F.expr("bit div 64").alias("word")).agg(mask)
+    every = grams.sparkSession.range(FILTER_BITS // 64).withColumnRenamed("id", "word").join(words, "word", "left")
+    masks = F.transform(F.array_sort(F.collect_list(F.struct("word", F.coalesce("mask", F.lit(0)).alias("mask")))), lambda x: x["mask"])
+    rows = every.groupBy(F.expr(f"word div {FILTER_WORDS}").alias("row")).agg(masks.alias("masks"))
+    tested = named.withColumn("bit", bit).withColumn("row", F.expr(f"bit div {64 * FILTER_WORDS}")).join(F.broadcast(rows), "row")
+    mask = F.get("masks", F.expr(f"cast(bit div 64 % {FILTER_WORDS} AS int)"))
+    return tested.withColumn("mask", mask).where("shiftrightunsigned(mask, cast(bit % 64 AS int)) & 1 = 1").select(*named.columns)
+
+
 def _by_name(missing: DataFrame, all_files: DataFrame) -> DataFrame:
     """First file whose name starts with `rollout-` and contains the wanted id.
 
@@ -48,8 +69,8 @@ def _by_name(missing: DataFrame, all_files: DataFrame) -> DataFrame:
         return missing.select("parent_session_id", F.lit(None).cast("string").alias("named_path")).limit(0)
     names = all_files.where(F.col("file_name").startswith("rollout-")).select("file_path", "file_name")
     grams = F.concat(*[_grams(F.col("file_name"), F.lit(n)) for n in sorted(lengths)])
-    named = names.select("file_path", "file_name", F.explode(grams).alias("gram")).join(wanted.select("gram").distinct(), "gram", "left_semi")
-    named = stage(named, "namegrams")
+    named = names.select("file_path", "file_name", F.explode(grams).alias("gram"))
+    named = stage(_only_wanted(named, wanted.select("gram").distinct()), "namegrams")
     counts = named.groupBy("gram").agg(F.count("*").alias("names"), F.min("file_path").alias("first_path"))
     rare = wanted.join(counts, "gram", "left").groupBy("parent_session_id", "n").agg(
         F.min(F.struct(F.coalesce("names", F.lit(0)).alias("names"), "gram", "first_path")).alias("r")
@@ -78,6 +99,7 @@ def parents(heads: DataFrame, all_files: DataFrame | Callable[[], DataFrame] | N
     found = forks.join(owners, "parent_session_id", "left")
     if all_files is None:
         return found
+    found = stage(found, "parents")
     missing = found.where(F.col("parent_path").isNull()).select("parent_session_id").distinct()
     if missing.isEmpty():
         return found
