@@ -368,3 +368,18 @@ def test_names_by_a_filter_of_many_wanted_substrings(spark, monkeypatch):
     got = fork._only_wanted(named, grams)
     assert got.where("id < 50").count() == 50 and got.count() < 100
     assert "LeftSemi" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_files_are_judged_once_not_by_line(spark, tmp_path):
+    """The plan that reads lines holds no test of file names, and skipped files are not among its inputs."""
+    root = tmp_path / "sessions" / "2026" / "05"
+    for day in ("09", "10"):
+        (root / day).mkdir(parents=True)
+        (root / day / f"rollout-2026-05-{day}T01-00-00-x [1] %20.jsonl").write_text("a\nb\n")
+    (root / "10" / "rollout-2026-05-10T23-00-00-late.jsonl").write_text("late\n")
+    scan = logs.ScanRange(datetime(2026, 5, 10, tzinfo=UTC), datetime(2026, 5, 10, 12, tzinfo=UTC))
+    lines = logs.read_lines(spark, str(tmp_path / "sessions"), scan)
+    assert lines.where("value = 'late'").isEmpty() and lines.count() == 4
+    assert len(lines.inputFiles()) == 2 and "Filter" not in lines._jdf.queryExecution().optimizedPlan().toString()
+    assert logs.read_lines(spark, str(tmp_path / "sessions")).count() == 5
+    assert [r.line_no for r in logs.number_lines(lines).orderBy("file_path", "line_no").collect()] == [1, 2, 1, 2]
