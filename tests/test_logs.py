@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tokentide.operators import fork, parse
 from tokentide.plans import reports
 from tokentide.plans.scan import LogScan
+from tokentide.session import stage
 from tokentide.sources import histories, logs
 
 from conftest import at
@@ -383,3 +384,13 @@ def test_files_are_judged_once_not_by_line(spark, tmp_path):
     assert len(lines.inputFiles()) == 2 and "Filter" not in lines._jdf.queryExecution().optimizedPlan().toString()
     assert logs.read_lines(spark, str(tmp_path / "sessions")).count() == 5
     assert [r.line_no for r in logs.number_lines(lines).orderBy("file_path", "line_no").collect()] == [1, 2, 1, 2]
+
+
+def test_leading_lines_are_parsed_once(spark):
+    """What follows from a file's leading ids is stored; nothing that reads the parents parses the lines again."""
+    meta = lambda i: '{"type":"session_meta","payload":{"id":"%s"}}' % i
+    rows = [("/p", 1, meta("p")), ("/c", 1, meta("c")), ("/c", 2, meta("p"))]
+    lines = stage(spark.createDataFrame(rows, "file_path string, line_no bigint, value string"), "forklines")
+    found = fork.parents(fork.lineage(parse.parse_lines(lines)))
+    assert [(r.file_path, r.parent_path) for r in found.collect()] == [("/c", "/p")]
+    assert not any(lines.staged_at in f for f in found.inputFiles())

@@ -88,6 +88,8 @@ def parents(heads: DataFrame, all_files: DataFrame | Callable[[], DataFrame] | N
     The parent is the first scanned file that opens with the wanted id, else the
     first file of the tree whose name contains it. A listing given as a function is made only if it is needed.
     """
+    # A row per file; making it again would parse the lines again.
+    heads = stage(heads.select("file_path", "first_id", "second_id"), "heads")
     forks = heads.where(F.col("first_id").isNotNull() & F.col("second_id").isNotNull()).select(
         "file_path", F.col("first_id").alias("pinned_id"), F.col("second_id").alias("parent_session_id")
     )
@@ -96,10 +98,9 @@ def parents(heads: DataFrame, all_files: DataFrame | Callable[[], DataFrame] | N
         .groupBy(F.col("first_id").alias("parent_session_id"))
         .agg(F.min("file_path").alias("parent_path"))
     )
-    found = forks.join(owners, "parent_session_id", "left")
+    found = stage(forks.join(owners, "parent_session_id", "left"), "parents")
     if all_files is None:
         return found
-    found = stage(found, "parents")
     missing = found.where(F.col("parent_path").isNull()).select("parent_session_id").distinct()
     if missing.isEmpty():
         return found
