@@ -165,3 +165,12 @@ def test_rates_must_fit(spark, tmp_path):
         path.write_text(json.dumps(bad))
         with pytest.raises(ValueError):
             ratecard.load(spark, str(path))
+
+
+def test_variant_reads_are_not_repeated(spark):
+    """A read that tests its value several times makes it once."""
+    one = spark.createDataFrame([('"-1.5"',)], "t string").select(F.parse_json("t").alias("v"))
+    for read, want in ((V.finite_number, -1.5), (V.integer, None), (V.seconds_time, None), (V.string, "-1.5")):
+        df = one.select(read(F.col("v")).alias("x"))
+        assert df.first().x == want
+        assert df._jdf.queryExecution().analyzed().toString().count("try_variant_get") <= 3

@@ -33,8 +33,13 @@ def fields(value: Column, *names: str, path: str = "$") -> Column:
 
 
 def each(read, *values: Column) -> Column:
-    """`read` applied to several values, as an array; the expression is built and planned once."""
-    return F.transform(F.array(*values), read)
+    """`read` applied to several values, as an array; the expression is built and planned once. Null stays null, unread."""
+    return F.transform(F.array(*values), lambda v: F.when(v.isNotNull(), read(v)))
+
+
+def bound(value: Column, read) -> Column:
+    """`read` applied to a value that is computed once, however often `read` mentions it."""
+    return F.get(F.transform(F.array(value), read), F.lit(0))
 
 
 def at(value: Column, path: str) -> Column:
@@ -51,8 +56,7 @@ def is_string(value: Column) -> Column:
 
 
 def is_number(value: Column) -> Column:
-    k = kind(value)
-    return k.isin("BIGINT", "DOUBLE", "FLOAT") | k.startswith("DECIMAL")
+    return bound(kind(value), lambda k: k.isin("BIGINT", "DOUBLE", "FLOAT") | k.startswith("DECIMAL"))
 
 
 def is_object(value: Column) -> Column:
@@ -61,7 +65,7 @@ def is_object(value: Column) -> Column:
 
 def string(value: Column) -> Column:
     """A JSON string with a visible character, spaces kept."""
-    return non_blank(F.when(is_string(value), F.try_variant_get(value, "$", "string")))
+    return bound(F.when(is_string(value), F.try_variant_get(value, "$", "string")), non_blank)
 
 
 def trimmed_string(value: Column) -> Column:
@@ -82,19 +86,17 @@ def counter(value: Column) -> Column:
 
 def finite_number(value: Column) -> Column:
     """A finite number, also when written as text."""
-    text = trimmed_string(value)
-    from_text = F.when(text.rlike(DECIMAL_TEXT), text.try_cast("double"))
+    from_text = bound(trimmed_string(value), lambda text: F.when(text.rlike(DECIMAL_TEXT), text.try_cast("double")))
     number = F.coalesce(F.when(is_number(value), _double(value)), from_text)
-    return F.when(F.abs(number) < float("inf"), number)
+    return bound(number, lambda x: F.when(F.abs(x) < float("inf"), x))
 
 
 def integer(value: Column) -> Column:
     """A whole number (1.0 counts), also when written as text."""
-    text = trimmed_string(value)
-    from_text = F.when(text.rlike(INTEGER_TEXT), text.try_cast("bigint"))
+    from_text = bound(trimmed_string(value), lambda text: F.when(text.rlike(INTEGER_TEXT), text.try_cast("bigint")))
     whole = F.when(kind(value) == "BIGINT", F.try_variant_get(value, "$", "bigint"))
     real = F.when(is_number(value), _double(value))
-    exact = F.when((real == F.floor(real)) & (F.abs(real) < 9.2e18), real.cast("long"))
+    exact = bound(real, lambda x: F.when((x == F.floor(x)) & (F.abs(x) < 9.2e18), x.cast("long")))
     return F.coalesce(whole, exact, from_text)
 
 
@@ -104,17 +106,16 @@ MIN_SECONDS, MAX_SECONDS = -62_135_596_800, 253_402_300_799
 
 def seconds_time(value: Column) -> Column:
     """Epoch seconds as timestamp."""
-    seconds = integer(value)
-    return F.when(seconds.between(MIN_SECONDS, MAX_SECONDS), F.timestamp_seconds(seconds))
+    return bound(integer(value), lambda seconds: F.when(seconds.between(MIN_SECONDS, MAX_SECONDS), F.timestamp_seconds(seconds)))
 
 
 def _millis_time(millis: Column) -> Column:
-    return F.when(millis.between(MIN_SECONDS * 1000, MAX_SECONDS * 1000), F.timestamp_millis(millis))
+    return bound(millis, lambda x: F.when(x.between(MIN_SECONDS * 1000, MAX_SECONDS * 1000), F.timestamp_millis(x)))
 
 
 def _text_time(text: Column) -> Column:
     """RFC 3339 only: the regular expression is stricter than the timestamp parser."""
-    return F.when(text.rlike(RFC3339), F.upper(text).try_cast("timestamp"))
+    return bound(text, lambda x: F.when(x.rlike(RFC3339), F.upper(x).try_cast("timestamp")))
 
 
 def event_time(value: Column) -> Column:
