@@ -161,3 +161,12 @@ def test_as_of_with_a_history_beyond_a_broadcast(spark, monkeypatch):
                 assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_sums_per_window_are_made_once(spark, usage, samples):
+    """The test for an empty report and the report read stored sums, not the records again."""
+    records = stage(pricing.price(usage((at(1), 10), (at(2), 20))), "records")
+    windows = quota.quota_windows(samples((at(1), 1, at(5), dict(window="5h", window_minutes=300))))
+    got = I.usage_by_window(records, windows, "5h")
+    assert sum(r.total_tokens for r in got.collect()) == 30
+    assert not any(records.staged_at in f for f in got.inputFiles())

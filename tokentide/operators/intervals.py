@@ -298,11 +298,12 @@ def usage_by_window(
         .select("window_id", "a.*")
     )
     if group == "window":
+        # The sums are tested and read twice.
+        sums = stage(sums, "windowsums")
         zero = known.select("window_id", F.col("window_id").alias("group_key"))
         spark = priced.sparkSession
         nothing = spark.sql(f"SELECT '{missing}' AS window_id, 'unobserved' AS group_key")
-        ids = zero.unionByName(sums.select("window_id", "group_key"))
-        if ids.isEmpty():
+        if windows.isEmpty() and sums.isEmpty():
             zero = nothing
         sums = zero.unionByName(sums.select("window_id", "group_key")).distinct().join(sums, ["window_id", "group_key"], "left")
     rows = sums.join(broadcast_if_small(known), "window_id", "left")
