@@ -4,7 +4,7 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
-from tokentide.operators import asof, detector, intervals as I, pricing, quota
+from tokentide.operators import asof, chunked, detector, intervals as I, pricing, quota
 from tokentide.session import stage
 
 from conftest import at
@@ -170,3 +170,23 @@ def test_sums_per_window_are_made_once(spark, usage, samples):
     got = I.usage_by_window(records, windows, "5h")
     assert sum(r.total_tokens for r in got.collect()) == 30
     assert not any(records.staged_at in f for f in got.inputFiles())
+
+
+def test_swept_against_a_scan(spark):
+    rng = random.Random(5)
+    rows = [(k, t // 50, t, rng.randrange(-3, 4), rng.randrange(9)) for k in "ab" for t in rng.sample(range(1000), 60)]
+    df = spark.createDataFrame(rows, "key string, chunk bigint, at bigint, d bigint, no bigint")
+    got = {(r.key, r.at): (r.before, r.upto_d, r.upto_no) for r in chunked.swept(df, ["key"], "chunk", "at", ["d", "no"]).collect()}
+    assert len(got) == len(rows)
+    for k, _, t, *_ in rows:
+        past = [r for r in rows if r[0] == k and r[2] <= t]
+        before = max((r[2] for r in past if r[2] < t), default=None)
+        assert got[k, t] == (before, sum(r[3] for r in past), sum(r[4] for r in past))
+
+
+def test_spans_of_targets_meet_in_two_shuffles(spark, samples):
+    """One pass over the stored turns, one row a chunk for the carried sums."""
+    windows = quota.quota_windows(samples((at(1), 1, at(5)), (at(2), 1, at(30))))
+    spans = I.coverage(I._window_targets(I._number_windows(windows)), [])
+    plan = spans._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") <= 4 and all("/turns-" in f for f in spans.inputFiles())

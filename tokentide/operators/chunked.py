@@ -133,6 +133,22 @@ def running_sum(
     )
 
 
+def swept(df: DataFrame, keys: Sequence[str], chunk: str, at: str, sums: Sequence[str]) -> DataFrame:
+    """Adds `before`, the preceding row's `at` within the key (null at its start), and `upto_*`, the running sums of the non-null
+    integer columns `sums`, the current row included, in a single pass. Rows of a key differ in `at`."""
+    tails = df.groupBy(*keys, chunk).agg(F.max(at).alias("_tail"), *[F.sum(c).alias(f"_n_{c}") for c in sums])
+    earlier = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    carried = tails.select(
+        *keys, chunk, F.max("_tail").over(earlier).alias("_before"), *[F.coalesce(F.sum(f"_n_{c}").over(earlier), F.lit(0)).alias(f"_off_{c}") for c in sums]
+    )
+    in_chunk = Window.partitionBy(*keys, chunk).orderBy(at)
+    upto = in_chunk.rowsBetween(Window.unboundedPreceding, 0)
+    inner = df.withColumns({"_lag": F.lag(at).over(in_chunk), **{f"_run_{c}": F.sum(c).over(upto) for c in sums}})
+    return inner.join(carried, [*keys, chunk]).select(
+        *df.columns, F.coalesce("_lag", "_before").alias("before"), *[(F.col(f"_run_{c}") + F.col(f"_off_{c}")).alias(f"upto_{c}") for c in sums]
+    )
+
+
 def row_numbers(df: DataFrame, keys: Sequence[str], chunk: str, order: Sequence[str], out: str = "rn") -> DataFrame:
     """Dense 1-based row number within the key."""
     return running_sum(df, keys, chunk, order, F.lit(1), out)

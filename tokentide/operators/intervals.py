@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tokentide.functions.scalars import JITTER_MICROS, round6, usd, within_jitter
-from tokentide.operators.chunked import linked, running_sum
+from tokentide.operators.chunked import swept
 from tokentide.operators.usage import SORTS, group_key, measures, one_of, positive, roll_up
 from tokentide.schemas import TOKEN_FIELDS
 from tokentide.session import MAX_BROADCAST_ROWS, broadcast_if_small, stage
@@ -154,16 +154,18 @@ def coverage(targets: DataFrame, by: list[str], closed: str = "left") -> DataFra
         rows.select("key", F.col("t_end").alias("at"), F.lit(-1).alias("d"), (-F.col("target_no")).alias("no"))
     )
     turns = (
-        ends.groupBy("key", "at")
+        ends.withColumn("chunk", F.floor(F.col("at") / 3_600_000_000))
+        .groupBy("key", "chunk", "at")
         .agg(F.sum("d").cast("long").alias("d"), F.sum("no").alias("no"))
-        .withColumn("chunk", F.floor(F.col("at") / 3_600_000_000))
     )
-    order = ["at"]
-    spans = linked(turns, ["key"], "chunk", order, ["at"]).withColumn("t_start", F.col("prev.at")).drop("prev", "rn")
-    spans = running_sum(spans, ["key"], "chunk", order, F.col("d"), "upto")
-    spans = running_sum(spans, ["key"], "chunk", order, F.col("no"), "upto_no")
-    return spans.where("t_start IS NOT NULL AND upto > d").select(
-        "key.*", "t_start", F.col("at").alias("t_end"), (F.col("upto") - F.col("d")).alias("n"), (F.col("upto_no") - F.col("no")).alias("target_no")
+    # Read twice, for the chunks' sums and for the rows.
+    spans = swept(stage(turns, "turns"), ["key"], "chunk", "at", ["d", "no"])
+    return spans.where("before IS NOT NULL AND upto_d > d").select(
+        "key.*",
+        F.col("before").alias("t_start"),
+        F.col("at").alias("t_end"),
+        (F.col("upto_d") - F.col("d")).alias("n"),
+        (F.col("upto_no") - F.col("no")).alias("target_no"),
     )
 
 
