@@ -90,6 +90,34 @@ def test_large_group_that_stays_apart(spark, monkeypatch):
     assert made[-1] < 800
 
 
+def test_shared_passages_below_the_sample_meet_no_row(spark, monkeypatch):
+    """Columns of several rows that the sample doesn't show: rows with enough columns of their own put out no pair."""
+    monkeypatch.setattr(jaccard, "COMMON", 10**6)
+    made = []
+    plain = jaccard._possible
+    monkeypatch.setattr(jaccard, "_possible", lambda pairs, *a: made.append(pairs.count()) or plain(pairs, *a))
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    passage = [word() for _ in range(30)]
+    rows = [passage + [word() for _ in range(270)] for _ in range(40)]
+    rows += [r[:-1] + [word()] for r in rows[:3]]
+    rows = [(k, " ".join(w)) for k, w in enumerate(rows)]
+    assert found(jaccard.linked_documents(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+    # Of 903 pairs that share the passage.
+    assert made[0] < 30
+
+
+def test_pair_of_wide_columns_is_put_out_once(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "WIDE", 8)
+    monkeypatch.setattr(jaccard, "TURNS", 0)
+    made = []
+    plain = jaccard._possible
+    monkeypatch.setattr(jaccard, "_possible", lambda pairs, *a: made.append([r[:2] for r in pairs.collect()]) or plain(pairs, *a))
+    rows = drifting(random.Random(5), 30)
+    assert found(jaccard.linked_documents(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+    assert len(made) == 2 and len(made[-1]) == len(set(made[-1])) > 0
+
+
 def test_signatures_drop_no_link(spark):
     rng = random.Random(9)
     rows = drifting(rng, 25) + [(900 + k, t) for k, t in apart(rng, 20)]

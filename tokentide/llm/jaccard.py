@@ -2,17 +2,19 @@
 
 Documents with equal sets are one class; classes are the rows of a sparse matrix, shingles its columns. A pair at
 the threshold must share a column among the first n - ceil(t * n) + 1 of each row in any common order of the columns, so
-only these entries are kept. The order puts columns last that a bounded sample shows to be common;
-it decides the work and never the result. The entries are dealt to blocks of columns. Each task multiplies its
+only these entries are kept. The order begins with the columns in the first `FRONT` of all hashes, by their exact numbers of rows;
+columns that a bounded sample shows to be common come last. It decides the work and never the result. All entries of front columns are
+dealt to blocks of columns, where those of one row end; of the others each row drops its most common ones beyond its prefix, so a row whose
+prefix is met nowhere else has none left. The rest is dealt to blocks again. Each task multiplies its
 block with its transpose and adds up the overlaps of each pair of rows, without pairs whose sizes rule them out. Sums over
 all blocks discard what cannot reach the overlap that the two sizes demand. Remaining pairs are verified on
 their texts, each class's best partner first; later only pairs between different components count.
 
-A column with more than `WIDE` rows isn't multiplied in full at first. In each of `TURNS` turns it is multiplied with `PIVOTS`
-of its rows, and each row's best partner is verified. Once components are known, the rows outside the column's largest component are
+A column with more than `WIDE` rows isn't multiplied in full at first. In each of `TURNS` turns each row chooses a few of these columns,
+which are multiplied with `PIVOTS` of their rows, and each row's best partner is verified. Once components are known, the rows outside the column's largest component are
 multiplied with all. These rows carry a signature, the parities of their shingles in `SIGNATURE` buckets: two sets differ in at
 least as many shingles as their signatures in bits, so most pairs that share a passage but don't link are dropped before they
-are put out. No link between components is lost.
+are put out. A pair that is left is put out by the first column it shares alone. No link between components is lost.
 
 Defined cases: a null or wordless text has no shingles and is alone; fewer than five words are one shingle; a
 null id links like any other but is not named as a component unless all ids of it are null; repeated rows are equal sets; an empty
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokentide.llm.components import components
@@ -38,8 +40,12 @@ PERCENT = 75
 # Documents in the sample that orders the columns, and the count in it from which a column is common.
 ORDER_SAMPLE = 16384
 COMMON = 4
+# Share of all columns that is ordered by exact counts; a prefix takes a quarter of a row.
+FRONT = 0.375
 WIDE = 64
 PIVOTS = 4
+# Wide columns of a row in which it looks for pivots in a turn.
+CHOSEN = 6
 SIGNATURE = 1024
 TURNS = 3
 
@@ -95,29 +101,63 @@ def prefix(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
 
 
 def _entries(common: np.ndarray, percent: int):
-    """Map of (cid, text) to the first entries of each row: (shingle, cid, n)."""
+    """Map of (cid, text) to the front entries of each row and, if they are fewer than its prefix, the next ones: (shingle, cid, n, spare).
+
+    `spare` is the number of front entries beyond the prefix.
+    """
+    front = np.uint64(int(FRONT * (1 << 64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch):
                 s = Sets(piece.column("text"))
-                late = np.zeros(len(s.values), bool)
+                turn = (s.values >= front).astype(np.int64)
                 if len(common):
                     at = np.minimum(np.searchsorted(common, s.values), len(common) - 1)
-                    late = common[at] == s.values
-                order = np.lexsort((s.values, late, s.row))
+                    turn[common[at] == s.values] = 2
+                order = np.argsort(s.row * 3 + turn, kind="stable")
                 place = np.arange(len(order)) - s.first[s.row]
-                order = order[place < prefix(s.count, percent)[s.row]]
+                heads = np.bincount(s.row[turn == 0], minlength=len(s.count))
+                needed = prefix(s.count, percent)
+                order = order[place < np.maximum(heads, needed)[s.row]]
                 rows = s.row[order]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(s.values[order].view(np.int64)), piece.column("cid").take(pa.array(rows)),
-                     pa.array(s.count[rows].astype(np.int32))],
-                    names=["shingle", "cid", "n"],
+                     pa.array(s.count[rows].astype(np.int32)), pa.array(np.maximum(heads - needed, 0)[rows].astype(np.int32))],
+                    names=["shingle", "cid", "n", "spare"],
                 )
 
     return run
 
 
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries of a block in columns of several rows, with the column's size."""
+    batches = list(batches)
+    if batches:
+        table = pa.Table.from_batches(batches)
+        shingle = table.column("shingle").to_numpy()
+        order = np.argsort(shingle)
+        shingle = shingle[order]
+        begin = np.flatnonzero(np.append(True, shingle[1:] != shingle[:-1])) if len(shingle) else np.zeros(0, np.int64)
+        sizes = np.diff(np.append(begin, len(shingle)))
+        size = np.repeat(sizes, sizes)
+        at = np.flatnonzero(size > 1)
+        chosen = order[at]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(shingle[at]), *[pa.array(table.column(c).to_numpy()[chosen]) for c in ("cid", "n", "spare")],
+             pa.array(size[at].astype(np.int64))],
+            names=["shingle", "cid", "n", "spare", "size"],
+        )
+
+
+def _prefixes(texts: DataFrame, common: np.ndarray, percent: int, blocks: int) -> DataFrame:
+    """(shingle, cid, n): entries of each row's prefix in columns of several rows."""
+    entries = texts.select("cid", "text").mapInArrow(_entries(common, percent), "shingle long, cid long, n int, spare int")
+    met = entries.repartition(blocks, "shingle").mapInArrow(_repeated, "shingle long, cid long, n int, spare int, size long")
+    place = F.row_number().over(Window.partitionBy("cid").orderBy(F.desc("size"), F.desc("shingle")))
+    return met.withColumn("place", place).where("place > spare").select("shingle", "cid", "n")
+
+
 def _sorted_block(batches: Iterator[pa.RecordBatch], turn: int | None = None) -> tuple[np.ndarray, ...] | None:
     """Entries of a block by column; inside a column by row, or in an order of its own for each turn."""
     table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
@@ -190,21 +230,13 @@ _PAIR = "a long, b long, n int, m int, overlap int"
 
 
 def _narrow(percent: int):
-    """Product of a block's narrow columns; entries of wide columns are passed on as (shingle, cid, n, 0, -1)."""
+    """Product of a block of narrow columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = _sorted_block(batches)
         if block is not None:
-            shingle, cid, n, comp, begin, end = block
-            size = end - begin
-            narrow = (size > 1) & (size <= WIDE)
-            yield from _summed(_products(cid, n, comp, list(zip(begin[narrow], end[narrow], strict=True)), percent, None))
-            at = np.flatnonzero(np.repeat(size > WIDE, size))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(shingle[at]), pa.array(cid[at]), pa.array(n[at].astype(np.int32)), pa.array(np.zeros(len(at), np.int32)),
-                 pa.array(np.full(len(at), -1, np.int32))],
-                names=["a", "b", "n", "m", "overlap"],
-            )
+            _, cid, n, comp, begin, end = block
+            yield from _summed(_products(cid, n, comp, list(zip(begin, end, strict=True)), percent, None))
 
     return run
 
@@ -222,30 +254,39 @@ def _tops(percent: int, turn: int):
 
 
 def _across(percent: int):
-    """Product of a block of wide columns between rows of different components, which carry their signatures."""
+    """Pairs between rows of different components in a block of wide columns; a pair comes from the first column it shares.
+
+    Rows carry their signatures and the sorted list of their columns in `met`.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batches = list(batches)
         block = _sorted_block(iter(batches))
         if block is not None:
-            _, cid, n, comp, begin, end = block
+            shingle, cid, n, comp, begin, end = block
             # The rows of a block are few beside its entries: a signature is held once a row.
-            rows = {}
+            signs, met = {}, {}
             for batch in batches:
-                rows.update(zip(batch.column("cid").to_pylist(), batch.column("sign"), strict=True))
-            known = np.array(sorted(rows), np.int64)
-            table = np.frombuffer(b"".join([rows[c].as_py() for c in known.tolist()]), np.uint64).reshape(len(known), -1)
-            spans = list(zip(begin, end, strict=True))
+                for c, sign, m in zip(batch.column("cid").to_pylist(), batch.column("sign"), batch.column("met"), strict=True):
+                    if c not in signs:
+                        signs[c], met[c] = sign.as_py(), np.array(m.values)
+            known = np.array(sorted(signs), np.int64)
+            table = np.frombuffer(b"".join([signs[c] for c in known.tolist()]), np.uint64).reshape(len(known), -1)
             at = np.searchsorted(known, cid)
-            yield from _summed(_signed(cid, n, comp, spans, percent, table, at))
+            yield from _summed(_firsts(shingle, cid, n, comp, list(zip(begin, end, strict=True)), percent, table, at, met))
 
     return run
 
 
-def _signed(cid, n, comp, spans, percent: int, table: np.ndarray, at: np.ndarray):
+def _firsts(shingle, cid, n, comp, spans, percent: int, table: np.ndarray, at: np.ndarray, met: dict[int, np.ndarray]):
+    """Products of each span without the pairs that share an earlier column; once for each column that they share."""
     for a, b in spans:
         part = slice(a, b)
-        yield from _products(cid[part], n[part], comp[part], [(0, b - a)], percent, None, table[at[part]])
+        for one, two, size, other in _products(cid[part], n[part], comp[part], [(0, b - a)], percent, None, table[at[part]]):
+            shared = [np.intersect1d(met[x], met[y], assume_unique=True) for x, y in zip(one.tolist(), two.tolist(), strict=True)]
+            times = np.array([len(x) if x[0] == shingle[a] else 0 for x in shared])
+            if times.any():
+                yield tuple(np.repeat(x, times) for x in (one, two, size, other))
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,12 +384,15 @@ def class_components(texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     # At most ORDER_SAMPLE times a document's shingles over COMMON: bounded by the sample, not by the corpus.
     common = sample.groupBy("shingle").count().where(F.col("count") >= COMMON).select("shingle").toPandas()["shingle"]
     common = np.sort(common.to_numpy(np.int64).view(np.uint64))
-    entries = texts.select("cid", "text").mapInArrow(_entries(common, percent), "shingle long, cid long, n int")
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    products = stage(entries.repartition(blocks, "shingle").mapInArrow(_narrow(percent), _PAIR), "products")
-    wide = products.where("overlap < 0").select(F.col("a").alias("shingle"), F.col("b").alias("cid"), "n")
+    entries = _prefixes(texts, common, percent, blocks)
+    column = Window.partitionBy("shingle")
+    met = stage(entries.withColumn("size", F.count(F.lit(1)).over(column)).withColumn("least", F.min("cid").over(column)), "entries")
+    wide = met.where(F.col("size") > WIDE).select("shingle", "cid", "n")
     unseen = wide.groupBy("cid").agg(F.count(F.lit(1)).alias("wide"))
-    pairs = stage(_possible(products.where("overlap > 0"), percent, unseen), "pairs")
+    # Narrow columns of one group of copies mostly have the same least row: their products meet in one block.
+    narrow = met.where((F.col("size") > 1) & (F.col("size") <= WIDE)).repartition(blocks, "least").select("shingle", "cid", "n")
+    pairs = stage(_possible(narrow.mapInArrow(_narrow(percent), _PAIR), percent, unseen), "pairs")
 
     first = _best(pairs)
     comps = _grown(None, _linked(first, texts, percent))
@@ -367,12 +411,15 @@ def class_components(texts: DataFrame, percent: int = PERCENT) -> DataFrame:
         )
         mixed = named.groupBy("shingle").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("shingle")
         mixed = stage(mixed, "mixed")
-        return None if mixed.isEmpty() else named.join(mixed, "shingle", "left_semi").repartition(blocks, "shingle")
+        return None if mixed.isEmpty() else named.join(mixed, "shingle", "left_semi")
 
     for turn in range(TURNS):
         columns = between()
         if columns is None:
             return comps
+        # Near copies choose mostly the same few of their columns.
+        choice = F.row_number().over(Window.partitionBy("cid").orderBy(F.xxhash64("shingle", F.lit(turn)), "shingle"))
+        columns = columns.withColumn("choice", choice).where(F.col("choice") <= CHOSEN).drop("choice").repartition(blocks, "shingle")
         tops = columns.mapInArrow(_tops(percent, turn), _PAIR).groupBy("a", "b").agg(F.sum("overlap").alias("overlap"))
         found = _linked(_best(stage(tops, "tops")), texts, percent)
         if found.isEmpty():
@@ -381,9 +428,9 @@ def class_components(texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     columns = between()
     if columns is None:
         return comps
-    ids = columns.select("cid").distinct()
-    signs = stage(texts.select("cid", "text").join(ids, "cid", "left_semi").mapInArrow(_signatures, "cid long, sign binary"), "signatures")
-    columns = columns.join(signs, "cid").repartition(blocks, "shingle")
+    lists = columns.groupBy("cid").agg(F.sort_array(F.collect_list("shingle")).alias("met"))
+    signs = texts.select("cid", "text").join(lists.select("cid"), "cid", "left_semi").mapInArrow(_signatures, "cid long, sign binary")
+    columns = columns.join(stage(signs.join(lists, "cid"), "signatures"), "cid").repartition(blocks, "shingle")
     rest = stage(_possible(columns.mapInArrow(_across(percent), _PAIR), percent), "rest")
     return _grown(comps, _linked(rest, texts, percent))
 
