@@ -41,6 +41,13 @@ def test_transducer_table_may_be_dropped(monkeypatch):
     assert own.encode(text) == other.encode_ordinary(text)
 
 
+def test_words_of_letters_are_kept_once():
+    other, own = library(), bpe.Codec(*vocabulary())
+    text = "x zqvthering Xqzzy don't zqv's naïveté abc1 " + "zq" * 50 + " end"
+    assert own.encode(text) == other.encode_ordinary(text)
+    assert "zqvthering" in own.words and " zqvthering" not in own.ids
+
+
 def test_decoder_takes_any_cut_of_any_bytes():
     rng = random.Random(4)
     for _ in range(2000):

@@ -178,10 +178,15 @@ class Transducer:
         if len(self.states) > MOST_STATES:
             self._reset()
         out: list[int] = []
-        s, last = self.start, -1
+        s, last, apart = self.start, -1, self.apart
         for byte in piece:
             move = s.moves.get(byte) or self._whole(s, byte)
-            way = 1 if move[0] < 0 or last < 0 or self.stays_apart(last, move[0]) else 2
+            token = move[0]
+            if token < 0 or last < 0:
+                way = 1
+            else:
+                known = apart.get(last << 32 | token)
+                way = 1 if (self.stays_apart(last, token) if known is None else known) else 2
             step = move[way]
             if step is None:
                 step = move[way] = self._move(s, byte, way == 1)
@@ -204,7 +209,11 @@ class Words(dict):
         if len(self) > MOST_WORDS:
             self.clear()
         ids = self.codec.ids
-        found = tuple(chain.from_iterable([ids[p] for p in self.codec.find(" " + word)]))
+        if self.codec.letters_match and word.isascii() and word.isalpha():
+            # One match of the pattern: neither matched nor kept twice.
+            found = tuple(ids.transducer.encode(b" " + word.encode()))
+        else:
+            found = tuple(chain.from_iterable([ids[p] for p in self.codec.find(" " + word)]))
         if len(word) <= 64:
             self[word] = found
         return found
@@ -286,6 +295,8 @@ class Codec:
         ranks = {base64.b64decode(t): int(i) for t, i in map(bytes.split, vocabulary.splitlines())}
         self.find = regex.compile(pattern).findall
         self.double = regex.compile(r"[\s\x1c-\x1f] |^ | $").search
+        # Whether a space and ASCII letters are one match, however many follow.
+        self.letters_match = regex.match(r"(?:'[a-z]+\|)+ \?\\p\{L\}\+\|", pattern) is not None
         self.ids = Pieces(Transducer(ranks))
         self.words = Words(self)
         size = max(ranks.values()) + 1
