@@ -148,7 +148,10 @@ def session_compact(events: DataFrame, max_rows: int = COMPACT_ROWS, tz: str | N
     with the largest `len / total * max_rows - b`, so it is a top-k per session.
     """
     positive(max_rows, "max_rows")
-    rows = stage(with_runs(events), "runs")
+    exact = F.col("credits").cast("decimal(38,6)").alias("credits")
+    needed = events.select("session_id", *EVENT_ORDER, "reasoning_effort", *TOKEN_FIELDS, exact, "priced")
+    # Behind the row numbers the place of a row is not needed.
+    rows = stage(with_runs(needed).drop("file_path", "line_no", "chunk"), "runs")
     runs = rows.groupBy("session_id", "run").agg(F.count("*").alias("n"), F.min("rn").alias("first_rn"))
     per_session = runs.groupBy("session_id").agg(F.sum("n").alias("events_total"), F.count("*").alias("run_total"))
     shares = runs.join(per_session, "session_id")
@@ -175,26 +178,34 @@ def session_compact(events: DataFrame, max_rows: int = COMPACT_ROWS, tz: str | N
         .alias("k"),
     )
     bucket = F.expr("((rn - first_rn + 1) * k + n - 1) div n - 1")
-    place = F.struct(*EVENT_ORDER)
-    exact = F.col("credits").cast("decimal(38,6)")
+    # Model and effort are the same throughout a run.
     out = (
         rows.join(buckets, ["session_id", "run"])
         .withColumn("bucket", bucket)
-        .groupBy("session_id", "run", "bucket")
+        .groupBy("session_id", "run", "bucket", "model", "reasoning_effort")
         .agg(
             F.min("timestamp").alias("start"),
             F.max("timestamp").alias("end"),
             F.count("*").alias("events"),
-            F.min_by("model", place).alias("model"),
-            F.min_by("reasoning_effort", place).alias("reasoning_effort"),
             *[F.sum(f).alias(f) for f in TOKEN_FIELDS],
-            F.sum(exact).alias("credits"),
+            F.sum("credits").alias("credits"),
             F.count_if(~F.col("priced")).alias("unpriced_calls"),
         )
-    )
-    return (
-        out.withColumn("usd", usd("credits", credits_per_usd))
-        .withColumn("credits", round6("credits"))
-        .withColumn("label", range_label("start", "end", tz))
         .orderBy("session_id", "run", "bucket")
     )
+    # What follows from other columns is added to the ordered rows.
+    return out.select(
+        "session_id",
+        "run",
+        "bucket",
+        "start",
+        "end",
+        "events",
+        "model",
+        "reasoning_effort",
+        *TOKEN_FIELDS,
+        round6("credits").alias("credits"),
+        "unpriced_calls",
+        usd("credits", credits_per_usd).alias("usd"),
+        range_label("start", "end", tz).alias("label"),
+    )
