@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tokentide.llm import collocations
@@ -108,3 +109,24 @@ def test_counts_past_32_bits():
     big = Counts.from_sorted(np.array([[3, 4, 0, 0]]), np.array([1 << 40]))
     twice = Counts.union([Counts.from_bytes(big.to_bytes())] * 2)
     assert [x.weight.tolist() for x in twice.levels] == [[1 << 41], [1 << 41], [], []]
+
+
+def test_split_words_put_out_whole_frequent_phrases_only():
+    rng = np.random.default_rng(5)
+    parts = [np.where(rng.random(400) < 0.1, 0, rng.integers(1, 9, 400)).astype(np.int32) for _ in range(3)]
+    local = np.arange(8)
+    # Words 1 to 4 have ranges of their own with three splits each, the others share one.
+    ids = np.where(local < 4, (local + 1) << 24, 9 << 24) + local + 1
+    cells: dict[tuple, list] = {}
+    for stream in parts:
+        for batch in collocations._transducers(stream, local, ids, np.where(local < 4, 3, 1)):
+            for row in batch.to_pylist():
+                cells.setdefault((row["prefix"], row["split"]), []).append(row)
+    found = [row for rows in cells.values() for row in collocations._united(3)(pa.Table.from_pylist(rows)).to_pylist()]
+    wanted = Counter()
+    for stream in parts:
+        for size in (2, 3, 4):
+            for k in range(len(stream) - size + 1):
+                if (phrase := stream[k : k + size]).all():
+                    wanted[tuple(ids[phrase - 1].tolist())] += 1
+    assert sorted((tuple(r["g"]), r["a"]) for r in found) == sorted((g, a) for g, a in wanted.items() if a >= 3)

@@ -3,7 +3,7 @@
 1. Texts are cut into shards of about `SHARD_BYTES`; each keeps its words as numbers of its own sorted vocabulary.
 2. Word counts are summed over all shards. Only words that occur often enough can stand in a phrase; they get numbers in
    (language, word) order, cut into prefix ranges of about `range_words` occurrences. A word with more is a range by
-   itself, split further by a hash of the two words after it.
+   itself, split further by a hash of the two words after it; its phrases of two words are counted apart, split by the second.
 3. Every shard sorts its runs of up to four frequent words and builds a count transducer from them, cut by prefix range.
 4. The transducers of a range are united and their weights summed: the counts of all phrases that begin in the range.
 5. Parts of phrases are looked up by composing an automaton of the wanted parts with the count transducer.
@@ -199,15 +199,24 @@ def _transducers(stream: np.ndarray, local: np.ndarray, ids: np.ndarray, splits:
     del at
     many = splits[cols[0] - 1]
     prefix = ids >> 24
-    # Cells in order of the ranges; a word with splits has one for each.
+    # Cells in order of the ranges; a word with splits has two for each.
     base = np.concatenate([[True], prefix[1:] != prefix[:-1]])
-    width = np.where(base, splits, 0)
+    width = np.where(base, np.where(splits > 1, 2 * splits, 1), 0)
     cell = (np.cumsum(width) - np.where(base, width, 0))[np.maximum.accumulate(np.where(base, np.arange(len(ids)), 0))]
     number = np.concatenate([[0], ids])
-    split = np.zeros(len(many), np.int64)
+    split, weight = np.zeros(len(many), np.int64), np.ones(len(many), np.int64)
     if (hot := np.flatnonzero(many > 1)).size:
-        second, third = (number[c[hot]].astype(np.uint64) for c in cols[1:3])
-        split[hot] = (mix(mix(second) + third) % many[hot].astype(np.uint64)).astype(np.int64)
+        # Every phrase is counted in one cell: those of two words in the second half of the splits, longer ones in the first.
+        pair, n = np.unique(cols[0][hot].astype(np.int64) * len(number) + cols[1][hot], return_counts=True)
+        keep = np.flatnonzero((many == 1) | (cols[2] > 0))
+        none = np.zeros(len(pair), np.int32)
+        pairs = ((pair // len(number)).astype(np.int32), (pair % len(number)).astype(np.int32), none, none)
+        cols = [np.concatenate([c[keep], p]) for c, p in zip(cols, pairs, strict=True)]
+        weight = np.concatenate([weight[keep], n])
+        many = splits[cols[0] - 1]
+        second, third = (number[c].astype(np.uint64) for c in cols[1:3])
+        split = (np.where(third > 0, mix(mix(second) + third), mix(second)) % many.astype(np.uint64)).astype(np.int64)
+        split[len(keep) :] += many[len(keep) :]
     cells = cell[cols[0] - 1] + split
     order = np.lexsort((cols[3], cols[2], cols[1], cols[0], cells))
     cells = cells[order]
@@ -216,7 +225,7 @@ def _transducers(stream: np.ndarray, local: np.ndarray, ids: np.ndarray, splits:
     for a, b in zip(edges[:-1], edges[1:], strict=True):
         mine = order[a:b]
         paths = number[np.stack([c[mine] for c in cols], axis=1)]
-        automaton = Counts.from_sorted(paths, np.ones(b - a, np.int64)).to_bytes()
+        automaton = Counts.from_sorted(paths, weight[mine]).to_bytes()
         found.append((int(paths[0, 0] >> 24), int(split[mine[0]]), int(many[mine[0]]), automaton))
     for a in range(0, len(found), 64):
         part = list(zip(*found[a : a + 64], strict=True))
@@ -227,15 +236,16 @@ def _transducers(stream: np.ndarray, local: np.ndarray, ids: np.ndarray, splits:
 
 
 def _united(least: int):
-    """Union of the transducers of one range and split: the phrases with their counts, partial ones of two words if the range is split."""
+    """Union of the transducers of one range and split: its phrases with their counts."""
 
     def run(table: pa.Table) -> pa.Table:
         whole = Counts.union([Counts.from_bytes(x.as_py()) for x in table.column("automaton")])
-        partial = table.column("splits")[0].as_py() > 1
+        split, splits = (table.column(c)[0].as_py() for c in ("split", "splits"))
+        shortest, longest = (2, LONGEST) if splits == 1 else (3, LONGEST) if split < splits else (2, 2)
         phrases, counts = [], []
-        for d in range(2, len(whole.levels) + 1):
+        for d in range(shortest, longest + 1):
             weight = whole.levels[d - 1].weight
-            keep = np.flatnonzero(weight >= (1 if partial and d == 2 else least))
+            keep = np.flatnonzero(weight >= least)
             phrases += list(whole.paths(d)[keep])
             counts.append(weight[keep])
         return pa.table({"g": pa.array(phrases, pa.list_(pa.int64())), "a": pa.array(np.concatenate(counts), pa.int64())})
@@ -303,8 +313,7 @@ def collocations(
     numbers = local.drop("n").join(words.select("lang", "word", "id", "splits"), ["lang", "word"])
     numbers = numbers.groupBy("shard").agg(F.collect_list(F.struct(F.col("local").cast("long").alias("local"), "id", F.col("splits").cast("long").alias("splits"))).alias("numbers"))
     automata = shards.select("shard", "length", "stream").join(numbers, "shard").select("length", "stream", "numbers").mapInArrow(_built, _BLOB)
-    united = automata.groupBy("prefix", "split").applyInArrow(_united(least), "g array<long>, a long")
-    phrases = stage(united.groupBy("g").agg(F.sum("a").alias("a")).where(F.col("a") >= least), "phrases")
+    phrases = stage(automata.groupBy("prefix", "split").applyInArrow(_united(least), "g array<long>, a long"), "phrases")
 
     # Counts of all parts.
     cuts = stage(_parts(phrases), "cuts")
