@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tokentide.llm import jaccard
@@ -133,3 +135,20 @@ def test_edge_tables(no_docs, null_rows):
     assert jaccard.linked_documents(no_docs).collect() == []
     got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.linked_documents(null_rows).collect()}
     assert got == {(None, 0, None), (None, 1, None), (5, 0, 5), (7, 1, 7)}
+
+
+def test_sets_are_made_once(docs, monkeypatch):
+    plans, stage = {}, jaccard.stage
+    monkeypatch.setattr(jaccard, "stage", lambda df, name: plans.update({name: df._jdf.queryExecution().toString()}) or stage(df, name))
+    members, one = jaccard.classes(docs)
+    assert [name for name, plan in plans.items() if "_digest" in plan] == ["digests"]
+    assert members.count() == docs.count() and one.select("digest").distinct().count() == one.count()
+
+
+def test_short_and_long_texts_in_one_column():
+    texts = ["a b c d e f e", None, "x y", "a a a a a a", "", "X Y", "z", "a b c d e f e"]
+    s = jaccard.Sets(pa.array(texts))
+    sets = [s.values[a:b].tolist() for a, b in zip(s.first[:-1], s.first[1:], strict=True)]
+    assert [len(x) for x in sets] == [3, 0, 1, 1, 0, 1, 1, 3] == s.count.tolist()
+    assert sets[0] == sets[7] == sorted(sets[0]) and sets[2] == sets[5] != sets[6]
+    assert np.array_equal(s.row, np.repeat(np.arange(8), s.count))

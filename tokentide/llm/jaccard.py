@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tokentide.llm.components import components
 from tokentide.llm.words import Words, mix, pieces, span_hash
-from tokentide.session import stage
+from tokentide.session import stage, unstage
 
 SHINGLE = 5
 PERCENT = 75
@@ -60,9 +60,12 @@ class Sets:
         rows = w.doc[at]
         short = np.flatnonzero((w.count > 0) & (w.count < SHINGLE))
         whole = span_hash(hashes, w.first[short], w.first[short + 1])
-        rows, h = np.concatenate([rows, short]), np.concatenate([h, whole])
-        order = np.lexsort((h, rows))
-        rows, h = rows[order], h[order]
+        place = np.searchsorted(rows, short)
+        rows, h = np.insert(rows, place, short), np.insert(h, place, whole)
+        # The rows are in order already, and each is short enough to be sorted by itself.
+        ends = np.searchsorted(rows, np.arange(len(column) + 1)).tolist()
+        for a, b in zip(ends[:-1], ends[1:], strict=True):
+            h[a:b].sort()
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (rows[1:] != rows[:-1])
         self.values, self.row = h[new], rows[new]
@@ -115,7 +118,9 @@ def _entries(common: np.ndarray, percent: int):
                 if len(common):
                     at = np.minimum(np.searchsorted(common, s.values), len(common) - 1)
                     turn[common[at] == s.values] = 2
-                order = np.argsort(s.row * 3 + turn, kind="stable")
+                key = s.row * 3 + turn
+                # Keys of 16 bits are sorted by their digits.
+                order = np.argsort(key.astype(np.uint16) if 3 * len(piece) <= 1 << 16 else key, kind="stable")
                 place = np.arange(len(order)) - s.first[s.row]
                 heads = np.bincount(s.row[turn == 0], minlength=len(s.count))
                 needed = prefix(s.count, percent)
@@ -159,14 +164,16 @@ def _prefixes(texts: DataFrame, common: np.ndarray, percent: int, blocks: int) -
 
 
 def _sorted_block(batches: Iterator[pa.RecordBatch], turn: int | None = None) -> tuple[np.ndarray, ...] | None:
-    """Entries of a block by column; inside a column by row, or in an order of its own for each turn."""
+    """Entries of a block by column; inside a column in any order, or in one of its own for each turn."""
     table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
     if table is None or not table.num_rows:
         return None
     shingle = table.column("shingle").to_numpy()
     cid = table.column("cid").to_numpy()
-    rank = cid if turn is None else mix(cid.view(np.uint64) + np.uint64(turn) * np.uint64(0x9E3779B97F4A7C15))
-    order = np.lexsort((rank, shingle))
+    if turn is None:
+        order = np.argsort(shingle)
+    else:
+        order = np.lexsort((mix(cid.view(np.uint64) + np.uint64(turn) * np.uint64(0x9E3779B97F4A7C15)), shingle))
     comp = table.column("comp").to_numpy()[order] if "comp" in table.schema.names else cid[order]
     shingle = shingle[order]
     begin = np.flatnonzero(np.append(True, shingle[1:] != shingle[:-1]))
@@ -368,10 +375,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """Every row with its class digest, and one row per class: (cid, doc_id, digest, text), both staged."""
     text = F.col(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"))
-    found = rows.mapInArrow(_digest, "doc_id long, text_hash long, n_shingles long, digest binary, text string")
+    # The sets are made once; the copy of the texts goes as soon as the classes have theirs.
+    found = stage(rows.mapInArrow(_digest, "doc_id long, text_hash long, n_shingles long, digest binary, text string"), "digests")
     one = found.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("text").alias("text"))
     one = stage(one.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    return stage(found.drop("text"), "members"), one
+    members = stage(found.drop("text"), "members")
+    unstage(found)
+    return members, one
 
 
 def class_components(texts: DataFrame, percent: int = PERCENT) -> DataFrame:
