@@ -39,3 +39,15 @@ def test_edge_tables(no_docs, null_rows):
     assert substrings.removed_windows(no_docs).collect() == []
     got = {(r.doc_id, r.n_words, r.n_removed) for r in substrings.removed_windows(null_rows).collect()}
     assert got == {(None, 0, 0), (None, 2, 0), (5, 0, 0), (7, 60, 60)}
+
+
+def test_nothing_is_broadcast(docs, monkeypatch):
+    plans, real = [], substrings.stage
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    monkeypatch.setattr(substrings, "stage", lambda df, name: plans.append(plan(df)) or real(df, name))
+    plans.append(plan(substrings.removed_windows(docs)))
+    assert sum("SortMergeJoin" in p for p in plans) >= 6
+    assert not [p for p in plans if "Broadcast" in p]
