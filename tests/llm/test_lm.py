@@ -107,6 +107,77 @@ def test_context_helps_beyond_the_most_frequent_words(spark):
     assert sum(r.score for r in out) / tokens > sum(r.base_score for r in out) / tokens + 0.15
 
 
+def test_what_tasks_send_keeps_in_proportion(spark, monkeypatch):
+    rng = random.Random(8)
+    known = [f"w{k}" for k in range(1000)]
+    rows = spark.createDataFrame([(k, " ".join(rng.choices(known, k=150))) for k in range(700)], "doc_id long, text string").repartition(40)
+    tasks, real = [], type(rows).mapInArrow
+
+    def counted(df, run, schema, *a, **b):
+        if schema == lm._SUMS:
+            tasks.append(df.rdd.getNumPartitions())
+        return real(df, run, schema, *a, **b)
+
+    monkeypatch.setattr(type(rows), "mapInArrow", counted)
+    out = lm.scores(rows)
+    assert len(tasks) == 2 * lm.TURNS and max(tasks[::2]) * 746 * lm.SEEN <= 1.2 * out.first().train_tokens
+    assert lm._tasks(lm.Vocabulary(*[np.zeros(0)] * 4, 10**6, 0, 0, np.zeros(1000)), 16) == 48
+
+
+def test_steps_equal_plain_adagrad():
+    rng = np.random.default_rng(4)
+    model = lm.Model(np.log(np.full(50, 0.02)))
+    r, q, b, c = (x.astype(float) for x in (model.r, model.q, model.b, model.c))
+    sums = [np.full(x.shape, lm.FIRST_SUM) for x in (r, q, b, c)]
+    training = lm.Training(model)
+    for _ in range(3):
+        one, two, target, noise = (rng.integers(0, 50, k) for k in (90, 90, 90, lm.NOISE))
+        training.step(one, two, target, noise)
+        h = c[0] * r[one] + c[1] * r[two]
+        less = np.log(0.02) + np.log(lm.NOISE)
+        up = 1 / (1 + np.exp((h * q[target]).sum(axis=1) + b[target] - less)) / 90
+        down = -1 / (1 + np.exp(-(h @ q[noise].T + b[noise] - less))) / 90
+        gh = up[:, None] * q[target] + down @ q[noise]
+        grads = [np.zeros_like(x) for x in (r, q, b, c)]
+        np.add.at(grads[0], one, gh * c[0])
+        np.add.at(grads[0], two, gh * c[1])
+        np.add.at(grads[1], target, up[:, None] * h)
+        np.add.at(grads[1], noise, down.T @ h)
+        np.add.at(grads[2], target, up)
+        np.add.at(grads[2], noise, down.sum(axis=0))
+        grads[3][...] = [(gh * r[one]).sum(axis=0), (gh * r[two]).sum(axis=0)]
+        for x, s, g in zip((r, q, b, c), sums, grads, strict=True):
+            s += g * g
+            x += lm.STEP * g / np.sqrt(s)
+    found = training.vectors(np.arange(50)).astype(float)
+    assert np.allclose(found, np.concatenate([r, q, b[:, None] - np.log(0.02)], axis=1), atol=2e-3)
+    assert np.allclose(training.c, c, atol=1e-4)
+
+
+@pytest.mark.parametrize("scale", [0.5, 40])
+def test_normalisers_of_any_size(scale):
+    model = lm.Model(np.log(np.full(600, 1 / 600)))
+    model.q += np.random.default_rng(5).normal(0, scale, model.q.shape).astype(np.float32)
+    one, two = np.arange(600), np.arange(600)[::-1]
+    for members in (None, slice(100, 350)):
+        s = model.hidden(one, two).astype(float) @ model.q[members or slice(None)].T + model.b[members or slice(None)]
+        want = s.max(axis=1) + np.log(np.exp(s - s.max(axis=1, keepdims=True)).sum(axis=1))
+        assert np.allclose(model.normalisers(one, two, members), want, rtol=1e-5, atol=1e-4)
+        target = np.arange(600) % 250 + 100
+        own = s[np.arange(600), target - (members.start if members else 0)]
+        assert np.allclose(model.normalisers(one, two, members, target), want - own, rtol=1e-5, atol=2e-3)
+
+
+def test_words_are_found_among_crowded_hashes():
+    rng = np.random.default_rng(9)
+    for known in (rng.integers(0, 2**63, 1000, dtype=np.uint64), np.arange(300, dtype=np.uint64) + np.uint64(2**63), np.array([5], np.uint64)):
+        known = np.unique(known)
+        v = lm.Vocabulary(known, known, known, np.zeros(2), 0, 0, 0)
+        asked = np.concatenate([known, known + np.uint64(1), rng.integers(0, 2**63, 500, dtype=np.uint64) * np.uint64(2)])
+        at, there = v.find(asked)
+        assert (there == np.isin(asked, known)).all() and (known[at[there]] == asked[there]).all()
+
+
 def test_edge_tables(spark, no_docs, null_rows):
     assert lm.scores(no_docs).collect() == []
     assert found(lm.scores(null_rows)) == brute([(r.doc_id, r.text) for r in null_rows.collect()])

@@ -8,7 +8,9 @@ h = c1 * r[w-1] + c2 * r[w-2] and exp(h . q[w] + b[w]); scores divide by the sum
 model is a distribution over all tokens. Batched matrix products give both sums.
 
 Every task trains one pass over its share of the training text, on all of its positions (`RATE`), from the same start; the
-parameters are averaged in each of `TURNS` turns, each vector by its uses in the tasks. Counts of the words with vectors and of words
+parameters are averaged in each of `TURNS` turns, each vector by its uses in the tasks. What the tasks send grows with their number
+times that of the vectors, so there are at most as many tasks as leave each `SEEN` tokens a vector, which keeps it in proportion to
+the text. Counts of the words with vectors and of words
 above a share of all tokens (at most `MOST_FREQUENT`) are sent to every task; counts of the other words are joined.
 
 Defined cases: a null text is an empty one: one end; a null id counts as held out; without training documents every token's base
@@ -24,10 +26,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokentide.llm.words import Words, pieces
+from tokentide.llm.words import PIECE_BYTES, Words, pieces
 from tokentide.session import stage
 
 # Classes besides the groups: the most frequent words, the end and the rest.
@@ -42,11 +45,17 @@ STEP = 0.15
 TURNS = 2
 # Gradients are divided by the batch; sums that began far above their squares would make the first steps tiny.
 FIRST_SUM = 1e-6
+# Training tokens of a task for each word with vectors, on average.
+SEEN = 20
 ALPHA = 0.1
 # A word is sent to all tasks if it makes up at least one part in so many of all training tokens.
 MOST_FREQUENT = 250_000
 _BLOCK = 1024
 _FLUSH = 1 << 21
+# Contexts whose products with all classes or a group are in memory at once: so many stay in a core's cache.
+_ROWS = 256
+# Exponentials of sums below this neither overflow nor vanish in float32.
+_SAFE = 60
 
 
 def _merged(hashes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -88,6 +97,8 @@ class Vocabulary:
     # Counts of the words in groups, most frequent first; their kinds follow the classes, `group_size` of them are a group.
     grouped: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     group_size: int = 1
+    _starts: np.ndarray | None = field(default=None, repr=False)
+    _most: int = 0
 
     @property
     def groups(self) -> int:
@@ -119,6 +130,22 @@ class Vocabulary:
         known = self.distinct - (self.end - self.groups + len(self.grouped)) - (1 if self.ends else 0)
         return float(self.class_counts[self.rest]) + ALPHA * (known + 1)
 
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each hash in `hashes`, and whether it is there. Hashes are spread evenly, so their leading bits give the place closely."""
+        bits = max(1, len(self.hashes).bit_length())
+        if self._starts is None:
+            self._starts = np.searchsorted(self.hashes, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+            self._most = int(np.diff(self._starts, append=len(self.hashes)).max())
+        at = self._starts[(hashes >> np.uint64(64 - bits)).astype(np.int64)]
+        last = len(self.hashes) - 1
+        np.minimum(at, last, out=at)
+        known = self.hashes[at] == hashes
+        for _ in range(1, self._most):
+            left = np.flatnonzero(self.hashes[at] < hashes)
+            at[left] = np.minimum(at[left] + 1, last)
+            known[left] = self.hashes[at[left]] == hashes[left]
+        return at, known
+
     def base(self, counts) -> np.ndarray:
         return np.log10((counts + ALPHA) / (self.tokens + ALPHA * (self.distinct + 1)))
 
@@ -150,8 +177,7 @@ class Sequence:
         self.hashes = w.hashes()
         docs = len(column)
         if len(v.hashes):
-            at = np.minimum(np.searchsorted(v.hashes, self.hashes), len(v.hashes) - 1)
-            self.known = v.hashes[at] == self.hashes
+            at, self.known = v.find(self.hashes)
             kind = np.where(self.known, v.classes[at], v.rest)
             self.counts = np.where(self.known, v.counts[at], 0)
         else:
@@ -173,80 +199,137 @@ class Sequence:
 
 
 class Model:
-    """Parameters and their Adagrad sums; the first `top` rows are the classes (all, if not given), then come the words in groups."""
+    """Parameters; the first `top` rows are the classes (all, if not given), then come the words in groups."""
 
-    def __init__(self, log_share: np.ndarray, size: int = SIZE, seed: int = 1, top: int | None = None):
+    def __init__(
+        self, log_share: np.ndarray, size: int = SIZE, seed: int = 1, top: int | None = None, packed: list[np.ndarray] | None = None
+    ):
         k = len(log_share)
         self.top = k if top is None else top
-        rng = np.random.default_rng(seed)
-        self.r = rng.normal(0, 0.3, (k, size)).astype(np.float32)
-        self.q = rng.normal(0, 0.05, (k, size)).astype(np.float32)
-        self.c = np.ones((2, size), np.float32)
-        self.b = log_share.astype(np.float32)
-        self.sums = [np.full_like(x, FIRST_SUM) for x in self.parts()]
-
-    def parts(self) -> list[np.ndarray]:
-        return [self.r, self.q, self.c, self.b]
-
-    def flat(self) -> np.ndarray:
-        return np.concatenate([p.ravel() for p in self.parts()])
-
-    def load(self, flat: np.ndarray) -> Model:
-        at = 0
-        for p in self.parts():
-            p[...] = flat[at : at + p.size].reshape(p.shape)
-            at += p.size
-        return self
+        self.share = log_share.astype(np.float32)
+        self.r = np.empty((k, size), np.float32)
+        # Vectors and, in the last column, biases.
+        self.qb = np.empty((k, size + 1), np.float32)
+        self.q, self.b = self.qb[:, :size], self.qb[:, size]
+        if packed is None:
+            rng = np.random.default_rng(seed)
+            for x, spread in ((self.r, 0.3), (self.q, 0.05)):
+                for a in range(0, k, 1 << 15):
+                    x[a : a + (1 << 15)] = rng.normal(0, spread, x[a : a + (1 << 15)].shape)
+            self.b[...] = log_share
+            self.c = np.ones((2, size), np.float32)
+        else:
+            self.r[...], self.qb[...] = packed[0], packed[1]
+            self.b += self.share
+            self.c = packed[2].copy()
+
+    def packed(self) -> list[np.ndarray]:
+        """Parameters as they are sent: in half precision, biases less the log shares."""
+        qb = self.qb.astype(np.float16)
+        qb[:, -1] = self.b - self.share
+        return [self.r.astype(np.float16), qb, self.c.copy()]
 
     def hidden(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         return self.c[0] * self.r[one] + self.c[1] * self.r[two]
 
-    def _update(self, parts: list[int], rows: np.ndarray, grads: list[np.ndarray]) -> None:
-        order = np.argsort(rows, kind="stable")
-        ordered = rows[order]
-        begin = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-        values = ordered[begin]
-        for k, grad in zip(parts, grads, strict=True):
-            p, s = self.parts()[k], self.sums[k]
-            summed = np.add.reduceat(grad[order], begin, axis=0)
-            total = s[values] + summed * summed
-            s[values] = total
-            p[values] += STEP * summed / np.sqrt(total)
-
-    def train(self, one, two, target, noise, log_noise: np.ndarray) -> None:
-        """One step on a batch: true tokens against `noise`, drawn from the classes' shares."""
-        k = len(noise)
-        h = self.hidden(one, two)
-        qt, qn = self.q[target], self.q[noise]
-        true = (h * qt).sum(axis=1) + self.b[target] - log_noise[target] - np.log(k)
-        false = h @ qn.T + self.b[noise] - log_noise[noise] - np.log(k)
-        up = 1 / (1 + np.exp(np.clip(true, -30, 30)))
-        down = -1 / (1 + np.exp(-np.clip(false, -30, 30)))
-        n = np.float32(1 / len(target))
-        up, down = (up * n).astype(np.float32), (down * n).astype(np.float32)
-        gh = up[:, None] * qt + down @ qn
-        grads = [np.concatenate([up[:, None] * h, down.T @ h]), np.concatenate([up, down.sum(axis=0)])]
-        self._update([1, 3], np.concatenate([target, noise]), grads)
-        g1, g2 = gh * self.c[0], gh * self.c[1]
-        gc = np.stack([(gh * self.r[one]).sum(axis=0), (gh * self.r[two]).sum(axis=0)])
-        self._update([0], np.concatenate([one, two]), [np.concatenate([g1, g2])])
-        self.sums[2] += gc * gc
-        self.c += STEP * gc / np.sqrt(self.sums[2])
-
-    def normalisers(self, one: np.ndarray, two: np.ndarray, members: slice | None = None) -> np.ndarray:
-        """Log of the sum over all classes, or over the members of a group, for each context."""
+    def normalisers(self, one: np.ndarray, two: np.ndarray, members: slice | None = None, target: np.ndarray | None = None) -> np.ndarray:
+        """Log of the sum over all classes, or over the members of a group, for each context; less the sum of `target`, if given."""
         rows = slice(0, self.top) if members is None else members
-        q, b = self.q[rows].T, self.b[rows]
+        qb = self.qb[rows]
+        vectors, bias = qb[:, :-1], qb[:, -1]
+        longest, highest = np.sqrt(np.einsum("ij,ij->i", vectors, vectors).max()), np.abs(bias).max()
+        ones = np.ones(len(qb), np.float32)
+        h = np.ones((_ROWS, qb.shape[1]), np.float32)
         out = np.empty(len(one), np.float32)
-        for a in range(0, len(one), 2048):
-            s = self.hidden(one[a : a + 2048], two[a : a + 2048]) @ q
-            s += b
-            top = s.max(axis=1)
-            s -= top[:, None]
-            out[a : a + 2048] = top + np.log(np.exp(s, out=s).sum(axis=1))
+        for a in range(0, len(one), _ROWS):
+            n = min(_ROWS, len(one) - a)
+            x = h[:n, :-1]
+            x[...] = self.hidden(one[a : a + n], two[a : a + n])
+            s = h[:n] @ qb.T
+            # Cauchy and Schwarz: no sum is larger, so in general none needs a shift.
+            shift = 0
+            if not np.sqrt(np.einsum("ij,ij->i", x, x).max()) * longest + highest < _SAFE:
+                shift = s.max(axis=1)
+                s -= shift[:, None]
+            own = 0 if target is None else s[np.arange(n), target[a : a + n] - rows.start]
+            out[a : a + n] = np.log(np.exp(s, out=s) @ ones) - own + (shift if target is None else 0)
         return out
 
 
+class Training:
+    """A model while it is trained by Adagrad. A target's row holds a vector and the bias less what noise-contrastive estimation takes off."""
+
+    def __init__(self, model: Model, noise: int = NOISE):
+        self.r, self.q, self.c = model.r, model.qb, model.c
+        self.log_noise = np.float32(np.log(noise))
+        self.q[:, -1] -= model.share + self.log_noise
+        self.r_sums, self.q_sums, self.c_sums = (np.full_like(x, FIRST_SUM) for x in (self.r, self.q, self.c))
+        # Place of a row in the batch at hand.
+        self._place = np.zeros(len(self.r), np.int64)
+
+    def vectors(self, rows: np.ndarray) -> np.ndarray:
+        """(context vector, target vector, bias less the log share) of some rows, in half precision."""
+        found = np.concatenate([self.r[rows], self.q[rows]], axis=1)
+        found[:, -1] += self.log_noise
+        return found.astype(np.float16)
+
+    def _update(self, table: np.ndarray, sums: np.ndarray, rows: np.ndarray, grad: np.ndarray) -> None:
+        # One of each row's places stands for it; the gradients of the others are added there.
+        at = np.arange(len(rows))
+        self._place[rows] = at
+        chosen = self._place.take(rows)
+        stands = chosen == at
+        first, others = stands.nonzero()[0], (~stands).nonzero()[0]
+        number = np.empty(len(rows), np.int64)
+        number[first] = at[: len(first)]
+        width = grad.shape[1]
+        g = grad.take(first, axis=0)
+        cells = number.take(chosen.take(others))[:, None] * width + np.arange(width)
+        np.add.at(g.reshape(-1), cells.reshape(-1), grad.take(others, axis=0).reshape(-1))
+        rows = rows.take(first)
+        s = sums.take(rows, axis=0)
+        s += g * g
+        sums[rows] = s
+        np.sqrt(s, out=s)
+        g /= s
+        g *= np.float32(STEP)
+        g += table.take(rows, axis=0)
+        table[rows] = g
+
+    def step(self, one: np.ndarray, two: np.ndarray, target: np.ndarray, noise: np.ndarray) -> None:
+        """One step on a batch: true tokens against `noise`, drawn from the classes' shares."""
+        n, c = len(target), self.c
+        r1, r2, qt, qn = self.r.take(one, axis=0), self.r.take(two, axis=0), self.q.take(target, axis=0), self.q.take(noise, axis=0)
+        h = np.ones_like(qt)
+        x = h[:, :-1]
+        np.multiply(r1, c[0], out=x)
+        x += r2 * c[1]
+        up = np.einsum("ij,ij->i", h, qt)
+        down = h @ qn.T
+        # Shares of 1 / (1 + exp(..)): an overflow to infinity gives the zero that is due.
+        np.exp(up, out=up)
+        up += 1
+        np.divide(np.float32(1 / n), up, out=up)
+        np.negative(down, out=down)
+        np.exp(down, out=down)
+        down += 1
+        np.divide(np.float32(-1 / n), down, out=down)
+        share = up[:, None]
+        gh = down @ qn[:, :-1]
+        gh += share * qt[:, :-1]
+        grad = np.empty((n + len(noise), h.shape[1]), np.float32)
+        np.multiply(share, h, out=grad[:n])
+        np.matmul(down.T, h, out=grad[n:])
+        self._update(self.q, self.q_sums, np.concatenate([target, noise]), grad)
+        gc = np.stack([np.einsum("ij,ij->j", gh, r1), np.einsum("ij,ij->j", gh, r2)])
+        grad = np.empty((2 * n, x.shape[1]), np.float32)
+        np.multiply(gh, c[0], out=grad[:n])
+        np.multiply(gh, c[1], out=grad[n:])
+        self._update(self.r, self.r_sums, np.concatenate([one, two]), grad)
+        self.c_sums += gc * gc
+        c += np.float32(STEP) * gc / np.sqrt(self.c_sums)
+
+
 def _log_share(v: Vocabulary) -> np.ndarray:
     """Log shares of the classes, then of the grouped words inside their groups."""
     share = v.class_counts + 1.0
@@ -255,66 +338,88 @@ def _log_share(v: Vocabulary) -> np.ndarray:
     return np.log(np.concatenate([share / share.sum(), inside]))
 
 
-def _model(v: Vocabulary, parameters: np.ndarray | None) -> Model:
-    model = Model(_log_share(v), top=len(v.class_counts))
-    return model if parameters is None else model.load(parameters)
+def _model(v: Vocabulary, parameters: Broadcast | None) -> Model:
+    model = Model(_log_share(v), top=len(v.class_counts), packed=parameters and parameters.value)
+    if parameters is not None:
+        # A worker would hold them beside the model; another task loads them again.
+        parameters.__dict__.pop("_value", None)
+    return model
 
 
 def _batches(v: Vocabulary, kind: np.ndarray, chosen: np.ndarray, rng: np.random.Generator):
-    """(positions, target rows, noise rows) in random order: every position for its class, grouped words once more inside their group."""
-    top = v.top(kind[chosen])
-    made = [(chosen[k : k + BATCH], top[k : k + BATCH], -1) for k in range(0, len(chosen), BATCH)]
-    inner = chosen[kind[chosen] >= len(v.class_counts)]
+    """(positions, target rows, noise rows) in random order: every position for its class, grouped words once more inside their group.
+
+    Noise rows are in order.
+    """
+    k = len(v.class_counts)
+    top = v.top(kind[chosen]).astype(np.int64)
+    made = [(chosen[a : a + BATCH], top[a : a + BATCH]) for a in range(0, len(chosen), BATCH)]
+    outer = len(made)
+    inner = chosen[kind[chosen] >= k]
     group = v.group(kind[inner])
     order = np.argsort(group, kind="stable")
     inner, group = inner[order], group[order]
+    target = kind[inner].astype(np.int64)
     edges = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(inner) else np.zeros(0, np.int64)
+    of = []
     for a, b in zip(edges, np.append(edges[1:], len(inner))[: len(edges)], strict=True):
-        made += [(inner[k : min(k + BATCH, b)], kind[inner[k : min(k + BATCH, b)]], int(group[a])) for k in range(a, b, BATCH)]
+        starts = range(a, b, BATCH)
+        made += [(inner[m : min(m + BATCH, b)], target[m : min(m + BATCH, b)]) for m in starts]
+        of += [group[a]] * len(starts)
     share = v.class_counts + 1.0
     upper = np.cumsum(share / share.sum())
-    lower = np.concatenate([[0], np.cumsum(v.grouped)])
-    k = len(v.class_counts)
-    for n in rng.permutation(len(made)):
-        at, target, g = made[n]
-        u = rng.random(NOISE)
-        if g < 0:
-            noise = np.minimum(np.searchsorted(upper, u, side="right"), k - 1)
-        else:
-            m = v.members(g)
-            low, high = lower[m.start - k], lower[m.stop - k]
-            noise = k + np.clip(np.searchsorted(lower, low + u * (high - low), side="right") - 1, m.start - k, m.stop - k - 1)
-        yield at, target, noise
+    noise = np.empty((len(made), NOISE), np.int64)
+    noise[:outer] = np.minimum(np.searchsorted(upper, np.sort(rng.random((outer, NOISE)), axis=1), side="right"), k - 1)
+    if of:
+        lower = np.concatenate([[0], np.cumsum(v.grouped)])
+        begin = np.array(of, np.int64)[:, None] * v.group_size
+        end = np.minimum(begin + v.group_size, len(v.grouped))
+        low, high = lower[begin], lower[end]
+        drawn = np.searchsorted(lower, low + np.sort(rng.random((len(of), NOISE)), axis=1) * (high - low), side="right") - 1
+        noise[outer:] = k + np.clip(drawn, begin, end - 1)
+    for m in rng.permutation(len(made)):
+        yield *made[m], noise[m]
+
+
+def _positions(piece: pa.RecordBatch, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Kind and both contexts of every token, and a number for the piece's seed; read in parts, since hashing takes many times a part's bytes."""
+    found, first = [], 0
+    for part in pieces(piece, most=PIECE_BYTES // 8):
+        s = Sequence(part.column("text"), v)
+        first = first or int(s.hashes[:1].sum() >> np.uint64(1))
+        found.append((s.kind, s.one.astype(np.int64), s.two.astype(np.int64)))
+    return *(np.concatenate(x) for x in zip(*found, strict=True)), first
 
 
 _SUMS = "block int, rows binary, uses binary, vectors binary"
 
 
-def _trained(v: Vocabulary, start: np.ndarray | None, rate: float, turn: int):
+def _trained(v: Vocabulary, start: Broadcast | None, rate: float, turn: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        log_noise = _log_share(v).astype(np.float32)
-        model = _model(v, start)
-        n = len(log_noise)
+        training = Training(_model(v, start))
+        n, top = len(training.r), len(v.class_counts)
         steps, uses = 0, np.zeros((n, 2), np.float32)
-        for batch in batches:
-            for piece in pieces(batch):
-                s = Sequence(piece.column("text"), v)
-                rng = np.random.default_rng([turn, len(s.kind), int(s.hashes[:1].sum() >> np.uint64(1))])
-                chosen = rng.permutation(np.flatnonzero(rng.random(len(s.kind)) < rate))
-                for at, target, noise in _batches(v, s.kind, chosen, rng):
-                    model.train(s.one[at], s.two[at], target, noise, log_noise)
-                    uses[noise, 1] += 1
-                kind = s.kind[chosen]
-                uses[:, 0] += np.bincount(s.one[chosen], minlength=n) + np.bincount(s.two[chosen], minlength=n)
-                uses[:, 1] += np.bincount(v.top(kind), minlength=n) + np.bincount(kind[kind >= model.top], minlength=n)
-                steps += len(chosen)
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                for piece in pieces(batch):
+                    kinds, one, two, first = _positions(piece, v)
+                    rng = np.random.default_rng([turn, len(kinds), first])
+                    chosen = rng.permutation(np.flatnonzero(rng.random(len(kinds)) < rate))
+                    noises = []
+                    for at, target, noise in _batches(v, kinds, chosen, rng):
+                        training.step(one[at], two[at], target, noise)
+                        noises.append(noise[np.append(True, noise[1:] != noise[:-1])])
+                    kind = kinds[chosen]
+                    uses[:, 0] += np.bincount(one[chosen], minlength=n) + np.bincount(two[chosen], minlength=n)
+                    for x in (v.top(kind), kind[kind >= top], np.concatenate([*noises, kind[:0]])):
+                        uses[:, 1] += np.bincount(x, minlength=n)
+                    steps += len(chosen)
         if steps:
             used = np.flatnonzero(uses.any(axis=1)).astype(np.int32)
             edges = np.flatnonzero(np.append(True, used[1:] // _BLOCK != used[:-1] // _BLOCK))
             for rows in np.split(used, edges[1:]):
-                vectors = np.concatenate([model.r[rows], model.q[rows], model.b[rows, None]], axis=1)
-                yield _sums(rows[0] // _BLOCK, rows, uses[rows], vectors.astype(np.float16))
-            yield _sums(-1, np.zeros(1, np.int32), np.array([[steps, 0]], np.float32), model.c.astype(np.float16))
+                yield _sums(rows[0] // _BLOCK, rows, uses[rows], training.vectors(rows))
+            yield _sums(-1, np.zeros(1, np.int32), np.array([[steps, 0]], np.float32), training.c.astype(np.float16))
 
     return run
 
@@ -338,35 +443,46 @@ def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block, (total, sums) in held.items():
         rows = np.flatnonzero(total.any(axis=1))
         sums = sums[rows] / np.maximum(_weights(total[rows], block), 1e-9)
-        yield _sums(block, (rows + max(block, 0) * _BLOCK).astype(np.int32), total[rows].astype(np.float32), sums.astype(np.float32))
+        yield _sums(block, (rows + max(block, 0) * _BLOCK).astype(np.int32), total[rows].astype(np.float32), sums.astype(np.float16))
 
 
 def _weights(uses: np.ndarray, block: int) -> np.ndarray:
     return uses[:, :1] if block < 0 else np.repeat(uses, [SIZE, SIZE + 1], axis=1)
 
 
-def trained(rows: DataFrame, v: Vocabulary, rate: float = RATE, turns: int = TURNS) -> np.ndarray:
+def _tasks(v: Vocabulary, cores: int) -> int:
+    """Most tasks of a turn: whole rounds on the cores, if there is more than one."""
+    tasks = max(1, round(v.tokens / (SEEN * max(1, len(v.grouped)))))
+    return tasks - tasks % cores if tasks > cores else tasks
+
+
+def trained(rows: DataFrame, v: Vocabulary, rate: float = RATE, turns: int = TURNS) -> list[np.ndarray]:
     """Averaged parameters after all turns over the training rows (text)."""
-    now: np.ndarray | None = None
+    model = _model(v, None)
+    sent: Broadcast | None = None
+    rows = rows.select("text").coalesce(_tasks(v, rows.sparkSession.sparkContext.defaultParallelism))
     for turn in range(turns):
-        sums = rows.select("text").mapInArrow(_trained(v, now, rate, turn), _SUMS)
+        sums = rows.mapInArrow(_trained(v, sent, rate, turn), _SUMS)
         found = sums.repartition("block").mapInArrow(_averaged, _SUMS).toArrow()
-        model = _model(v, now)
         for block, *binary in zip(*(found.column(k) for k in range(4)), strict=True):
-            at, uses, vectors = (np.frombuffer(x.as_py(), t) for x, t in zip(binary, (np.int32, np.float32, np.float32), strict=True))
+            at, uses, vectors = (np.frombuffer(x.as_py(), t) for x, t in zip(binary, (np.int32, np.float32, np.float16), strict=True))
             if block.as_py() < 0:
                 model.c[...] = vectors.reshape(model.c.shape)
                 continue
             uses, vectors = uses.reshape(-1, 2) > 0, vectors.reshape(len(at), -1)
             context, target = at[uses[:, 0]], at[uses[:, 1]]
             model.r[context] = vectors[uses[:, 0], :SIZE]
-            model.q[target] = vectors[uses[:, 1], SIZE : 2 * SIZE]
-            model.b[target] = vectors[uses[:, 1], 2 * SIZE]
-        now = model.flat()
-    return _model(v, None).flat() if now is None else now
+            model.qb[target] = vectors[uses[:, 1], SIZE:]
+            model.b[target] += model.share[target]
+        del found
+        if sent is not None:
+            sent.destroy()
+        if turn + 1 < turns:
+            sent = rows.sparkSession.sparkContext.broadcast(model.packed())
+    return model.packed()
 
 
-def _scored(v: Vocabulary, parameters: np.ndarray):
+def _scored(v: Vocabulary, parameters: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(v, parameters)
         for batch in batches:
@@ -382,18 +498,17 @@ def _log_probability(s: Sequence, v: Vocabulary, model: Model) -> np.ndarray:
     pair, at = np.unique(s.one.astype(np.int64) * k + s.two, return_inverse=True)
     out = -model.normalisers(pair // k, pair % k)[at].astype(np.float64)
     top = v.top(s.kind)
-    for a in range(0, len(top), 1 << 16):
-        part = slice(a, a + (1 << 16))
-        out[part] += (model.hidden(s.one[part], s.two[part]) * model.q[top[part]]).sum(axis=1) + model.b[top[part]]
+    for a in range(0, len(top), 1 << 12):
+        part = slice(a, a + (1 << 12))
+        of = model.qb[top[part]]
+        out[part] += np.einsum("ij,ij->i", model.hidden(s.one[part], s.two[part]), of[:, :-1]) + of[:, -1]
     inner = np.flatnonzero(s.kind >= model.top)
     group = v.group(s.kind[inner])
     order = np.argsort(group, kind="stable")
     inner, group = inner[order], group[order]
     for places in np.split(inner, np.flatnonzero(group[1:] != group[:-1]) + 1) if len(inner) else []:
         kind = s.kind[places]
-        h = model.hidden(s.one[places], s.two[places])
-        inside = (h * model.q[kind]).sum(axis=1) + model.b[kind]
-        out[places] += inside - model.normalisers(s.one[places], s.two[places], v.members(int(v.group(kind[:1])[0])))
+        out[places] -= model.normalisers(s.one[places], s.two[places], v.members(int(v.group(kind[:1])[0])), kind)
     return out
 
 
@@ -439,9 +554,10 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate
     training = rows.where(~F.col("held_out"))
     counts = stage(training.select("text").mapInArrow(_count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")), "counts")
     v = vocabulary(counts, training.count())
-    parameters = trained(training, v, rate, turns)
+    parameters = docs.sparkSession.sparkContext.broadcast(trained(training, v, rate, turns))
     found = rows.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(_scored(v, parameters), _SCORED)
     found = stage(found, "scored")
+    parameters.destroy()
     c = F.coalesce("c", F.lit(0))
     total, inside = float(v.tokens + ALPHA * (v.distinct + 1)), float(v.rest_total)
     others = (
